@@ -165,7 +165,6 @@ def knn_loo(
             "id",
             F.when(F.col("second") != F.col("id"), F.col("second")).alias("second"),
             F.round(F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x * x), DIGITS).alias("self_sim"),
-            F.xxhash64("u").alias("h"),
             "u",
         ),
         "reps",

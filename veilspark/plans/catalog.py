@@ -1,0 +1,28 @@
+"""Registry of named queries, each with its SQL twin where SQL can say it."""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql.strip()
+        return fn
+
+    return register
+
+
+def load_all() -> None:
+    """Import the modules that register queries."""
+    from veilspark.plans import corpus, ml, scores, streams, text  # noqa: F401

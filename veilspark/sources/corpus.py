@@ -40,7 +40,7 @@ def load_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
         F.unix_millis("modificationTime").alias("mtime"),
         F.col("length").alias("size_bytes"),
         file_format(F.col("path")).alias("format"),
-        F.decode("content", "UTF-8").alias("text"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     )
 
 
