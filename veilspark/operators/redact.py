@@ -294,12 +294,13 @@ def patch_lines(
 ) -> DataFrame:
     """Replace 1-based inclusive line ranges with a marker, keeping the original as a backup.
 
-    Overlapping ranges are merged, so a line counts once.  Documents without a
-    range come back unchanged, with no backup.
+    Overlapping ranges are merged, so a line counts once.  Documents for which no
+    patch was asked come back unchanged, with no backup.
     """
-    per_doc = merge_ranges(ranges).groupBy("doc_id").agg(
+    merged = merge_ranges(ranges).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start_line", "end_line"))).alias("_ranges")
     )
+    per_doc = ranges.select("doc_id").distinct().withColumn("_asked", F.lit(True)).join(merged, "doc_id", "left")
     shown = F.lit(marker.format(reason))
     lines = F.split(F.col(text), "\n", -1)
 
@@ -332,6 +333,6 @@ def patch_lines(
         .withColumn("_patched", F.when(F.col("_ranges").isNotNull(), let(lines, patched)))
         .withColumn("patched_text", F.coalesce("_patched.text", F.col(text)))
         .withColumn("lines_redacted", F.coalesce("_patched.lines", F.lit(0)))
-        .withColumn("backup_text", F.when(F.col("_ranges").isNotNull(), F.col(text)))
-        .drop("_ranges", "_patched")
+        .withColumn("backup_text", F.when(F.col("_asked"), F.col(text)))
+        .drop("_ranges", "_asked", "_patched")
     )

@@ -194,7 +194,7 @@ GENERATED = f"""
 corpus AS ({I.CORPUS_SQL}),
 generated AS (
   SELECT doc_id, ({_LABEL_LIST})[(doc_id % 4)::INT + 1] AS label, text || CASE WHEN source = 'crm' THEN repeat(' filler', 20) ELSE '' END AS text,
-         CASE WHEN doc_id % 6 = 0 THEN upper(substring(text, 1, 80)) ELSE 'Write a file about ' || source END AS scenario FROM corpus)"""
+         CASE WHEN doc_id % 6 = 0 THEN lower(substring(text, 1, 80)) ELSE 'Write a file about ' || source END AS scenario FROM corpus)"""
 
 
 def _generated(spark, sf):
@@ -203,7 +203,7 @@ def _generated(spark, sf):
         "doc_id",
         F.get(F.array(*[F.lit(x) for x in LABELS]), (d % 4).cast("int")).alias("label"),
         F.concat("text", F.when(F.col("source") == "crm", " filler" * 20).otherwise("")).alias("text"),
-        F.when(d % 6 == 0, F.upper(F.substring("text", 1, 80)))
+        F.when(d % 6 == 0, F.lower(F.substring("text", 1, 80)))
         .otherwise(F.concat(F.lit("Write a file about "), "source")).alias("scenario"),
     )
 

@@ -13,7 +13,9 @@ DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 
 
 def _stream(spark, sf, name):
-    return W.read_stream(spark, sf, f"{name}.parquet", I.table(spark, sf, name).schema)
+    stream = W.read_stream(spark, sf, f"{name}.parquet", I.table(spark, sf, name).schema)
+    # Watermarks need a timestamp with a zone; the stored ones are in UTC.
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else stream
 
 
 @query("stream_sanitize", f"WITH {DOCS}, {S.sanitized_cte('docs')} SELECT doc_id, sanitized_text, redaction_count FROM sanitized")
