@@ -113,6 +113,11 @@ SIGNAL_SECRET = r"(?i)(secret|api[_-]?key|token|password|private[_-]?key)\s*[:=]
 # ---------------------------------------------------------------------------
 
 
+# The white space beyond Latin-1, and the token characters without it.
+WIDE_SPACE = "[" + SPACE[SPACE.index(r"\x{1680}") :] + "]"
+BEYOND_LATIN = r"[^\x00-\xff]"
+_PLAIN_CHAR = ENTROPY_CHAR.replace(r"\s", SPACE[: SPACE.index(r"\x{1680}")])
+
 # Cheap patterns that match wherever the category's pattern does.  They hold no
 # boundary and no wide character class, and start with a rare character.
 GATES = {
@@ -125,7 +130,7 @@ GATES = {
     "URL": r"://",
     "SECRET": r"[sp]k[-_][a-zA-Z0-9]|ghp_|AKIA|xox[bpoa]-",
     # Only the narrow delimiters, so that every class here is a bit set.
-    ENTROPY_CATEGORY: r"(?<![^\t\n\x0b\x0c\r \"'`,;:{}\[\]()])[^\t\n\x0b\x0c\r \"'`,;:{}\[\]()]{20}",
+    ENTROPY_CATEGORY: f"(?<!{_PLAIN_CHAR}){_PLAIN_CHAR}{{20}}",
 }
 
 
@@ -135,17 +140,48 @@ class Rule:
 
     `gate` is a cheap pattern that matches wherever `pattern` does; texts
     without it are skipped.  `min_bits` keeps only matches whose Shannon entropy
-    reaches it.
+    reaches it.  `plain` is a faster pattern that is equal to `pattern` on texts
+    without white space beyond Latin-1: a class of narrow characters is a bit
+    set, one with wide ranges is tested range by range.
     """
 
     category: str
     pattern: str
     gate: str | None = None
     min_bits: float | None = None
+    plain: str | None = None
+
+
+# Characters a match can start with.
+FIRST = {
+    "SSN": "0-9",
+    "CREDIT_CARD": "3-6",
+    "IBAN": "A-Z",
+    "PHONE": "+(0-9",
+    "IP_ADDRESS": "0-9",
+    "SECRET": "spgAx",
+}
+
+
+def _start_fast(category: str, pattern: str) -> str:
+    """The same pattern, ordered so that most positions fail on their first character.
+
+    Where a match can only start with word characters, the boundary in front of it
+    is just the absence of one.
+    """
+    if category == "EMAIL":
+        # "@" cannot be part of the name, so the name is never given back
+        return pattern.replace("]+@", "]++@", 1)
+    first = FIRST.get(category)
+    if first is None or not pattern.startswith(r"\b"):
+        return pattern
+    boundary = r"\b" if set(first) & set("+(") else r"(?<!\w)"
+    return f"(?=[{first}]){boundary}{pattern[2:]}"
 
 
 DEFAULT_RULES: tuple[Rule, ...] = tuple(
-    Rule(category, pattern, GATES[category]) for category, pattern in DETECTOR_PATTERNS
+    Rule(category, _start_fast(category, pattern), GATES[category])
+    for category, pattern in DETECTOR_PATTERNS
 ) + (
     # A token starts after a delimiter and is never given back, so the engine
     # need not retry inside it.
@@ -154,6 +190,7 @@ DEFAULT_RULES: tuple[Rule, ...] = tuple(
         f"(?<!{ENTROPY_CHAR}){ENTROPY_TOKEN}+",
         GATES[ENTROPY_CATEGORY],
         ENTROPY_MIN_BITS,
+        f"(?<!{_PLAIN_CHAR}){_PLAIN_CHAR}{{20,}}+",
     ),
 )
 
@@ -165,7 +202,7 @@ EXTENDED_RULES: tuple[Rule, ...] = (
     DEFAULT_RULES[2],
     Rule("PHONE", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
     *DEFAULT_RULES[4:7],
-    Rule("SECRET", DEFAULT_RULES[7].pattern.replace("(?:sk[-_]", "(?:sk[-_](?:live_|test_)?", 1), DEFAULT_RULES[7].gate),
+    Rule("SECRET", DETECTOR_PATTERNS[7][1].replace("(?:sk[-_]", "(?:sk[-_](?:live_|test_)?", 1), DEFAULT_RULES[7].gate),
     DEFAULT_RULES[8],
 )
 

@@ -13,7 +13,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.patterns import DEFAULT_RULES, Rule, spark_pattern
+from veilspark.functions.patterns import (
+    BEYOND_LATIN,
+    DEFAULT_RULES,
+    WIDE_SPACE,
+    Rule,
+    spark_pattern,
+)
 
 SPAN_TYPE = (
     "array<struct<start:int,neg_end:int,priority:int,end:int,bstart:int,bend:int,"
@@ -137,9 +143,15 @@ def entropy_bits(token: Column) -> Column:
 
 def _matches(text: Column, rule: Rule, priority: int) -> Column:
     """struct(category, priority, matches, gaps between them)."""
-    regex = F.lit(spark_pattern(rule.pattern))
+    wide = F.rlike(text, F.lit(BEYOND_LATIN)) & F.rlike(text, F.lit(WIDE_SPACE))
+    exact = F.lit(spark_pattern(rule.pattern))
+    plain = F.lit(spark_pattern(rule.plain)) if rule.plain else None
+
+    def by_pattern(use: Callable[[Column], Column]) -> Column:
+        return use(exact) if plain is None else F.when(wide, use(exact)).otherwise(use(plain))
+
     empty = F.array().cast("array<string>")
-    found = F.regexp_extract_all(text, regex, F.lit(0))
+    found = by_pattern(lambda regex: F.regexp_extract_all(text, regex, F.lit(0)))
     if rule.gate:
         found = F.when(F.rlike(text, F.lit(spark_pattern(rule.gate))), found).otherwise(empty)
     return let(
@@ -148,7 +160,7 @@ def _matches(text: Column, rule: Rule, priority: int) -> Column:
             F.lit(rule.category).alias("category"),
             F.lit(priority).alias("priority"),
             m.alias("m"),
-            F.when(F.size(m) > 0, F.split(text, regex, -1)).alias("g"),
+            F.when(F.size(m) > 0, by_pattern(lambda regex: F.split(text, regex, -1))).alias("g"),
         ).cast(_MATCH_TYPE),
     )
 

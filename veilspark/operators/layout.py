@@ -30,8 +30,8 @@ def runs_to_tokens(runs: DataFrame) -> DataFrame:
     space = f"[{SPACE}]+"
     words = F.filter(F.split(F.col("text"), space, -1), lambda w: F.length(w) > 0)
     usable = (
-        runs.withColumn("_words", words)
-        .where(F.size("_words") > 0)
+        runs.where(F.rlike("text", F.lit(f"[^{SPACE}]")))
+        .withColumn("_words", words)
         .withColumn("_char", F.col("width") / F.length("text"))
         .withColumn("_n", F.size("_words"))
     )

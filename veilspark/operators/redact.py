@@ -63,8 +63,14 @@ def sanitize(
 
 
 def placeholder_rows(marked: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """(keys, category, original, start, end, placeholder), one row per mark."""
-    return marked.select(*keys, F.inline("marks")).select(
+    """(keys, category, original, start, end, placeholder), one row per mark.
+
+    The optimiser adds a size test below a generator over a bare column and pushes
+    it down to where the column is computed, which would find the spans again for
+    the test; over an expression it does not.
+    """
+    marks = F.filter("marks", lambda m: m.end > m.start)
+    return marked.select(*keys, F.inline(marks)).select(
         *keys, "category", "original", "start", "end", "placeholder"
     )
 

@@ -96,7 +96,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         F.substring(F.concat(F.md5(s(k)), F.md5(s(k + 1))), 1, 36),
         " id ", F.md5(s(k)), F.upper(F.md5(s(k + 7))), " mail c", s(k), "@example.com\n",
     ]
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         (F.lit(RECORD_BASE) + k).cast("long").alias("doc_id"),
         F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"),
         F.lit("en").alias("lang"),
