@@ -201,17 +201,28 @@ def _drop_predictable(spans: Column, priority: int, min_bits: float) -> Column:
     )
 
 
+def may_match(text: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
+    """Whether any rule's gate opens; false means that no rule can match."""
+    test = F.lit(False)
+    for rule in reversed(rules):
+        gate = F.lit(True) if rule.gate is None else F.rlike(text, F.lit(spark_pattern(rule.gate)))
+        test = gate | test
+    return test
+
+
 def find_spans(text: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """All matches of all rules in one pass over a row, sorted by position.
 
     Spans at exactly the same place keep the rule that comes first in the table.
+    The gates are tried first, in generated code; only texts that pass one reach
+    the array functions, which are interpreted.
     """
     hits = F.array(*[_matches(text, rule, i) for i, rule in enumerate(rules)])
     spans = F.flatten(F.transform(hits, _place))
     for i, rule in enumerate(rules):
         if rule.min_bits is not None:
             spans = _drop_predictable(spans, i, rule.min_bits)
-    return let(
+    found = let(
         F.sort_array(spans),
         lambda s: F.filter(
             s,
@@ -220,6 +231,7 @@ def find_spans(text: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
             | (x.end != F.get(s, i - 1).end),
         ),
     )
+    return F.when(may_match(text, rules), found).otherwise(F.array().cast(SPAN_TYPE))
 
 
 def merge_spans(spans: Column) -> Column:

@@ -10,6 +10,7 @@ from veilspark.functions.patterns import DEFAULT_RULES, Rule
 from veilspark.functions.ranking import number_within
 from veilspark.functions.spans import find_spans, let, merge_spans, number_spans, replace_spans
 from veilspark.operators.files import file_type
+from veilspark.session import write_through
 
 METHOD_REGEX = "regex-only"
 METHOD_MODEL = "llm+regex"
@@ -36,10 +37,19 @@ def marks_of(text: Column, rules: Sequence[Rule] = DEFAULT_RULES, dedupe: bool =
 
 
 def with_marks(
-    docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES, dedupe: bool = False
+    docs: DataFrame,
+    text: str = "text",
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    dedupe: bool = False,
+    spans: str | None = None,
 ) -> DataFrame:
-    """Adds `marks`, the array of disjoint numbered spans of each text."""
-    return docs.withColumn("marks", marks_of(F.col(text), rules, dedupe))
+    """Adds `marks`, the array of disjoint numbered spans of each text.
+
+    `spans` names a column that holds the text's spans already.
+    """
+    if spans is None:
+        return docs.withColumn("marks", marks_of(F.col(text), rules, dedupe))
+    return docs.withColumn("marks", number_spans(merge_spans(F.col(spans)), F.col(text), dedupe))
 
 
 def redact_text(marked: DataFrame, text: str = "text") -> DataFrame:
@@ -52,12 +62,13 @@ def sanitize(
     text: str = "text",
     rules: Sequence[Rule] = DEFAULT_RULES,
     dedupe: bool = False,
+    spans: str | None = None,
 ) -> DataFrame:
     """Adds `marks`, `sanitized_text`, `redaction_count` and `method`.
 
     Works inside the row: one scan, no shuffle.
     """
-    return redact_text(with_marks(docs, text, rules, dedupe), text).select(
+    return redact_text(with_marks(docs, text, rules, dedupe, spans), text).select(
         "*", F.size("marks").alias("redaction_count"), F.lit(METHOD_REGEX).alias("method")
     )
 
@@ -87,14 +98,17 @@ def assign_placeholders(
 
     `scope="doc"` restarts in every document, inside the row.  `scope="corpus"`
     counts on over all documents in `doc_id` order; there a category may hold most
-    of the rows, so ranks are built from chunks of documents.  With `dedupe`
-    equal values share the number of their first appearance.
+    of the rows, so ranks are built from chunks of documents, over spans that are
+    stored once in the shared folder.  With `dedupe` equal values share the number
+    of their first appearance.
     """
     if scope == "doc":
         return placeholder_rows(with_marks(docs, text, rules, dedupe))
     if scope != "corpus":
         raise ValueError(f"unknown scope: {scope}")
-    spans = placeholder_rows(with_marks(docs, text, rules)).drop("placeholder")
+    spans = write_through(
+        docs.sparkSession, placeholder_rows(with_marks(docs, text, rules)).drop("placeholder"), "spans"
+    )
     name = F.concat(F.lit("__"), F.col("category"), F.lit("_"), F.col("_n").cast("string"), F.lit("__"))
     chunk = F.floor(F.col("doc_id") / docs_per_chunk)
     if not dedupe:

@@ -109,20 +109,28 @@ def evidence_verdict(categories: Column, text: Column) -> Column:
     )
 
 
+def with_rule_verdict(
+    docs: DataFrame,
+    text: str = "text",
+    rules: Sequence[P.Rule] = P.DEFAULT_RULES,
+    spans: str | None = None,
+) -> DataFrame:
+    """Adds `verdict` and `categories`; `spans` names a column with the text's spans."""
+    found = find_spans(F.col(text), rules) if spans is None else F.col(spans)
+    categories = F.sort_array(F.array_distinct(F.transform(found, lambda s: s.category)))
+    return (
+        docs.withColumn("_categories", categories)
+        .withColumn("verdict", evidence_verdict(F.col("_categories"), F.col(text)))
+        .withColumn("categories", F.array_join("_categories", ","))
+        .drop("_categories")
+    )
+
+
 def rule_verdict(
     docs: DataFrame, text: str = "text", rules: Sequence[P.Rule] = P.DEFAULT_RULES, keys=("doc_id",)
 ) -> DataFrame:
     """(keys, verdict, categories) from evidence in the text, where no model is at hand."""
-    spans = find_spans(F.col(text), rules)
-    found = docs.select(
-        *keys, F.col(text).alias("_text"),
-        F.sort_array(F.array_distinct(F.transform(spans, lambda s: s.category))).alias("_categories"),
-    )
-    return found.select(
-        *keys,
-        evidence_verdict(F.col("_categories"), F.col("_text")).alias("verdict"),
-        F.array_join("_categories", ",").alias("categories"),
-    )
+    return with_rule_verdict(docs, text, rules).select(*keys, "verdict", "categories")
 
 
 def shown(text: Column, mode: str) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import patterns as P
+from veilspark.functions.spans import find_spans
 from veilspark.operators import curate as C
 from veilspark.operators import files as X
 from veilspark.operators import incremental as N
@@ -498,11 +499,12 @@ def rule_verdict(spark, sf):
 
 
 def _routed_input(spark, sf):
-    docs = R.sanitize(I.corpus(spark, sf))
-    verdict = V.rule_verdict(I.corpus(spark, sf)).withColumn(
+    """Verdict and redaction from the same spans."""
+    found = I.corpus(spark, sf).withColumn("spans", find_spans(F.col("text")))
+    judged = V.with_rule_verdict(found, spans="spans").withColumn(
         "reason", F.concat(F.lit("evidence: "), F.col("categories"))
     )
-    return docs.join(verdict, "doc_id")
+    return R.sanitize(judged, spans="spans").drop("spans", "method")
 
 
 def _route_sql(mode: str) -> str:

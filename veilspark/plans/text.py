@@ -12,6 +12,7 @@ from veilspark.operators.search import search_sanitized
 from veilspark.plans import inputs as I
 from veilspark.plans import sql_text as S
 from veilspark.plans.catalog import query
+from veilspark.session import write_through
 
 CORPUS = f"corpus AS ({I.CORPUS_SQL})"
 SPAN_COLUMNS = 'doc_id, category, value, start, "end"'
@@ -232,7 +233,8 @@ def build_vault(spark, sf):
 
 @query("rehydrate", f"WITH {CORPUS} SELECT doc_id, text AS restored_text FROM corpus")
 def rehydrate(spark, sf):
-    clean = R.sanitize(I.corpus(spark, sf))
+    # stored once: the vault and the texts come from the same run
+    clean = write_through(spark, R.sanitize(I.corpus(spark, sf)).select("doc_id", "sanitized_text", "marks"), "clean")
     vault = V.build_vault(R.placeholder_rows(clean).withColumn("added_at", F.lit(0).cast("long")))
     return V.rehydrate(clean.select("doc_id", "sanitized_text"), vault).select("doc_id", "restored_text")
 
@@ -293,7 +295,7 @@ SELECT doc_id, file_type, CASE WHEN n = 2 THEN replace(a, v2, {_template_sql("fi
 FROM once""",
 )
 def redact_by_findings(spark, sf):
-    files = I.files(spark, sf)
+    files = I.spread(I.files(spark, sf))
     words = F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " ", -1)
     first = files.select("doc_id", F.get(F.filter(words, lambda x: F.length(x) > 0), F.lit(0)).alias("value"))
     findings = (
@@ -424,7 +426,7 @@ def patch_lines(spark, sf):
             )
         ),
     )
-    return R.patch_lines(docs, ranges, "review").select(
+    return R.patch_lines(I.spread(docs), ranges, "review").select(
         "doc_id", "patched_text", "lines_redacted", "backup_text"
     )
 
