@@ -1,0 +1,192 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veilspark.functions.ranking import hash_chunk, number_within, percentiles, values_at_ranks
+from veilspark.operators import curate as C
+from veilspark.operators import evaluate as E
+from veilspark.operators.verdict import LABELS
+
+
+def test_number_within_a_hot_group(spark):
+    rows = [("hot" if i % 3 else f"g{i % 7}", i * 37 % 5000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "label string, k long").repartition(5)
+    got = {(r.label, r.k): r.n for r in number_within(df, ["label"], F.floor(F.col("k") / 64), ["k"], "n").collect()}
+    per = {}
+    for label, k in sorted(rows):
+        per[label] = per.get(label, 0) + 1
+        assert got[label, k] == per[label]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "lognormal", "one_value", "negative", "single"])
+def test_percentiles_are_exact(spark, kind):
+    rng = np.random.default_rng(3)
+    values = {
+        "uniform": rng.uniform(0, 100, 2001), "lognormal": rng.lognormal(3, 2, 1500),
+        "one_value": np.array([5.0] * 900 + list(rng.uniform(0, 9, 300))),
+        "negative": rng.normal(0, 10, 800), "single": np.array([42.0]),
+    }[kind]
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("g", None), ("h", 1.0)], "g string, v double")
+    row = percentiles(df, ["g"], "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).where("g = 'g'").first()
+    assert row.n == len(values)
+    for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
+        assert row[name] == pytest.approx(np.percentile(values, p), abs=1e-9)
+    top = values_at_ranks(df, ["g"], "v", {"first": F.lit(1), "last": F.col("n")}).where("g = 'g'").first()
+    assert (top["first"], top["last"]) == (values.min(), values.max())
+
+
+def predictions(spark, pairs):
+    rows = [(i, e, p, float(10 + i)) for i, (e, p) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "case_id long, expected string, predicted string, latency_ms double")
+
+
+# 98 cases as published: 25+1, 21+2+1, 1+23, 24
+PUBLISHED = (
+    [(LABELS[0], LABELS[0])] * 25 + [(LABELS[0], LABELS[2])]
+    + [(LABELS[1], LABELS[1])] * 21 + [(LABELS[1], LABELS[2])] * 2 + [(LABELS[1], LABELS[3])]
+    + [(LABELS[2], LABELS[0])] + [(LABELS[2], LABELS[2])] * 23 + [(LABELS[3], LABELS[3])] * 24
+)
+
+
+def test_published_scores_come_out(spark):
+    df = predictions(spark, PUBLISHED)
+    m = E.overall_metrics(df).first()
+    assert (m.n, m.correct) == (98, 93)
+    assert round(m.accuracy, 4) == 0.9490 and round(m.macro_f1, 3) == 0.949
+    w = E.wilson_interval(df).first()
+    assert (round(100 * w.low, 1), round(100 * w.high, 1)) == (88.6, 97.8)
+    tally = {}
+    for r in E.error_direction(df).collect():
+        tally[r.direction] = tally.get(r.direction, 0) + r.n
+    assert tally == {"fail_open": 1, "over_restrict": 4}
+    matrix = {r.expected: tuple(r[x] for x in LABELS) for r in E.confusion_matrix(df).collect()}
+    assert matrix["flag_pii"] == (0, 21, 2, 1) and matrix["classify_safe"] == (25, 0, 1, 0)
+    gate = E.release_gate(df, min_accuracy=0.94).first()
+    assert gate.accuracy_ok and not gate.fail_open_ok and not gate.passed
+
+
+def test_report_with_empty_and_off_list_classes(spark):
+    df = predictions(spark, [(LABELS[0], "other"), (LABELS[0], LABELS[0]), (LABELS[1], LABELS[0])])
+    rows = {r.label: r for r in E.class_report(df).collect()}
+    assert (rows[LABELS[0]].precision, rows[LABELS[0]].recall, rows[LABELS[0]].support) == (0.5, 0.5, 2)
+    assert (rows[LABELS[1]].f1, rows[LABELS[1]].support) == (0.0, 1)
+    assert (rows[LABELS[2]].f1, rows[LABELS[2]].support) == (0.0, 0)
+
+
+def test_latency(spark):
+    rows = [("r", i, float(i)) for i in range(101)] + [("one", 7, 3.0)]
+    df = spark.createDataFrame(rows, "run string, call_id long, latency_ms double")
+    got = {r.run: r for r in E.latency_percentiles(df, ["run"]).collect()}
+    assert (got["r"].cold_ms, got["r"].warm_calls, got["r"].p50, got["r"].p95) == (0.0, 100, 50.5, pytest.approx(95.05))
+    assert (got["one"].cold_ms, got["one"].warm_calls, got["one"].p50) == (3.0, 0, 0.0)
+    near = {r.run: r for r in E.latency_nearest_rank(df, ["run"]).collect()}
+    ordered = sorted(float(i) for i in range(101))
+    assert near["r"].p95 == ordered[max(0, int(0.95 * 101) - 1)] and near["r"].max_ms == 100.0 and near["r"].median == 50.0
+    assert near["one"].p95 == 3.0
+
+
+def test_regression_and_checks(spark):
+    a = predictions(spark, [(LABELS[0], LABELS[0]), (LABELS[0], LABELS[1]), (LABELS[1], LABELS[0]), (LABELS[1], LABELS[1])])
+    b = predictions(spark, [(LABELS[0], LABELS[1]), (LABELS[0], LABELS[0]), (LABELS[1], LABELS[0]), (LABELS[1], LABELS[1]), (LABELS[2], LABELS[2])])
+    got = {r.case_id: r.status for r in E.regression_diff(a, b).collect()}
+    assert got == {0: "newly_broken", 1: "fixed", 2: "still_broken", 3: "still_right", 4: "added"}
+    cases = spark.createDataFrame([(f"p{i}", LABELS[i % 4]) for i in range(100)] + [("q", "odd")], "path string, label string")
+    files = spark.createDataFrame([(f"p{i}",) for i in range(100)], "path string")
+    checks = {r.check: (r.passed, r.detail) for r in E.dataset_checks(cases, files, files.where("path = 'p3'")).collect()}
+    assert checks == {
+        "enough_cases": (True, 101), "labels_valid": (False, 1), "all_classes_present": (True, 4),
+        "class_balance": (True, 0), "files_exist": (False, 1), "no_overlap": (False, 1),
+    }
+
+
+def test_winner(spark):
+    sweep = spark.createDataFrame(
+        [("a", 1.0, 0.9), ("a", 10.0, 0.958), ("b", 1.0, 0.954), ("b", 10.0, 0.958)], "prompt string, C double, mean_f1 double"
+    )
+    got = {(r.prompt, r.C): (r["rank"], r.near_tie) for r in E.select_winner(sweep).collect()}
+    assert got == {("a", 10.0): (1, False), ("b", 10.0): (2, True), ("b", 1.0): (3, True), ("a", 1.0): (4, False)}
+
+
+def test_folds_are_stratified_and_repeatable(spark):
+    rows = [(i, "hot" if i % 10 else "rare") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    one = {r.id: r.fold for r in C.stratified_folds(df, "id").collect()}
+    two = {r.id: r.fold for r in C.stratified_folds(df.repartition(7), "id").collect()}
+    assert one == two
+    for label, n in (("hot", 180), ("rare", 20)):
+        for fold in range(5):
+            assert sum(1 for i, lab in rows if lab == label and one[i] == fold) == n
+
+
+def test_training_set_resume_and_caps(spark):
+    rows = [(i * 10, "hot" if i % 4 else "b", f"t{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, text string").repartition(4)
+    numbered = {r.text: r.scenario_id for r in C.number_scenarios(df, "doc_id", rows_per_chunk=100).collect()}
+    counts = {}
+    for _, label, text in rows:
+        assert numbered[text] == f"{label}:{counts.get(label, 0)}"
+        counts[label] = counts.get(label, 0) + 1
+    scenarios = C.number_scenarios(df, "doc_id").select("scenario_id", "label")
+    assert C.resume_pending(scenarios, scenarios.where("label = 'b'")).count() == 150
+    capped = C.cap_per_class(df, 3, ["doc_id"]).collect()
+    assert sorted((r.label, r.doc_id) for r in capped) == [("b", 0), ("b", 40), ("b", 80), ("hot", 10), ("hot", 20), ("hot", 30)]
+
+
+def test_validation_and_attempts(spark):
+    long = "x " * 200
+    rows = [
+        ("s0", 0, "flag_pii", "short", "do it"), ("s0", 1, "flag_pii", long, "do it"), ("s0", 2, "flag_pii", long + "a@b.com", "do it"),
+        ("s1", 0, "classify_safe", long + "DO THIS THING", "do this thing"), ("s1", 1, "block_transfer", long, "zzz"),
+        ("s2", 0, "block_transfer", None, "zzz"), ("s3", 0, "flag_pii", long + " 12 N Old Mill Road", "zzz"),
+    ]
+    df = spark.createDataFrame(rows, "scenario_id string, attempt int, label string, text string, scenario string")
+    got = {r.scenario_id: (r.attempt, r.status) for r in C.first_valid_attempt(df).collect()}
+    assert got == {
+        "s0": (2, "ok"), "s1": (None, "block_transfer output contains no detectable secret pattern"),
+        "s2": (None, "no response"), "s3": (0, "ok"),
+    }
+    reasons = [r.reason for r in C.validate_rows(df.where("text is not null")).collect()]
+    assert reasons[0] == "too short (5 < 300)" and "echoes scenario instruction" in reasons
+
+
+def test_signals_and_quota(spark):
+    base = "words " * 40
+    rows = [("flag_pii", i % 3, i, base + "a@b.com") for i in range(30)] + [
+        ("flag_pii", 0, 99, base), ("block_transfer", 0, 0, base + "API_KEY = x"), ("block_transfer", 0, 1, base + "token: AKIA" + "Q7Z2M9X4K1P8R3T6"),
+        ("classify_safe", 0, 0, "tiny"), ("classify_safe", 0, 1, "y" * 8001), ("classify_safe", 0, 2, "y" * 8000),
+    ]
+    df = spark.createDataFrame(rows, "label string, query_rank int, hit_rank int, text string")
+    got = sorted((r.label, r.query_rank, r.hit_rank) for r in C.collect_quota(df, 12).collect())
+    want = sorted((q, h) for lab, q, h, t in rows if lab == "flag_pii" and "@" in t)[:12]
+    assert got == sorted([("flag_pii", *w) for w in want] + [("block_transfer", 0, 0), ("classify_safe", 0, 2)])
+
+
+def test_manifest_provenance_dedupe(spark):
+    files = spark.createDataFrame(
+        [("/m/d/a.b.txt", "body"), ("/m/d/a.b.txt.provenance.json", '{"label":"x","hand_assigned_label":"y"}'), ("/m/d/n.txt", "body"),
+         ("/m/d/k.txt", "z"), ("/m/d/k.txt.provenance.json", '{"label":"x"}'), ("/m/d/e.txt", "z"), ("/m/d/e.txt.provenance.json", "{}")],
+        "path string, text string",
+    )
+    got = {(r.scenario_id, r.label) for r in C.provenance_join(files).collect()}
+    assert got == {("mined:d:a.b", "y"), ("mined:d:k", "x")}
+    paths = spark.createDataFrame(
+        [("/h/flag_pii/a",), ("/h/flag_pii/README.md",), ("/h/flag_pii/a.provenance.json",), ("/h/misc/b",), ("/h/flag_pii/sub/c",), ("/l/1",)], "path string"
+    )
+    manifest = spark.createDataFrame([("/l/1", "classify_safe"), ("/l/2", "flag_pii")], "path string, label string")
+    assert [tuple(r) for r in C.labeled_manifest(paths, manifest, "/h").collect()] == [("/h/flag_pii/a", "flag_pii"), ("/l/1", "classify_safe")]
+    docs = spark.createDataFrame([(i, "copy" if i % 3 else f"u{i}") for i in range(90)], "doc_id long, text string")
+    rows = C.content_dedupe(docs).collect()
+    assert len(rows) == 31 and max(r.copies for r in rows) == 60
+    assert C.without_overlap(docs, docs.where("text = 'copy'").select("text")).count() == 30
+
+
+def test_random_order_of_rows_does_not_matter(spark):
+    rng = random.Random(1)
+    rows = [(f"k{rng.randint(0, 50)}", i, float(rng.random())) for i in range(500)]
+    df = spark.createDataFrame(rows, "label string, id long, v double")
+    chunk = hash_chunk(F.md5(F.col("id").cast("string")))
+    a = number_within(df, ["label"], chunk, [F.md5(F.col("id").cast("string"))], "n")
+    b = number_within(df.repartition(11), ["label"], chunk, [F.md5(F.col("id").cast("string"))], "n")
+    assert {(r.id, r.n) for r in a.collect()} == {(r.id, r.n) for r in b.collect()}

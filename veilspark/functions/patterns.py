@@ -8,6 +8,7 @@ between engines.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 # --- fixed values: character classes -------------------------------------
@@ -134,6 +135,12 @@ GATES = {
 }
 
 
+# A placeholder as this library writes it.  Stricter than the egress check, so that
+# underscores in front of a placeholder are not taken for a part of it.
+CATEGORY_NAME = r"[A-Z]+(?:_[A-Z]+)*"
+OWN_PLACEHOLDER = rf"__{CATEGORY_NAME}_\d+__"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One detection category.
@@ -151,6 +158,10 @@ class Rule:
     min_bits: float | None = None
     plain: str | None = None
 
+    def __post_init__(self) -> None:
+        if not re.fullmatch(CATEGORY_NAME, self.category):
+            raise ValueError(f"category must be upper-case words joined by underscores: {self.category!r}")
+
 
 # Characters a match can start with.
 FIRST = {

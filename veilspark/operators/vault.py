@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.patterns import PLACEHOLDER, spark_pattern
+from veilspark.functions.patterns import OWN_PLACEHOLDER, spark_pattern
 from veilspark.functions.spans import let
 
 
@@ -31,10 +31,11 @@ def rehydrate(docs: DataFrame, vault: DataFrame, text: str = "sanitized_text") -
     """Put the originals back, for callers who may see them.
 
     Placeholders are found in the text by pattern, so `__EMAIL_1__` never hits
-    inside `__EMAIL_10__`; unknown ones stay.  Only placeholders travel to the
+    inside `__EMAIL_10__`; unknown ones stay.  A source text that spells out one of its
+    own placeholders cannot be told from it.  Only placeholders travel to the
     vault join, not the texts.
     """
-    pattern = F.lit(spark_pattern(PLACEHOLDER))
+    pattern = F.lit(spark_pattern(OWN_PLACEHOLDER))
     used = docs.select(
         "doc_id",
         F.posexplode(F.regexp_extract_all(F.col(text), pattern, F.lit(0))).alias("pos", "placeholder"),
