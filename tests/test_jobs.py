@@ -80,6 +80,20 @@ def test_unit_vectors_and_encoder(spark):
     assert model is None and abs(out.first().features.norm(2) - 1.0) < 1e-9
 
 
+def test_encoder_loads_once_and_works_in_batches(spark):
+    def load():
+        class Model:
+            def encode(self, texts):
+                assert len(texts) <= 4
+                return [[float(len(t)), float(len(texts))] for t in texts]
+
+        return Model().encode
+
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") + 1).cast("int")).alias("text"))
+    rows, _ = X.featurize(docs.coalesce(1), "none", encoder=X.batch_encoder(load, batch=4))
+    assert rows.count() == 10 and all(abs(r.features.norm(2) - 1) < 1e-6 for r in rows.collect())
+
+
 def blobs(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -140,6 +154,10 @@ def test_incremental_run(spark):
     hits, misses = N.cache_split(changed, store)
     assert [r.doc_id for r in hits.collect()] == [1] and misses.count() == 6
     assert N.cache_split(changed, store, ruleset="default-2")[0].count() == 0
+    assert N.cache_split(changed, store, namespace=N.LAYOUT_NAMESPACE)[0].count() == 0
+    stored = N.run_incremental(changed, store, ["/c"], store=True)
+    assert sorted(stored.results.drop("content").collect()) == sorted(second.results.drop("content").collect())
+    assert stored.artifacts.count() == 1
     merged = N.cache_upsert(store, second.artifacts)
     assert merged.count() == 3
     assert second.audit.count() == 7
@@ -160,6 +178,8 @@ def test_corpus_and_logs(spark, tmp_path):
     rows = {r.path.rsplit("/", 1)[1]: r for r in K.load_corpus(spark, str(tmp_path)).collect()}
     assert rows["a.txt"].text == "ok � bad" and rows["b.md"].text == "é" and rows["b.md"].size_bytes == 2
     assert K.load_corpus(spark, str(tmp_path), "*.md").count() == 1
+    big = {r.size_bytes: r.text for r in K.load_corpus(spark, str(tmp_path), max_bytes=2).collect()}
+    assert big == {8: None, 2: "é"}
     (tmp_path / "x.jsonl").write_text('{"a":1}\n\n{"a":\n{"a":2}\nnot json\n')
     schema = T.StructType([T.StructField("a", T.IntegerType())])
     good, bad = K.read_jsonl(spark, str(tmp_path / "x.jsonl"), schema, keep_bad=True)

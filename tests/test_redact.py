@@ -89,7 +89,7 @@ def test_vault_last_write_wins_and_hides_originals(spark):
 @pytest.mark.parametrize("dedupe", [False, True])
 def test_corpus_scope_with_one_hot_category(spark, dedupe):
     texts = [f"u{i % 7}@x.com 10.0.0.{i % 3}" if i % 5 else "p" + "q" * 3 for i in range(300)]
-    got = R.assign_placeholders(frame(spark, texts), scope="corpus", dedupe=dedupe, docs_per_chunk=16)
+    got = R.assign_placeholders(frame(spark, texts), scope="corpus", dedupe=dedupe, rows_per_chunk=16)
     rows = sorted((r.doc_id, r.start, r.category, r.original, r.placeholder) for r in got.collect())
     counts, seen, want = {}, {}, []
     for i, t in enumerate(texts):

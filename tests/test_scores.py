@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.functions.ranking import hash_chunk, number_within, percentiles, values_at_ranks
+from veilspark.functions.ranking import even_chunks, hash_chunk, number_within, percentiles, values_at_ranks
 from veilspark.operators import curate as C
 from veilspark.operators import evaluate as E
 from veilspark.operators.verdict import LABELS
@@ -20,6 +20,16 @@ def test_number_within_a_hot_group(spark):
         assert got[label, k] == per[label]
 
 
+def test_even_chunks_along_clustered_keys(spark):
+    keys = [*range(400), *range(10**9, 10**9 + 400), 2**60]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    chunked, chunk = even_chunks(df, "k", rows_per_chunk=50)
+    sizes = [r["count"] for r in chunked.groupBy(chunk.alias("c")).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 100
+    numbered = number_within(chunked.withColumn("g", F.lit("g")), ["g"], chunk, ["k"], "n")
+    assert [r.k for r in numbered.orderBy("n").collect()] == sorted(keys) and set(numbered.columns) == {"k", "g", "n"}
+
+
 @pytest.mark.parametrize("kind", ["uniform", "lognormal", "one_value", "negative", "single"])
 def test_percentiles_are_exact(spark, kind):
     rng = np.random.default_rng(3)
@@ -94,10 +104,13 @@ def test_regression_and_checks(spark):
     assert got == {0: "newly_broken", 1: "fixed", 2: "still_broken", 3: "still_right", 4: "added"}
     cases = spark.createDataFrame([(f"p{i}", LABELS[i % 4]) for i in range(100)] + [("q", "odd")], "path string, label string")
     files = spark.createDataFrame([(f"p{i}",) for i in range(100)], "path string")
-    checks = {r.check: (r.passed, r.detail) for r in E.dataset_checks(cases, files, files.where("path = 'p3'")).collect()}
+    must = spark.createDataFrame([("p1",), ("gone",)], "path string")
+    rows = E.dataset_checks(cases, files, files.where("path = 'p3'"), must).collect()
+    checks = {r.check: (r.passed, r.detail) for r in rows}
     assert checks == {
         "enough_cases": (True, 101), "labels_valid": (False, 1), "all_classes_present": (True, 4),
         "class_balance": (True, 0), "files_exist": (False, 1), "no_overlap": (False, 1),
+        "required_present": (False, 1),
     }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
-from veilspark.functions.ranking import hash_chunk, number_within
+from veilspark.functions.ranking import even_chunks, hash_chunk, number_within
 from veilspark.operators.detect import any_rule, live_secret_rules
 from veilspark.operators.verdict import LABELS
 
@@ -70,9 +70,10 @@ def provenance_join(files: DataFrame) -> DataFrame:
     )
 
 
-def number_scenarios(rows: DataFrame, order: str, rows_per_chunk: int = 65536) -> DataFrame:
-    """Adds scenario_id `<label>:<n>`, n from 0 per label along a whole-number `order` column."""
-    numbered = number_within(rows, ["label"], F.floor(F.col(order) / rows_per_chunk), [order], "_n")
+def number_scenarios(rows: DataFrame, order: str, rows_per_chunk: int = 1 << 16) -> DataFrame:
+    """Adds scenario_id `<label>:<n>`, n from 0 per label along a numeric `order` column."""
+    chunked, chunk = even_chunks(rows, order, rows_per_chunk)
+    numbered = number_within(chunked, ["label"], chunk, [order], "_n")
     return numbered.withColumn(
         "scenario_id", F.concat(F.col("label"), F.lit(":"), (F.col("_n") - 1).cast("string"))
     ).drop("_n")

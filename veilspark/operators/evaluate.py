@@ -245,6 +245,7 @@ def dataset_checks(
     cases: DataFrame,
     files: DataFrame,
     other: DataFrame,
+    required: DataFrame | None = None,
     min_cases: int = 90,
     max_spread: int = 25,
     labels: Sequence[str] = LABELS,
@@ -252,7 +253,7 @@ def dataset_checks(
     """(check, passed, detail) for a labelled case list (path, label).
 
     `files` holds the paths that exist, `other` the paths of a set that must not
-    be touched.
+    be touched, `required` those that must be among the cases.
     """
     per_label = cases.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     valid = F.col("label").isin(*labels)
@@ -266,7 +267,7 @@ def dataset_checks(
     paths = cases.select("path").distinct()
     absent = paths.join(files.select("path"), "path", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
     shared = paths.join(other.select("path"), "path", "left_semi").agg(F.count(F.lit(1)).alias("overlap"))
-    # three one-row frames
+    # one-row frames
     row = counted.crossJoin(absent).crossJoin(shared)
     checks = [
         ("enough_cases", F.col("cases") >= min_cases, F.col("cases")),
@@ -276,6 +277,10 @@ def dataset_checks(
         ("files_exist", F.col("missing") == 0, F.col("missing")),
         ("no_overlap", F.col("overlap") == 0, F.col("overlap")),
     ]
+    if required is not None:
+        lacking = required.select("path").distinct().join(paths, "path", "left_anti")
+        row = row.crossJoin(lacking.agg(F.count(F.lit(1)).alias("lacking")))
+        checks.append(("required_present", F.col("lacking") == 0, F.col("lacking")))
     return row.select(
         F.inline(
             F.array(

@@ -14,6 +14,7 @@ from veilspark.operators.files import MAX_BYTES, file_format, gate_reason
 from veilspark.operators.policy import path_policy
 from veilspark.operators.redact import METHOD_REGEX
 from veilspark.operators.verdict import audit_action, evidence_verdict, shown
+from veilspark.session import write_through
 
 LAYOUT_NAMESPACE = "pdf-redact:"  # fixed value
 RULESET = "default-1"
@@ -69,6 +70,7 @@ def run_incremental(
     max_bytes: int = MAX_BYTES,
     rules: Sequence[Rule] = DEFAULT_RULES,
     ruleset: str = RULESET,
+    store: bool = False,
 ) -> ReadRun:
     """Path policy, size gate, verdict, cache, redaction, routing and audit in one plan.
 
@@ -79,6 +81,10 @@ def run_incremental(
     artifacts on the cache key, a uniform hash; it is skipped for an artifact table
     small enough for the planner to broadcast, and a table bucketed by key is read
     in place.
+
+    Results, artifacts and audit are three reads of one plan.  With `store` the
+    decided rows are written once and all three read them, which is what a run that
+    keeps more than one of them wants.
     """
     now = F.current_timestamp() if now is None else now
     checked = (
@@ -125,6 +131,9 @@ def run_incremental(
             F.when(hit, F.col("_old_count")).when(miss, F.size("_marks")).otherwise(0),
         )
     )
+    if store:
+        decided = done.withColumn("_now", now).drop("_spans", "_marks")
+        done, now = write_through(files.sparkSession, decided, "run"), F.col("_now")
     results = done.select(
         "doc_id",
         "path",
@@ -151,6 +160,7 @@ def run_incremental(
         F.when(F.col("verdict") == "safe", shown(F.col("text"), mode))
         .when(to_clean, shown(F.col("sanitized_text"), mode))
         .alias("content"),
+        now.alias("decided_at"),
     )
     made = done.where(miss).select(
         "cache_key",
@@ -164,7 +174,7 @@ def run_incremental(
         now.alias("cached_at"),
     )
     audit = results.select(
-        now.alias("timestamp"),
+        F.col("decided_at").alias("timestamp"),
         F.lit("read").alias("event"),
         "path",
         "action",
@@ -172,4 +182,4 @@ def run_incremental(
         "redaction_count",
         "method",
     )
-    return ReadRun(results, made, audit)
+    return ReadRun(results.drop("decided_at"), made, audit)

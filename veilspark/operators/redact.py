@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import DEFAULT_RULES, Rule
-from veilspark.functions.ranking import number_within
+from veilspark.functions.ranking import even_chunks, number_within
 from veilspark.functions.spans import find_spans, let, merge_spans, number_spans, replace_spans
 from veilspark.operators.files import file_type
 from veilspark.session import write_through
@@ -92,7 +92,7 @@ def assign_placeholders(
     rules: Sequence[Rule] = DEFAULT_RULES,
     scope: str = "doc",
     dedupe: bool = False,
-    docs_per_chunk: int = 4096,
+    rows_per_chunk: int = 1 << 16,
 ) -> DataFrame:
     """Number the disjoint spans per category, left to right, from 1.
 
@@ -110,16 +110,19 @@ def assign_placeholders(
         docs.sparkSession, placeholder_rows(with_marks(docs, text, rules)).drop("placeholder"), "spans"
     )
     name = F.concat(F.lit("__"), F.col("category"), F.lit("_"), F.col("_n").cast("string"), F.lit("__"))
-    chunk = F.floor(F.col("doc_id") / docs_per_chunk)
     if not dedupe:
-        numbered = number_within(spans, ["category"], chunk, ["doc_id", "start"], "_n")
+        chunked, chunk = even_chunks(spans, "doc_id", rows_per_chunk)
+        numbered = number_within(chunked, ["category"], chunk, ["doc_id", "start"], "_n")
         return numbered.withColumn("placeholder", name).drop("_n")
-    firsts = (
+    firsts = write_through(
+        docs.sparkSession,
         spans.groupBy("category", "original")
         .agg(F.min(F.struct("doc_id", "start")).alias("_first"))
-        .select("category", "original", "_first.doc_id", "_first.start")
+        .select("category", "original", "_first.doc_id", "_first.start"),
+        "firsts",
     )
-    numbered = number_within(firsts, ["category"], chunk, ["doc_id", "start"], "_n")
+    chunked, chunk = even_chunks(firsts, "doc_id", rows_per_chunk)
+    numbered = number_within(chunked, ["category"], chunk, ["doc_id", "start"], "_n")
     return spans.join(
         numbered.select("category", "original", name.alias("placeholder")), ["category", "original"]
     ).select("doc_id", "category", "original", "start", "end", "placeholder")

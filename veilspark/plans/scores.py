@@ -164,7 +164,8 @@ v AS (SELECT sum(n)::BIGINT AS cases, coalesce(sum(CASE WHEN label = 'unknown' T
       count(CASE WHEN label <> 'unknown' THEN 1 END) AS classes,
       max(CASE WHEN label <> 'unknown' THEN n END) - min(CASE WHEN label <> 'unknown' THEN n END) AS spread FROM per_label),
 o AS (SELECT count(DISTINCT path) FILTER (path NOT IN (SELECT path FROM files)) AS missing,
-             count(DISTINCT path) FILTER (path IN (SELECT path FROM other)) AS overlap FROM cases)"""
+             count(DISTINCT path) FILTER (path IN (SELECT path FROM other)) AS overlap FROM cases),
+r AS (SELECT count(*) AS lacking FROM documents WHERE source = 'src2' AND '/set/' || doc_id NOT IN (SELECT path FROM cases))"""
 
 
 @query(
@@ -176,7 +177,8 @@ UNION ALL SELECT 'labels_valid', invalid = 0, invalid FROM v
 UNION ALL SELECT 'all_classes_present', classes = 4, classes FROM v
 UNION ALL SELECT 'class_balance', spread <= 25, spread FROM v
 UNION ALL SELECT 'files_exist', missing = 0, missing FROM o
-UNION ALL SELECT 'no_overlap', overlap = 0, overlap FROM o""",
+UNION ALL SELECT 'no_overlap', overlap = 0, overlap FROM o
+UNION ALL SELECT 'required_present', lacking = 0, lacking FROM r""",
 )
 def dataset_checks(spark, sf):
     path = F.concat(F.lit("/set/"), F.col("doc_id").cast("string")).alias("path")
@@ -185,7 +187,10 @@ def dataset_checks(spark, sf):
     )
     docs = I.table(spark, sf, "documents")
     return E.dataset_checks(
-        cases, docs.where(F.col("lang") != "es").select(path), docs.where(F.col("source") == "src1").select(path)
+        cases,
+        docs.where(F.col("lang") != "es").select(path),
+        docs.where(F.col("source") == "src1").select(path),
+        docs.where(F.col("source") == "src2").select(path),
     )
 
 

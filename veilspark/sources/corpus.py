@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.operators.files import file_format
+from veilspark.operators.files import MAX_BYTES, file_format
 
 AUDIT_SCHEMA = T.StructType(
     [
@@ -21,11 +21,15 @@ AUDIT_SCHEMA = T.StructType(
 )
 
 
-def load_corpus(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def load_corpus(
+    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """(path, mtime, size_bytes, format, text), one row per file below `root`.
 
     Bytes that are no UTF-8 become the replacement character; files that
     vanish or cannot be read are skipped.  `mtime` is in epoch milliseconds.
+    Files above `max_bytes` come with a null text: their size is known from the
+    listing, and their content is not read.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -35,13 +39,17 @@ def load_corpus(spark: SparkSession, root: str, glob: str | None = None) -> Data
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select(
+    files = reader.load(root)
+    about = [
         F.regexp_replace("path", "^file:/+", "/").alias("path"),
         F.unix_millis("modificationTime").alias("mtime"),
         F.col("length").alias("size_bytes"),
         file_format(F.col("path")).alias("format"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-    )
+    ]
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    small = files.where(F.col("length") <= max_bytes).select(*about, text.alias("text"))
+    large = files.where(F.col("length") > max_bytes).select(*about, F.lit(None).cast("string").alias("text"))
+    return small.unionByName(large)
 
 
 def read_jsonl(
