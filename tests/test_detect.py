@@ -89,7 +89,7 @@ def noisy_texts(n, seed=7):
         "xoxb-12-ab-", "xoxb-", "ghp_" + "z9" * 18, "Xk9mP2qR7vB4nL8wJ5tY3hC6dE1fA0gZ", "deadbeef" * 6,
         "wort", "é", "ß", "_", "7", "日本語のテキストです", "😀", "a" * 19, "Zz" * 10,
     ]
-    joints = [" ", "", "\n", "\t", ",", "-", ".", "_", "é", "\u00a0", "\u2003", "\u3000", "\u2028", "\ufeff", "<", "'", "(", ")", "😀"]
+    joints = [" ", "", "\n", "\t", ",", "-", ".", "_", "é", "\u00a0", "\u2003", "\u3000", "\u2028", "\ufeff", "\x01", "\x02", "<", "'", "(", ")", "😀"]
     return ["".join(rng.choice(pieces) + rng.choice(joints) for _ in range(rng.randint(1, 12))) for _ in range(n)]
 
 

@@ -9,7 +9,9 @@ with very many hits stays close to linear.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ SPAN_TYPE = (
     "array<struct<start:int,neg_end:int,priority:int,end:int,bstart:int,bend:int,"
     "category:string,value:string>>"
 )
+_OPEN, _CLOSE = "\x01", "\x02"
 _MATCH_TYPE = "struct<category:string,priority:int,m:array<string>,g:array<string>>"
 
 
@@ -142,7 +145,12 @@ def entropy_bits(token: Column) -> Column:
 
 
 def _matches(text: Column, rule: Rule, priority: int) -> Column:
-    """struct(category, priority, matches, gaps between them)."""
+    """struct(category, priority, matches, gaps between them).
+
+    One run of the pattern marks the matches with two control characters, and the
+    marked text is cut at them; a text that holds such a character itself is run
+    through the pattern twice instead.
+    """
     wide = F.rlike(text, F.lit(BEYOND_LATIN)) & F.rlike(text, F.lit(WIDE_SPACE))
     exact = F.lit(spark_pattern(rule.pattern))
     plain = F.lit(spark_pattern(rule.plain)) if rule.plain else None
@@ -150,19 +158,27 @@ def _matches(text: Column, rule: Rule, priority: int) -> Column:
     def by_pattern(use: Callable[[Column], Column]) -> Column:
         return use(exact) if plain is None else F.when(wide, use(exact)).otherwise(use(plain))
 
-    empty = F.array().cast("array<string>")
-    found = by_pattern(lambda regex: F.regexp_extract_all(text, regex, F.lit(0)))
-    if rule.gate:
-        found = F.when(F.rlike(text, F.lit(spark_pattern(rule.gate))), found).otherwise(empty)
-    return let(
-        F.coalesce(found, empty),
-        lambda m: F.struct(
-            F.lit(rule.category).alias("category"),
-            F.lit(priority).alias("priority"),
-            m.alias("m"),
-            F.when(F.size(m) > 0, by_pattern(lambda regex: F.split(text, regex, -1))).alias("g"),
-        ).cast(_MATCH_TYPE),
+    def pair(m: Column, g: Column) -> Column:
+        return F.struct(
+            F.lit(rule.category).alias("category"), F.lit(priority).alias("priority"), m.alias("m"), g.alias("g")
+        ).cast(_MATCH_TYPE)
+
+    def cut(parts: Column) -> Column:
+        return pair(
+            F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.substring_index(p, _CLOSE, 1)),
+            F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.substring_index(p, _CLOSE, -1))),
+        )
+
+    marked = by_pattern(lambda regex: F.regexp_replace(text, regex, F.lit(f"{_OPEN}$0{_CLOSE}")))
+    holds_marks = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_CLOSE))
+    twice = pair(
+        by_pattern(lambda regex: F.regexp_extract_all(text, regex, F.lit(0))),
+        by_pattern(lambda regex: F.split(text, regex, -1)),
     )
+    found = F.when(holds_marks, twice).otherwise(let(F.split(marked, _OPEN, -1), cut))
+    if rule.gate is None:
+        return F.when(text.isNotNull(), found)
+    return F.when(F.rlike(text, F.lit(spark_pattern(rule.gate))), found)
 
 
 def _place(hit: Column) -> Column:
@@ -210,6 +226,29 @@ def may_match(text: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     return test
 
 
+_built: dict[tuple, Column] = {}
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression built for a column name.
+
+    The expression has a few hundred nodes, each made by a call into the JVM; a job
+    that uses it on several frames makes it once.  A `Column` argument is built anew.
+    """
+
+    @wraps(build)
+    def get(text: Column | str, rules: Sequence[Rule] = DEFAULT_RULES, **options) -> Column:
+        if not isinstance(text, str):
+            return build(text, rules, **options)
+        key = (build.__name__, SparkContext._gateway, text, tuple(rules), *options.items())
+        if key not in _built:
+            _built[key] = build(F.col(text), rules, **options)
+        return _built[key]
+
+    return get
+
+
+@built_once
 def find_spans(text: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """All matches of all rules in one pass over a row, sorted by position.
 

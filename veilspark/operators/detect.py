@@ -18,7 +18,7 @@ def detect(
     keys: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """(keys, category, value, start, end), one row per span, one pass over the text."""
-    return docs.select(*keys, F.inline(find_spans(F.col(text), rules))).select(
+    return docs.select(*keys, F.inline(find_spans(text, rules))).select(
         *keys, "category", "priority", "value", "start", "end"
     )
 
@@ -33,7 +33,7 @@ def detect_category(docs: DataFrame, category: str, text: str = "text", keys=("d
 
 def merge_rows(docs: DataFrame, text: str = "text", keys=("doc_id",), rules=P.DEFAULT_RULES) -> DataFrame:
     """Disjoint spans of each document, found and merged inside the row."""
-    return docs.select(*keys, F.inline(merge_spans(find_spans(F.col(text), rules)))).select(
+    return docs.select(*keys, F.inline(merge_spans(find_spans(text, rules)))).select(
         *keys, "category", "start", "end"
     )
 
@@ -79,7 +79,7 @@ def detection_profile(
         every = F.struct(F.lit("ALL").alias("category"), F.size(spans).alias("hits"))
         return F.concat(one, F.array(every))
 
-    found = docs.select(*dims, find_spans(F.col(text)).alias("_spans"))
+    found = docs.select(*dims, find_spans(text).alias("_spans"))
     exploded = found.select(*dims, F.inline(F.get(F.transform(F.array("_spans"), per_category), F.lit(0))))
     cells = [[*cell, "category"] for k in range(len(dims) + 1) for cell in combinations(dims, k)]
     return (

@@ -94,7 +94,7 @@ def run_incremental(
     )
     empty = F.array()
     read = with_cache_key(checked).withColumn(
-        "_spans", F.when(F.col("_open"), find_spans(F.col("text"), rules))
+        "_spans", F.when(F.col("_open"), find_spans("text", rules))
     )
     categories = F.coalesce(
         F.array_distinct(F.transform("_spans", lambda s: s.category)), empty.cast("array<string>")

@@ -84,7 +84,7 @@ def flag_tokens(
     hold duplicates.  A value found by detection covers the equal tokens by
     itself, as equal text has equal detections.
     """
-    flagged = tokens.withColumn("_hit", F.size(find_spans(F.col("text"), rules)) > 0)
+    flagged = tokens.withColumn("_hit", F.size(find_spans("text", rules)) > 0)
     if known_values is not None:
         known = known_values.select("doc_id", "text").distinct().withColumn("_known", F.lit(True))
         flagged = flagged.join(known, ["doc_id", "text"], "left").withColumn(

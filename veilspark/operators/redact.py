@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import DEFAULT_RULES, Rule
 from veilspark.functions.ranking import even_chunks, number_within
-from veilspark.functions.spans import find_spans, let, merge_spans, number_spans, replace_spans
+from veilspark.functions.spans import (
+    built_once,
+    find_spans,
+    let,
+    merge_spans,
+    number_spans,
+    replace_spans,
+)
 from veilspark.operators.files import file_type
 from veilspark.session import write_through
 
@@ -31,6 +38,7 @@ DEFAULT_TEMPLATE = "[REDACTED: {t}]"
 # ------------------------------------------------------------------------------
 
 
+@built_once
 def marks_of(text: Column, rules: Sequence[Rule] = DEFAULT_RULES, dedupe: bool = False) -> Column:
     """Disjoint, numbered spans of a text, as an array."""
     return number_spans(merge_spans(find_spans(text, rules)), text, dedupe)
@@ -48,7 +56,7 @@ def with_marks(
     `spans` names a column that holds the text's spans already.
     """
     if spans is None:
-        return docs.withColumn("marks", marks_of(F.col(text), rules, dedupe))
+        return docs.withColumn("marks", marks_of(text, rules, dedupe=dedupe))
     return docs.withColumn("marks", number_spans(merge_spans(F.col(spans)), F.col(text), dedupe))
 
 

@@ -58,7 +58,7 @@ def search_sanitized(
             ),
         )
     )
-    cleaned = picked.withColumn("marks", marks_of(F.col("raw"), rules)).select(
+    cleaned = picked.withColumn("marks", marks_of("raw", rules)).select(
         "path",
         "line",
         F.trim(replace_spans(F.col("raw"), F.col("marks"))).alias("snippet"),

@@ -116,7 +116,7 @@ def with_rule_verdict(
     spans: str | None = None,
 ) -> DataFrame:
     """Adds `verdict` and `categories`; `spans` names a column with the text's spans."""
-    found = find_spans(F.col(text), rules) if spans is None else F.col(spans)
+    found = find_spans(text, rules) if spans is None else F.col(spans)
     categories = F.sort_array(F.array_distinct(F.transform(found, lambda s: s.category)))
     return (
         docs.withColumn("_categories", categories)

@@ -500,7 +500,7 @@ def rule_verdict(spark, sf):
 
 def _routed_input(spark, sf):
     """Verdict and redaction from the same spans."""
-    found = I.corpus(spark, sf).withColumn("spans", find_spans(F.col("text")))
+    found = I.corpus(spark, sf).withColumn("spans", find_spans("text"))
     judged = V.with_rule_verdict(found, spans="spans").withColumn(
         "reason", F.concat(F.lit("evidence: "), F.col("categories"))
     )

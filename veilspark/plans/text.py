@@ -252,11 +252,10 @@ def policy_report(spark, sf):
     return V.policy_report(vault, {"max_file_bytes": "5242880", "allowed_roots": "/corpus"})
 
 
-# Known values: every document is searched for its own first and longest words,
-# one of them inside the other.
+# Known values: every document's own first word and the first two letters of it, one
+# value inside the other.
 _FINDINGS_SQL = """
-words AS (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' ') AS w FROM documents),
-first_word AS (SELECT doc_id, list_filter(w, lambda x: length(x) > 0)[1] AS value FROM words),
+first_word AS (SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z]+'), '') AS value FROM documents),
 findings AS (
   SELECT doc_id, value, 'NAME' AS type FROM first_word WHERE value IS NOT NULL
   UNION ALL SELECT doc_id, substring(value, 1, 2), 'PART' FROM first_word WHERE length(value) > 2),
@@ -295,9 +294,10 @@ SELECT doc_id, file_type, CASE WHEN n = 2 THEN replace(a, v2, {_template_sql("fi
 FROM once""",
 )
 def redact_by_findings(spark, sf):
-    files = I.spread(I.files(spark, sf))
-    words = F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " ", -1)
-    first = files.select("doc_id", F.get(F.filter(words, lambda x: F.length(x) > 0), F.lit(0)).alias("value"))
+    files = I.files(spark, sf)
+    first = files.select(
+        "doc_id", F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")).alias("value")
+    )
     findings = (
         first.where(F.col("value").isNotNull())
         .select("doc_id", "value", F.lit("NAME").alias("type"))
@@ -307,7 +307,7 @@ def redact_by_findings(spark, sf):
             )
         )
     )
-    return R.redact_by_findings(files, findings).select(
+    return R.redact_by_findings(I.spread(files), findings).select(
         "doc_id", "file_type", "redacted_text", "redaction_count"
     )
 
