@@ -73,8 +73,9 @@ def test_published_scores_come_out(spark):
     assert tally == {"fail_open": 1, "over_restrict": 4}
     matrix = {r.expected: tuple(r[x] for x in LABELS) for r in E.confusion_matrix(df).collect()}
     assert matrix["flag_pii"] == (0, 21, 2, 1) and matrix["classify_safe"] == (25, 0, 1, 0)
-    gate = E.release_gate(df, min_accuracy=0.94).first()
-    assert gate.accuracy_ok and not gate.fail_open_ok and not gate.passed
+    gate = E.release_gate(df.withColumn("run", F.lit("r")), min_accuracy=0.94).first()
+    assert gate.accuracy_ok and gate.latency_ok and not gate.fail_open_ok and not gate.passed
+    assert gate.p50 == sorted(10.0 + i for i in range(1, 98))[97 // 2]
 
 
 def test_report_with_empty_and_off_list_classes(spark):

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,23 +89,29 @@ def class_report(predictions: DataFrame, labels: Sequence[str] = LABELS) -> Data
 
 def overall_metrics(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """One row: n, correct, accuracy, macro averages and support-weighted averages."""
-    totals = pair_counts(predictions).agg(
-        F.sum("n").cast("long").alias("n"),
-        F.sum(F.when(F.col("expected") == F.col("predicted"), F.col("n")).otherwise(0))
-        .cast("long")
-        .alias("correct"),
-    )
+    right = F.col("expected") == F.col("predicted")
+    totals = pair_counts(predictions).select("n", F.when(right, F.col("n")).otherwise(0).alias("correct"))
+    scores = class_report(predictions, labels)
     weight = F.sum("support").cast("double")
-    scores = class_report(predictions, labels).agg(
-        F.avg("f1").alias("macro_f1"),
-        F.avg("precision").alias("macro_precision"),
-        F.avg("recall").alias("macro_recall"),
-        _ratio(F.sum(F.col("f1") * F.col("support")), weight).alias("weighted_f1"),
-        _ratio(F.sum(F.col("precision") * F.col("support")), weight).alias("weighted_precision"),
-        _ratio(F.sum(F.col("recall") * F.col("support")), weight).alias("weighted_recall"),
+
+    def weighted(name: str) -> Column:
+        return _ratio(F.sum(F.col(name) * F.col("support")), weight)
+
+    # A label's row has no counts and a count's row has no scores; nulls are not averaged.
+    return (
+        scores.unionByName(totals, allowMissingColumns=True)
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"),
+            F.coalesce(F.sum("correct"), F.lit(0)).cast("long").alias("correct"),
+            F.avg("f1").alias("macro_f1"),
+            F.avg("precision").alias("macro_precision"),
+            F.avg("recall").alias("macro_recall"),
+            weighted("f1").alias("weighted_f1"),
+            weighted("precision").alias("weighted_precision"),
+            weighted("recall").alias("weighted_recall"),
+        )
+        .withColumn("accuracy", _ratio(F.col("correct"), F.col("n")))
     )
-    # one row with one row
-    return totals.withColumn("accuracy", _ratio(F.col("correct"), F.col("n"))).crossJoin(scores)
 
 
 def latency_percentiles(
@@ -190,35 +197,35 @@ def error_direction(predictions: DataFrame) -> DataFrame:
 
 
 def release_gate(
-    predictions: DataFrame, min_accuracy: float = 0.949, min_low: float = 0.886, max_p50_ms: float = 400.0
+    predictions: DataFrame,
+    group: Sequence[str] = ("run",),
+    min_accuracy: float = 0.949,
+    min_low: float = 0.886,
+    max_p50_ms: float = 400.0,
 ) -> DataFrame:
-    """One row: accuracy, its lower bound, leaks and warm median against their limits."""
+    """One row per run: accuracy, its lower bound, leaks and warm median against their limits."""
+    group = list(group)
     low, _ = wilson(F.col("correct"), F.col("n"))
-    counted = predictions.agg(
+    leak = direction(F.col("expected"), F.col("predicted")) == "fail_open"
+    counted = predictions.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("expected") == F.col("predicted"), 1)).alias("correct"),
-        F.count(
-            F.when(direction(F.col("expected"), F.col("predicted")) == "fail_open", 1)
-        ).alias("fail_open"),
+        F.count(F.when(leak, 1)).alias("fail_open"),
         F.min("case_id").alias("_first"),
-    ).withColumn("_one", F.lit(1))
-    warm = (
-        predictions.withColumn("_one", F.lit(1))
-        .join(counted.select("_one", "_first"), "_one")
-        .where(F.col("case_id") > F.col("_first"))
     )
+    warm = predictions.join(counted.select(*group, "_first"), group).where(F.col("case_id") > F.col("_first"))
     # the middle call, upper one of two
-    median = values_at_ranks(warm, ["_one"], "latency_ms", {"p50": F.floor(F.col("n") / 2) + 1})
+    median = values_at_ranks(warm, group, "latency_ms", {"p50": F.floor(F.col("n") / 2) + 1}).drop("n")
     return (
-        counted.join(median.select("_one", "p50"), "_one", "left")
+        counted.join(median, group, "left")
         .select(
-            "n", "correct", (F.col("correct") / F.col("n")).alias("accuracy"),
+            *group, "n", "correct", (F.col("correct") / F.col("n")).alias("accuracy"),
             low.alias("low"), "fail_open", "p50",
         )
         .withColumn("accuracy_ok", F.col("accuracy") >= min_accuracy)
         .withColumn("low_ok", F.col("low") >= min_low)
         .withColumn("fail_open_ok", F.col("fail_open") == 0)
-        .withColumn("latency_ok", F.col("p50") <= max_p50_ms)
+        .withColumn("latency_ok", F.coalesce(F.col("p50") <= max_p50_ms, F.lit(False)))
         .withColumn(
             "passed", F.col("accuracy_ok") & F.col("low_ok") & F.col("fail_open_ok") & F.col("latency_ok")
         )
@@ -264,35 +271,33 @@ def dataset_checks(
         F.count(F.when(valid, 1)).alias("classes"),
         spread.cast("long").alias("spread"),
     )
+    def rows(frame: DataFrame, *checks: tuple[str, Column, Column]) -> DataFrame:
+        structs = [
+            F.struct(F.lit(name).alias("check"), ok.alias("passed"), detail.cast("long").alias("detail"))
+            for name, ok, detail in checks
+        ]
+        return frame.select(F.inline(F.array(*structs)))
+
+    def none_of(name: str, frame: DataFrame) -> DataFrame:
+        n = F.col("n")
+        return rows(frame.agg(F.count(F.lit(1)).alias("n")), (name, n == 0, n))
+
     paths = cases.select("path").distinct()
-    absent = paths.join(files.select("path"), "path", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    shared = paths.join(other.select("path"), "path", "left_semi").agg(F.count(F.lit(1)).alias("overlap"))
-    # one-row frames
-    row = counted.crossJoin(absent).crossJoin(shared)
     checks = [
-        ("enough_cases", F.col("cases") >= min_cases, F.col("cases")),
-        ("labels_valid", F.col("invalid") == 0, F.col("invalid")),
-        ("all_classes_present", F.col("classes") == len(labels), F.col("classes")),
-        ("class_balance", F.col("spread") <= max_spread, F.col("spread")),
-        ("files_exist", F.col("missing") == 0, F.col("missing")),
-        ("no_overlap", F.col("overlap") == 0, F.col("overlap")),
+        rows(
+            counted,
+            ("enough_cases", F.col("cases") >= min_cases, F.col("cases")),
+            ("labels_valid", F.col("invalid") == 0, F.col("invalid")),
+            ("all_classes_present", F.col("classes") == len(labels), F.col("classes")),
+            ("class_balance", F.col("spread") <= max_spread, F.col("spread")),
+        ),
+        none_of("files_exist", paths.join(files.select("path"), "path", "left_anti")),
+        none_of("no_overlap", paths.join(other.select("path"), "path", "left_semi")),
     ]
     if required is not None:
         lacking = required.select("path").distinct().join(paths, "path", "left_anti")
-        row = row.crossJoin(lacking.agg(F.count(F.lit(1)).alias("lacking")))
-        checks.append(("required_present", F.col("lacking") == 0, F.col("lacking")))
-    return row.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("check"), ok.alias("passed"), detail.cast("long").alias("detail")
-                    )
-                    for name, ok, detail in checks
-                ]
-            )
-        )
-    )
+        checks.append(none_of("required_present", lacking))
+    return reduce(DataFrame.unionByName, checks)
 
 
 def sweep_summary(folds: DataFrame) -> DataFrame:

@@ -123,12 +123,13 @@ def error_direction(spark, sf):
 @query(
     "release_gate",
     f"""
-WITH {PRED}, t AS (SELECT count(*) AS n, count(CASE WHEN expected = predicted THEN 1 END) AS c, min(case_id) AS f,
-  count(CASE WHEN expected <> predicted AND predicted = 'classify_safe' THEN 1 END) AS fail_open FROM predictions),
-warm AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) AS rn, count(*) OVER () AS m FROM predictions, t WHERE case_id > f),
-mid AS (SELECT max(CASE WHEN rn = m // 2 + 1 THEN latency_ms END) AS p50 FROM warm),
-g AS (SELECT n, c AS correct, c / n::DOUBLE AS accuracy, {_WILSON.format(sign="-")} AS low, fail_open, p50 FROM t, mid)
-SELECT n, correct, round(accuracy, 6) AS accuracy, round(low, 6) AS low, fail_open, p50, accuracy >= 0.949 AS accuracy_ok, low >= 0.886 AS low_ok,
+WITH {PRED}, t AS (SELECT run, count(*) AS n, count(CASE WHEN expected = predicted THEN 1 END) AS c, min(case_id) AS f,
+  count(CASE WHEN expected <> predicted AND predicted = 'classify_safe' THEN 1 END) AS fail_open FROM predictions GROUP BY run),
+warm AS (SELECT p.run, latency_ms, row_number() OVER (PARTITION BY p.run ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY p.run) AS m
+         FROM predictions p JOIN t ON p.run = t.run AND case_id > f),
+mid AS (SELECT run, max(CASE WHEN rn = m // 2 + 1 THEN latency_ms END) AS p50 FROM warm GROUP BY run),
+g AS (SELECT t.run, n, c AS correct, c / n::DOUBLE AS accuracy, {_WILSON.format(sign="-")} AS low, fail_open, p50 FROM t JOIN mid ON t.run = mid.run)
+SELECT run, n, correct, round(accuracy, 6) AS accuracy, round(low, 6) AS low, fail_open, p50, accuracy >= 0.949 AS accuracy_ok, low >= 0.886 AS low_ok,
        fail_open = 0 AS fail_open_ok, p50 <= 400 AS latency_ok, accuracy >= 0.949 AND low >= 0.886 AND fail_open = 0 AND p50 <= 400 AS passed FROM g""",
 )
 def release_gate(spark, sf):
