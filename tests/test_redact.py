@@ -47,7 +47,8 @@ def test_a_document_with_very_many_hits(spark):
 
 
 def test_table_form_equals_row_form(spark):
-    docs = frame(spark, noisy_texts(300, seed=5))
+    many = " ".join(f"u{i}@ex.com" for i in range(5000))
+    docs = frame(spark, [*noisy_texts(300, seed=5), many, many + " é😀", "😀é a@b.com 😀"])
     a = {r.doc_id: r.sanitized_text for r in R.sanitize(docs).collect()}
     b = {r.doc_id: r.sanitized_text for r in R.sanitize_tables(docs, R.assign_placeholders(docs)).collect()}
     assert a == b

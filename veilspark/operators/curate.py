@@ -19,6 +19,14 @@ SIGNAL_MAX_CHARS = 8000
 SIDECAR_SUFFIX = ".provenance.json"
 README_NAME = "README.md"
 FOLDS = 5
+REASON_SHORT = "too short ({n} < 300)"
+REASON_ECHO = "echoes scenario instruction"
+REASON_NO_PII = "flag_pii output contains no detectable PII pattern"
+REASON_NO_SECRET = "block_transfer output contains no detectable secret pattern"
+SIGNAL_SHORT = "too short ({n} chars)"
+SIGNAL_LONG = "too long ({n} chars)"
+SIGNAL_NO_EMAIL = "no email-shaped tokens"
+SIGNAL_NO_SECRET = "no credential-shaped key=value lines"
 # ----------------------------------------------------------------------------
 PROVENANCE_SCHEMA = (
     "struct<label:string,source_repo:string,source_path:string,source_blob_sha:string,source_url:string,"
@@ -99,22 +107,19 @@ def resume_pending(scenarios: DataFrame, done: DataFrame) -> DataFrame:
     return scenarios.join(done.select("scenario_id"), "scenario_id", "left_anti")
 
 
+def with_count(message: str, n: Column) -> Column:
+    return F.replace(F.lit(message), F.lit("{n}"), n.cast("string"))
+
+
 def validation_reason(label: Column, text: Column, scenario: Column) -> Column:
     """Why a generated text is rejected; empty if it is good."""
     size = F.length(text)
-    short = F.concat(F.lit("too short ("), size.cast("string"), F.lit(f" < {MIN_CHARS})"))
     echo = F.contains(F.lower(text), F.substring(F.lower(scenario), 1, ECHO_CHARS))
     return (
-        F.when(size < MIN_CHARS, short)
-        .when(echo, "echoes scenario instruction")
-        .when(
-            (label == "flag_pii") & ~any_rule(text, P.PII_RULES),
-            "flag_pii output contains no detectable PII pattern",
-        )
-        .when(
-            (label == "block_transfer") & ~any_rule(text, P.SECRET_RULES),
-            "block_transfer output contains no detectable secret pattern",
-        )
+        F.when(size < MIN_CHARS, with_count(REASON_SHORT, size))
+        .when(echo, REASON_ECHO)
+        .when((label == "flag_pii") & ~any_rule(text, P.PII_RULES), REASON_NO_PII)
+        .when((label == "block_transfer") & ~any_rule(text, P.SECRET_RULES), REASON_NO_SECRET)
         .otherwise("")
     )
 
@@ -132,16 +137,10 @@ def signal_reason(label: Column, text: Column) -> Column:
     email = F.rlike(text, F.lit(P.spark_pattern(P.SIGNAL_EMAIL, unicode_words=True)))
     secret = F.rlike(text, F.lit(P.spark_pattern(P.SIGNAL_SECRET, unicode_words=True)))
     return (
-        F.when(
-            size < SIGNAL_MIN_CHARS,
-            F.concat(F.lit("too short ("), size.cast("string"), F.lit(" chars)")),
-        )
-        .when(
-            size > SIGNAL_MAX_CHARS,
-            F.concat(F.lit("too long ("), size.cast("string"), F.lit(" chars)")),
-        )
-        .when((label == "flag_pii") & ~(F.contains(text, F.lit("@")) & email), "no email-shaped tokens")
-        .when((label == "block_transfer") & ~secret, "no credential-shaped key=value lines")
+        F.when(size < SIGNAL_MIN_CHARS, with_count(SIGNAL_SHORT, size))
+        .when(size > SIGNAL_MAX_CHARS, with_count(SIGNAL_LONG, size))
+        .when((label == "flag_pii") & ~(F.contains(text, F.lit("@")) & email), SIGNAL_NO_EMAIL)
+        .when((label == "block_transfer") & ~secret, SIGNAL_NO_SECRET)
         .otherwise("")
     )
 

@@ -18,6 +18,8 @@ FILE_TYPES = {
     ".rb": "code", ".php": "code", ".cpp": "code", ".c": "code", ".sh": "code", ".bash": "code",
     ".docx": "docx", ".doc": "docx", ".pdf": "pdf",
 }
+REASON_OVERSIZE = "File size {size} exceeds {limit}-byte limit; routing to request_permission for explicit human review."
+REASON_IMAGE = "Image file ({ext}); OCR not supported in v1. Routing to request_permission for human review."
 # ----------------------------------------------------------------------------
 
 
@@ -48,14 +50,10 @@ def format_inventory(files: DataFrame) -> DataFrame:
 def gate_reason(path: Column, size: Column, max_bytes: int = MAX_BYTES) -> Column:
     """Why a file must go to a person before any text is read; null if it need not."""
     ext = extension(path)
-    oversize = F.concat(
-        F.lit("File size "), size.cast("string"),
-        F.lit(f" exceeds {max_bytes}-byte limit; routing to request_permission for explicit human review."),
-    )
-    image = F.concat(
-        F.lit("Image file ("), ext,
-        F.lit("); OCR not supported in v1. Routing to request_permission for human review."),
+    oversize = F.replace(
+        F.lit(REASON_OVERSIZE.replace("{limit}", str(max_bytes))), F.lit("{size}"), size.cast("string")
     )
+    image = F.replace(F.lit(REASON_IMAGE), F.lit("{ext}"), ext)
     return F.when(size > max_bytes, oversize).when(ext.isin(*IMAGE_EXTENSIONS), image)
 
 

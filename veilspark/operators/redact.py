@@ -146,24 +146,39 @@ def sanitize_tables(docs: DataFrame, detections: DataFrame, text: str = "text")
         F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans")
     )
 
-    def rebuild(s: Column) -> Column:
+    one_byte = F.octet_length(text) == F.length(text)
+
+    def rebuild(s: Column, raw: Column, chars: Column) -> Column:
+        """Pieces are cut from bytes where a character is one byte, else from an array of characters:
+        a substring by characters would walk from the start of the text for every piece."""
+
+        def piece(start: Column, size: Column) -> Column:
+            return F.when(one_byte, F.substr(raw, start + 1, size).cast("string")).otherwise(
+                F.array_join(F.slice(chars, start + 1, size), "")
+            )
+
         pieces = F.transform(
             s,
             lambda x, i: let(
                 F.coalesce(F.get(s, i - 1).end, F.lit(0)),
-                lambda at: F.concat(F.substring(F.col(text), at + 1, x.start - at), x.placeholder),
+                lambda at: F.concat(piece(at, x.start - at), x.placeholder),
             ),
         )
         last = F.get(s, F.size(s) - 1).end
-        return F.concat(
-            F.array_join(pieces, ""), F.substring(F.col(text), last + 1, F.length(text))
-        )
-
+        return F.concat(F.array_join(pieces, ""), piece(last, F.length(text) - last))
+
+    chars = F.when(~one_byte, F.split(F.col(text), "", -1))
+    rebuilt = let(
+        F.col("_spans"),
+        lambda s: let(
+            F.col(text).cast("binary"), lambda raw: let(chars, lambda letters: rebuild(s, raw, letters))
+        ),
+    )
     return (
         docs.join(spans, "doc_id", "left")
         .withColumn(
             "sanitized_text",
-            F.when(F.col("_spans").isNull(), F.col(text)).otherwise(let(F.col("_spans"), rebuild)),
+            F.when(F.col("_spans").isNull(), F.col(text)).otherwise(rebuilt),
         )
         .withColumn("redaction_count", F.coalesce(F.size("_spans"), F.lit(0)))
         .drop("_spans")
