@@ -3,6 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from veilspark.plans import catalog
 from scripts.check_oracles import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, con, name):
     state, detail, _ = compare(spark, con, name, SF)
     assert state == "ok", detail

@@ -1,8 +1,10 @@
 """Session settings and the shared scratch folder."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -21,9 +23,26 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that is already running."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the driver was started from."""
+    if spark.conf.get("veilspark.shipped", "") == spark.sparkContext.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="veilspark-package-"), "veilspark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("veilspark", os.path.relpath(path, here)))
+    spark.addArtifacts(target, pyfile=True)
+    spark.conf.set("veilspark.shipped", spark.sparkContext.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
