@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, rules
+from veilspark.llm import decontaminate, jaccard, pieces, rules, tokens
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
@@ -18,3 +18,21 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 def decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark windows found in every document."""
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op2_token_counts")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every line of every field."""
+    return tokens.attribute(table(spark, sf, "documents"))
+
+
+@query("op6_sentencepiece")
+def sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeded segmentation of every document, decoded again."""
+    return pieces.round_trip(table(spark, sf, "documents"))
+
+
+@query("op7_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Class, links and group of every document."""
+    return jaccard.near_copies(table(spark, sf, "documents")).drop("row")
