@@ -63,3 +63,18 @@ ASCII_LOWER = {b: b + 32 for b in range(65, 91)}
 def alnum_words(text: str) -> list[bytes]:
     """Lower-cased (A-Z only) runs of characters that are no ASCII punctuation, space or control."""
     return text.encode("utf-8", "surrogatepass").translate(ALNUM_BYTES).split()
+
+
+#: Rows that may be broadcast; more are joined by a shuffle.  With the row widths used here a
+#: broadcast stays under about 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored frame of narrow rows, marked for broadcast only if it was counted and is small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A number for a row's id and text together; ids may repeat or be null."""
+    return F.xxhash64(F.col(f"`{id_col}`"), whole(F.col(f"`{text_col}`")))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, jaccard, pieces, rules, tokens
+from veilspark.llm import decontaminate, jaccard, lines, pieces, rules, tokens
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
@@ -36,3 +36,9 @@ def sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Class, links and group of every document."""
     return jaccard.near_copies(table(spark, sf, "documents")).drop("row")
+
+
+@query("op9_line_dedup")
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that every document keeps and loses."""
+    return lines.dedup_report(table(spark, sf, "documents"))
