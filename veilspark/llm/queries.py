@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, jaccard, lines, pieces, rules, tokens
+from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, rules, tokens
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
@@ -42,3 +42,9 @@ def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that every document keeps and loses."""
     return lines.dedup_report(table(spark, sf, "documents"))
+
+
+@query("op5_substring_dedup")
+def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated passages of every document."""
+    return chunks.repeat_report(table(spark, sf, "documents"))
