@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, rules, tokens
+from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, rules, secrets, tokens
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
@@ -48,3 +48,9 @@ def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated passages of every document."""
     return chunks.repeat_report(table(spark, sf, "documents"))
+
+
+@query("op1_secret_scan")
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.secret_report(table(spark, sf, "documents"))
