@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, rules, secrets, tokens
+from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, quality, rules, secrets, templates, tokens
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
@@ -54,3 +54,16 @@ def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.secret_report(table(spark, sf, "documents"))
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document, by a model of the labelled ones that are not held out."""
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op4_html_extraction")
+def html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.main_text(table(spark, sf, "pages"))
