@@ -55,10 +55,9 @@ def test_nearest_neighbour(spark, kind):
 
 
 def test_text_preparation(spark):
-    df = spark.createDataFrame([(1, "a" * 8001), (2, "b")], "doc_id long, text string")
-    rows = {r.doc_id: r.prepared for r in X.prepare_text(df, "classify_doc", mark_cut=True).collect()}
-    assert rows[2] == "Classify the following document: b"
-    assert rows[1].endswith("a\n[... file truncated ...]") and len(rows[1]) == 33 + 8000 + 25
+    df = spark.createDataFrame([(1, "a" * 200_000), (2, "b")], "doc_id long, text string")
+    rows = {r.doc_id: r.prepared for r in X.prepare_text(df, "classify_doc").collect()}
+    assert rows[2] == "Classify the following document: b" and len(rows[1]) == 33 + 200_000
     with pytest.raises(ValueError):
         X.prepare_text(df, "nope")
     assert X.prompt_grid(df).count() == 8
@@ -152,14 +151,22 @@ def test_incremental_run(spark):
     second = N.run_incremental(changed, store, ["/c"])
     assert {r.doc_id: (r.action, r.cached) for r in second.results.where("verdict = 'flag_pii'").collect()} == {1: ("cache_hit", True), 2: ("sanitize", False)}
     hits, misses = N.cache_split(changed, store)
-    assert [r.doc_id for r in hits.collect()] == [1] and misses.count() == 6
+    assert sorted(r.doc_id for r in hits.collect()) == [1, 3, 6, 7] and misses.count() == 3
     assert N.cache_split(changed, store, ruleset="default-2")[0].count() == 0
     assert N.cache_split(changed, store, namespace=N.LAYOUT_NAMESPACE)[0].count() == 0
-    stored = N.run_incremental(changed, store, ["/c"], store=True)
-    assert sorted(stored.results.drop("content").collect()) == sorted(second.results.drop("content").collect())
-    assert stored.artifacts.count() == 1
+    assert second.artifacts.count() == 1
     merged = N.cache_upsert(store, second.artifacts)
-    assert merged.count() == 3
+    assert merged.count() == 6
+    before = {r.doc_id: r for r in first.results.collect()}
+    for r in second.results.collect():
+        assert (r.verdict, r.content, r.reason, r.confidence, r.message) == tuple(before[r.doc_id][c] for c in ("verdict", "content", "reason", "confidence", "message"))
+    assert before[6].reason == "evidence: SECRET" and "evidence: " in before[7].message and before[3].confidence == 1.0
+    marked = N.run_incremental(files, store, ["/c"], max_bytes=4).results.where("doc_id = 1").first()
+    assert marked.content == "mail __EMAIL_1__" and "exceeds 4-byte limit" in marked.reason
+    old = store.drop("verdict", "reason", "confidence").where("sanitized_text is not null")
+    assert {r.doc_id for r in N.run_incremental(files, old, ["/c"]).results.where("cached").collect()} == {1, 2}
+    said = N.run_incremental(files, store.limit(0), ["/c"], verdict=F.lit("block"), reason=F.lit("model"), confidence=F.lit(0.5)).results
+    assert {(r.verdict, r.reason, r.confidence) for r in said.where("method = 'classified-block'").collect()} == {("block", "model", 0.5)}
     assert second.audit.count() == 7
 
 
@@ -178,6 +185,10 @@ def test_corpus_and_logs(spark, tmp_path):
     rows = {r.path.rsplit("/", 1)[1]: r for r in K.load_corpus(spark, str(tmp_path)).collect()}
     assert rows["a.txt"].text == "ok � bad" and rows["b.md"].text == "é" and rows["b.md"].size_bytes == 2
     assert K.load_corpus(spark, str(tmp_path), "*.md").count() == 1
+    (tmp_path / "large").mkdir()
+    (tmp_path / "large" / "l.txt").write_text("a" * 6 * 1024 * 1024)
+    assert [len(r.text) for r in K.load_corpus(spark, str(tmp_path / "large")).collect()] == [6 * 1024 * 1024]
+    (tmp_path / "large" / "l.txt").unlink()
     big = {r.size_bytes: r.text for r in K.load_corpus(spark, str(tmp_path), max_bytes=2).collect()}
     assert big == {8: None, 2: "é"}
     (tmp_path / "x.jsonl").write_text('{"a":1}\n\n{"a":\n{"a":2}\nnot json\n')

@@ -42,11 +42,12 @@ def test_normal_path_and_extension(spark):
 def test_gate(spark):
     rows = [("/a.txt", 5 << 20), ("/a.txt", (5 << 20) + 1), ("/a.PNG", 10), ("/a.png", 6 << 20), ("/a.pdf", 1)]
     df = spark.createDataFrame(rows, "path string, size_bytes long")
-    got = [(r.format, r.escalate, (r.escalate_reason or "")[:9]) for r in X.admission_gate(df).collect()]
+    got = [(r.format, r.escalate, (r.escalate_reason or "")[:9]) for r in X.admission_gate(df, 5 << 20).collect()]
     assert got == [
         ("text", False, ""), ("text", True, "File size"), ("binary", True, "Image fil"), ("binary", True, "File size"), ("pdf", False, ""),
     ]
-    admitted, escalated = X.split_admitted(df)
+    assert not any(r.escalate for r in X.admission_gate(df).collect() if r.format != "binary")
+    admitted, escalated = X.split_admitted(df, 5 << 20)
     assert (admitted.count(), escalated.count()) == (2, 3)
 
 
@@ -103,8 +104,7 @@ def test_routes(spark):
     assert [full[i].content and full[i].content[0] for i in range(4)] == ["t", "s", None, None]
     assert [full[i]["count"] for i in range(4)] == [0, 2, 0, 0]
     assert full[2].block_reason == "why" and "why" in full[3].escalation and full[0].escalation is None
-    short = {r.doc_id: r for r in V.route_documents(df, mode="summary").collect()}
-    assert len(short[0].content) == 2000 and len(short[1].content) == 2000
+    assert len(full[0].content) == 3000 and len(full[1].content) == 3000
     off = V.route_documents(df, classify=False).collect()
     assert all(r.content[0] == "s" and r["count"] == 2 for r in off)
     actions = {r.action: r.n for r in V.audit_actions(df).collect()}

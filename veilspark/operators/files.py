@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from veilspark.functions.globs import extension
 
 # --- fixed values ---------------------------------------------------------
-MAX_BYTES = 5 * 1024 * 1024
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".heic", ".bmp", ".tiff")
 FORMATS = {".pdf": "pdf", ".docx": "docx", ".doc": "docx"}
 FILE_TYPES = {
@@ -47,17 +46,28 @@ def format_inventory(files: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def gate_reason(path: Column, size: Column, max_bytes: int = MAX_BYTES) -> Column:
-    """Why a file must go to a person before any text is read; null if it need not."""
-    ext = extension(path)
-    oversize = F.replace(
+def oversize_reason(size: Column, max_bytes: int | None) -> Column:
+    """Says that a file is above a limit the caller set; null otherwise."""
+    if max_bytes is None:
+        return F.lit(None).cast("string")
+    told = F.replace(
         F.lit(REASON_OVERSIZE.replace("{limit}", str(max_bytes))), F.lit("{size}"), size.cast("string")
     )
-    image = F.replace(F.lit(REASON_IMAGE), F.lit("{ext}"), ext)
-    return F.when(size > max_bytes, oversize).when(ext.isin(*IMAGE_EXTENSIONS), image)
+    return F.when(size > max_bytes, told)
+
+
+def image_reason(path: Column) -> Column:
+    """Why an image must go to a person: it holds no text to read; null for other files."""
+    ext = extension(path)
+    return F.when(ext.isin(*IMAGE_EXTENSIONS), F.replace(F.lit(REASON_IMAGE), F.lit("{ext}"), ext))
+
+
+def gate_reason(path: Column, size: Column, max_bytes: int | None = None) -> Column:
+    """Why a file must go to a person; null if it need not.  There is no limit unless the caller sets one."""
+    return F.coalesce(oversize_reason(size, max_bytes), image_reason(path))
 
 
-def admission_gate(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def admission_gate(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Adds format, `escalate` and `escalate_reason`; size is looked at before the extension."""
     reason = gate_reason(F.col("path"), F.col("size_bytes"), max_bytes)
     return files.select(
@@ -66,7 +76,7 @@ def admission_gate(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     )
 
 
-def split_admitted(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def split_admitted(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(admitted, escalated)."""
     gated = admission_gate(files, max_bytes)
     return gated.where(~F.col("escalate")), gated.where("escalate")

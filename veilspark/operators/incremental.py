@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from veilspark.functions.globs import cache_key
 from veilspark.functions.patterns import DEFAULT_RULES, Rule
 from veilspark.functions.spans import find_spans, merge_spans, number_spans, replace_spans
-from veilspark.operators.files import MAX_BYTES, file_format, gate_reason
+from veilspark.operators.files import file_format, image_reason, oversize_reason
 from veilspark.operators.policy import path_policy
 from veilspark.operators.redact import METHOD_REGEX
-from veilspark.operators.verdict import audit_action, evidence_verdict, shown
-from veilspark.session import write_through
+from veilspark.operators.verdict import audit_action, evidence_verdict, review_message
+from veilspark.session import broadcast_if_small, write_through
 
 LAYOUT_NAMESPACE = "pdf-redact:"  # fixed value
 RULESET = "default-1"
@@ -31,9 +31,16 @@ def cache_split(
     files: DataFrame, artifacts: DataFrame, ruleset: str = RULESET, namespace: str = ""
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) against the artifacts made by the same rule set."""
-    keyed = with_cache_key(files, namespace)
-    known = artifacts.where(F.col("ruleset_version") == ruleset).select("cache_key")
-    return keyed.join(known, "cache_key", "left_semi"), keyed.join(known, "cache_key", "left_anti")
+    marked = mark_hits(files, artifacts, ruleset, namespace)
+    return marked.where("hit").drop("hit"), marked.where("not hit").drop("hit")
+
+
+def mark_hits(files: DataFrame, artifacts: DataFrame, ruleset: str = RULESET, namespace: str = "") -> DataFrame:
+    """`files` with `cache_key` and `hit`, by one join on the key."""
+    known = artifacts.where(F.col("ruleset_version") == ruleset).select("cache_key").distinct()
+    known = known.withColumn("_known", F.lit(True))
+    joined = with_cache_key(files, namespace).join(known, "cache_key", "left")
+    return joined.withColumn("hit", F.col("_known").isNotNull()).drop("_known")
 
 
 def cache_upsert(
@@ -60,126 +67,132 @@ class ReadRun:
     audit: DataFrame
 
 
+#: What an artifact says besides its text; older stores may lack it, they hold sanitized files only.
+ARTIFACT_DEFAULTS = {"verdict": "flag_pii", "reason": None, "confidence": None}
+
+
 def run_incremental(
     files: DataFrame,
     artifacts: DataFrame,
     roots: Sequence[str],
     now: Column | None = None,
-    mode: str = "full",
     verdict: Column | None = None,
-    max_bytes: int = MAX_BYTES,
+    reason: Column | None = None,
+    confidence: Column | None = None,
+    max_bytes: int | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
     ruleset: str = RULESET,
-    store: bool = False,
 ) -> ReadRun:
-    """Path policy, size gate, verdict, cache, redaction, routing and audit in one plan.
-
-    `files` has (doc_id, path, mtime, size_bytes, text); `verdict` is a column
-    of it, or evidence from the text by default.  Files that policy or the gate
-    turns away never reach the patterns.  The text is scanned once: the evidence
-    and the redaction share the spans.  The only shuffle is the join with the
-    artifacts on the cache key, a uniform hash; it is skipped for an artifact table
-    small enough for the planner to broadcast, and a table bucketed by key is read
-    in place.
-
-    Results, artifacts and audit are three reads of one plan.  With `store` the
-    decided rows are written once and all three read them, which is what a run that
-    keeps more than one of them wants.
+    """Path policy, gate, cache, verdict, redaction, routing and audit, with work for misses only.
+
+    `files` has (doc_id, path, mtime, size_bytes, text).  What can be decided without the text is
+    decided from the other columns: policy, images, and the join of cache keys with the
+    artifacts, which hold verdict and reason of every file that was read.  Those rows are
+    stored.  Texts are then read for misses, to be scanned once for both evidence and redaction, and
+    for known safe files, to be passed on; no pattern runs on a known file.  Sanitized texts of
+    known files come from the artifacts.  The stored rows pick the texts; they are broadcast if
+    they were counted and are few, and else joined by a shuffle on the key.
+
+    `verdict`, with `reason` and `confidence`, are columns of `files` (a model's answers); evidence in
+    the text decides by default, with confidence 1.  Files above `max_bytes`, if the caller sets
+    it, say so in their reason and are worked on like all others.
+
+    Results, artifacts and audit read the stored rows of one run.
     """
     now = F.current_timestamp() if now is None else now
-    checked = (
-        path_policy(files, roots)
-        .withColumn("_gate", gate_reason(F.col("path"), F.col("size_bytes"), max_bytes))
-        .withColumn("_open", (F.col("path_verdict") != "deny") & F.col("_gate").isNull())
+    about = with_cache_key(path_policy(files.select("doc_id", "path", "mtime", "size_bytes"), roots))
+    known = artifacts.where(F.col("ruleset_version") == ruleset)
+    for name, default in ARTIFACT_DEFAULTS.items():
+        if name not in known.columns:
+            known = known.withColumn(name, F.lit(default).cast("double" if name == "confidence" else "string"))
+    old = known.select(
+        "cache_key", F.col("verdict").alias("_old_verdict"), F.col("reason").alias("_old_reason"),
+        F.col("confidence").alias("_old_confidence"), F.col("redaction_count").alias("_old_count"), F.col("method").alias("_old_method"),
     )
-    empty = F.array()
-    read = with_cache_key(checked).withColumn(
-        "_spans", F.when(F.col("_open"), find_spans("text", rules))
+    gate = image_reason(F.col("path"))
+    state = (
+        F.when(F.col("path_verdict") == "deny", "deny").when(gate.isNotNull(), "gate")
+        .when(F.col("_old_verdict").isNotNull(), "hit").otherwise("miss")
     )
-    categories = F.coalesce(
-        F.array_distinct(F.transform("_spans", lambda s: s.category)), empty.cast("array<string>")
+    decided = write_through(
+        files.sparkSession,
+        about.join(old, "cache_key", "left").withColumn("_state", state).withColumn("_gate", gate)
+        .withColumn("_note", oversize_reason(F.col("size_bytes"), max_bytes)).withColumn("_now", now),
+        "decided",
     )
-    by_text = evidence_verdict(categories, F.col("text")) if verdict is None else verdict
-    judged = read.withColumn(
-        "verdict",
-        F.when(F.col("path_verdict") == "deny", "deny")
-        .when(F.col("_gate").isNotNull(), "escalate")
-        .otherwise(by_text),
-    ).withColumn(
-        # Only texts that will be sanitized carry their spans into the join.
-        "_spans", F.when(F.col("verdict") == "flag_pii", F.col("_spans"))
+    needs = (F.col("_state") == "miss") | ((F.col("_state") == "hit") & (F.col("_old_verdict") == "safe"))
+    wanted = decided.where(needs).drop("doc_id", "path", "mtime", "size_bytes", "path_verdict", "path_reason").dropDuplicates(["cache_key"])
+    wanted = broadcast_if_small(write_through(files.sparkSession, wanted, "wanted"))
+    texts = with_cache_key(files).join(wanted, "cache_key")
+
+    empty = F.array().cast("array<string>")
+    scanned = texts.where("_state = 'miss'").withColumn("_spans", find_spans("text", rules)).withColumn(
+        "_categories", F.coalesce(F.sort_array(F.array_distinct(F.transform("_spans", lambda s: s.category))), empty))
+    by_text = evidence_verdict(F.col("_categories"), F.col("text"))
+    evidence = F.concat(F.lit("evidence: "), F.array_join("_categories", ","))
+    none = F.lit(None).cast("string")
+    judged = (
+        scanned.withColumn("verdict", by_text if verdict is None else verdict)
+        .withColumn("_said", (F.when(F.col("verdict") != "safe", evidence) if reason is None else reason) if verdict is None or reason is not None else none)
+        .withColumn("confidence", (F.lit(1.0) if verdict is None else F.lit(None).cast("double")) if confidence is None else confidence)
     )
-    known = artifacts.where(F.col("ruleset_version") == ruleset).select(
-        "cache_key",
-        F.col("sanitized_text").alias("_old_text"),
-        F.col("redaction_count").alias("_old_count"),
-        F.col("method").alias("_old_method"),
+    clean = F.col("verdict") == "flag_pii"
+    marked = judged.withColumn("_marks", F.when(clean, number_spans(merge_spans(F.col("_spans")), F.col("text"))))
+    common = ["doc_id", "path", "mtime", "size_bytes", "cache_key", "_state", "_gate", "_note", "_now"]
+    misses = marked.select(
+        *common, none.alias("path_reason"), "verdict", F.col("_said").alias("_why"), "confidence",
+        F.when(clean, F.size("_marks")).otherwise(0).alias("redaction_count"), F.lit(METHOD_REGEX).alias("_method"),
+        F.when(clean, replace_spans(F.col("text"), F.col("_marks"))).alias("sanitized_text"),
+        F.when(F.col("verdict") == "safe", F.col("text")).alias("_plain"),
     )
-    joined = judged.join(known, "cache_key", "left")
-    to_clean = F.col("verdict") == "flag_pii"
-    hit = to_clean & F.col("_old_text").isNotNull()
-    miss = to_clean & F.col("_old_text").isNull()
-    done = (
-        joined.withColumn("cached", F.coalesce(hit, F.lit(False)))
-        .withColumn("_marks", F.when(miss, number_spans(merge_spans(F.col("_spans")), F.col("text"))))
-        .withColumn(
-            "sanitized_text",
-            F.when(hit, F.col("_old_text")).when(miss, replace_spans(F.col("text"), F.col("_marks"))),
-        )
-        .withColumn(
-            "redaction_count",
-            F.when(hit, F.col("_old_count")).when(miss, F.size("_marks")).otherwise(0),
+    misses = write_through(files.sparkSession, misses, "misses")
+
+    def from_artifact(rows: DataFrame, sanitized: Column, plain: Column) -> DataFrame:
+        return rows.select(
+            *common, none.alias("path_reason"), F.col("_old_verdict").alias("verdict"), F.col("_old_reason").alias("_why"),
+            F.col("_old_confidence").alias("confidence"), F.col("_old_count").alias("redaction_count"), F.col("_old_method").alias("_method"),
+            sanitized.alias("sanitized_text"), plain.alias("_plain"),
         )
+
+    hits = decided.where("_state = 'hit'")
+    stored = known.where("verdict = 'flag_pii'").select("cache_key", F.col("sanitized_text").alias("_old_text"))
+    cleaned = from_artifact(hits.where("_old_verdict = 'flag_pii'").join(stored, "cache_key"), F.col("_old_text"), none)
+    passed = from_artifact(texts.where("_state = 'hit'"), none, F.col("text"))
+    withheld = from_artifact(hits.where("_old_verdict not in ('flag_pii', 'safe')"), none, none)
+    closed = decided.where("_state in ('deny', 'gate')").select(
+        *common, "path_reason", F.when(F.col("_state") == "deny", "deny").otherwise("escalate").alias("verdict"), none.alias("_why"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("redaction_count"), none.alias("_method"), none.alias("sanitized_text"), none.alias("_plain"),
+    )
+    done = misses
+    for part in (cleaned, passed, withheld, closed):
+        done = done.unionByName(part)
+    cached = F.col("_state") == "hit"
+    why = (
+        F.when(F.col("_state") == "deny", F.col("path_reason")).when(F.col("_state") == "gate", F.col("_gate"))
+        .otherwise(F.nullif(F.concat_ws("; ", "_why", "_note"), F.lit("")))
     )
-    if store:
-        decided = done.withColumn("_now", now).drop("_spans", "_marks")
-        done, now = write_through(files.sparkSession, decided, "run"), F.col("_now")
     results = done.select(
-        "doc_id",
-        "path",
-        "cache_key",
-        "verdict",
-        F.when(hit, "cached").otherwise(file_format(F.col("path"))).alias("format"),
-        F.when(F.col("verdict") == "deny", F.col("path_reason"))
-        .when(F.col("_gate").isNotNull(), F.col("_gate"))
-        .alias("reason"),
-        F.when(F.col("verdict") == "deny", "deny_path")
-        .when(hit, "cache_hit")
-        .otherwise(audit_action(F.col("verdict")))
-        .alias("action"),
+        "doc_id", "path", "cache_key", "verdict",
+        F.when(cached, "cached").otherwise(file_format(F.col("path"))).alias("format"),
+        why.alias("reason"),
+        "confidence",
+        F.when(F.col("verdict") == "deny", "deny_path").when(cached, "cache_hit").otherwise(audit_action(F.col("verdict"))).alias("action"),
         F.when(F.col("verdict") == "deny", "denied")
-        .when(F.col("_gate").isNotNull(), "request_permission")
+        .when(F.col("_state") == "gate", "request_permission")
         .when(F.col("verdict") == "safe", "classified-safe")
         .when(F.col("verdict") == "escalate", "classified-escalate")
         .when(F.col("verdict") == "block", "classified-block")
-        .when(hit, F.col("_old_method"))
-        .otherwise(METHOD_REGEX)
-        .alias("method"),
-        "cached",
-        "redaction_count",
-        F.when(F.col("verdict") == "safe", shown(F.col("text"), mode))
-        .when(to_clean, shown(F.col("sanitized_text"), mode))
-        .alias("content"),
-        now.alias("decided_at"),
+        .otherwise(F.col("_method")).alias("method"),
+        cached.alias("cached"),
+        F.when(F.col("verdict") == "flag_pii", F.col("redaction_count")).otherwise(0).alias("redaction_count"),
+        F.coalesce("_plain", "sanitized_text").alias("content"),
+        F.when(F.col("verdict") == "escalate", review_message(F.coalesce(why, F.lit("")))).alias("message"),
+        F.col("_now").alias("decided_at"),
     )
-    made = done.where(miss).select(
-        "cache_key",
-        "path",
-        "mtime",
-        "size_bytes",
-        F.lit(ruleset).alias("ruleset_version"),
-        "sanitized_text",
-        "redaction_count",
-        F.lit(METHOD_REGEX).alias("method"),
-        now.alias("cached_at"),
+    made = misses.select(
+        "cache_key", "path", "mtime", "size_bytes", F.lit(ruleset).alias("ruleset_version"), "verdict", F.col("_why").alias("reason"),
+        "confidence", "sanitized_text", "redaction_count", F.col("_method").alias("method"), F.col("_now").alias("cached_at"),
     )
     audit = results.select(
-        F.col("decided_at").alias("timestamp"),
-        F.lit("read").alias("event"),
-        "path",
-        "action",
-        "reason",
-        "redaction_count",
-        "method",
-    )
+        F.col("decided_at").alias("timestamp"), F.lit("read").alias("event"), "path", "action", "reason", "redaction_count", "method")
     return ReadRun(results.drop("decided_at"), made, audit)

@@ -27,10 +27,9 @@ ACTIONS = {
     "escalate": "escalate",
     "flag_pii": "sanitize",
 }
-SUMMARY_CHARS = 2000
 REVIEW_MESSAGE = (
-    "This file requires human review before it can be shared. Reason: ",
-    ". Please ask the user for explicit permission before proceeding.",
+    "This file requires human review before it can be shared. Reason: {reason}. "
+    "Please ask the user for explicit permission before proceeding."
 )
 # ----------------------------------------------------------------------------
 SECRET_CATEGORIES = ("SECRET", "HIGH_ENTROPY")
@@ -133,14 +132,12 @@ def rule_verdict(
     return with_rule_verdict(docs, text, rules).select(*keys, "verdict", "categories")
 
 
-def shown(text: Column, mode: str) -> Column:
-    """The whole text, or its first characters where a summary is asked for."""
-    if mode not in ("full", "summary"):
-        raise ValueError(f"unknown mode: {mode}")
-    return F.substring(text, 1, SUMMARY_CHARS) if mode == "summary" else text
+def review_message(reason: Column) -> Column:
+    """What a person is told who must decide about a file."""
+    return F.replace(F.lit(REVIEW_MESSAGE), F.lit("{reason}"), reason)
 
 
-def route_documents(docs: DataFrame, mode: str = "full", classify: bool = True) -> DataFrame:
+def route_documents(docs: DataFrame, classify: bool = True) -> DataFrame:
     """What leaves for each document, by verdict.
 
     `docs` has text, verdict, reason, sanitized_text and redaction_count.  Adds
@@ -152,9 +149,7 @@ def route_documents(docs: DataFrame, mode: str = "full", classify: bool = True)
         docs.withColumn("_v", verdict)
         .withColumn(
             "content",
-            F.when(F.col("_v") == "safe", shown(F.col("text"), mode)).when(
-                F.col("_v") == "flag_pii", shown(F.col("sanitized_text"), mode)
-            ),
+            F.when(F.col("_v") == "safe", F.col("text")).when(F.col("_v") == "flag_pii", F.col("sanitized_text")),
         )
         .withColumn(
             "method",
@@ -166,10 +161,7 @@ def route_documents(docs: DataFrame, mode: str = "full", classify: bool = True)
         .withColumn("count", F.when(F.col("_v") == "flag_pii", F.col("redaction_count")).otherwise(0))
         .withColumn(
             "escalation",
-            F.when(
-                F.col("_v") == "escalate",
-                F.concat(F.lit(REVIEW_MESSAGE[0]), F.col("reason"), F.lit(REVIEW_MESSAGE[1])),
-            ),
+            F.when(F.col("_v") == "escalate", review_message(F.col("reason"))),
         )
         .withColumn("block_reason", F.when(F.col("_v") == "block", F.col("reason")))
         .drop("_v")

@@ -25,8 +25,15 @@ _IMAGES = "(" + ", ".join(f"'{e}'" for e in X.IMAGE_EXTENSIONS) + ")"
 _FORMAT = f"CASE WHEN {_EXT} IN {_IMAGES} THEN 'binary' WHEN {_EXT} = '.pdf' THEN 'pdf' WHEN {_EXT} IN ('.docx', '.doc') THEN 'docx' ELSE 'text' END"
 
 
+LIMIT = 5 * 1024 * 1024
+
+
+def _image_sql(path_ext: str = _EXT) -> str:
+    return f"""CASE WHEN {path_ext} IN {_IMAGES} THEN 'Image file (' || {path_ext} || '); OCR not supported in v1. Routing to request_permission for human review.' END"""
+
+
 def _gate_sql(path_ext: str = _EXT) -> str:
-    return f"""CASE WHEN size_bytes > {X.MAX_BYTES} THEN 'File size ' || size_bytes || ' exceeds {X.MAX_BYTES}-byte limit; routing to request_permission for explicit human review.'
+    return f"""CASE WHEN size_bytes > {LIMIT} THEN 'File size ' || size_bytes || ' exceeds {LIMIT}-byte limit; routing to request_permission for explicit human review.'
      WHEN {path_ext} IN {_IMAGES} THEN 'Image file (' || {path_ext} || '); OCR not supported in v1. Routing to request_permission for human review.' END"""
 
 
@@ -61,7 +68,7 @@ def format_inventory(spark, sf):
     f"""WITH {FILES} SELECT path, size_bytes, {_FORMAT} AS format, ({_gate_sql()}) IS NOT NULL AS escalate, {_gate_sql()} AS escalate_reason FROM files""",
 )
 def admission_gate(spark, sf):
-    return X.admission_gate(I.files(spark, sf)).select(
+    return X.admission_gate(I.files(spark, sf), max_bytes=LIMIT).select(
         "path", "size_bytes", "format", "escalate", "escalate_reason"
     )
 
@@ -340,11 +347,11 @@ snapshot AS (
   FROM files WHERE lang <> 'de')"""
 
 
-def _snapshot(files):
+def _snapshot(files, keep=()):
     mtime = F.when(F.col("doc_id") % 10 == 0, F.col("mtime") - 5000).otherwise(F.col("mtime"))
     old = files.where(F.col("lang") != "de").withColumn("mtime", mtime)
     return N.with_cache_key(old).select(
-        "cache_key", "path", "mtime", "size_bytes",
+        *keep, "cache_key", "path", "mtime", "size_bytes",
         F.when(F.col("doc_id") % 13 == 0, "default-0").otherwise("default-1").alias("ruleset_version"),
         F.concat(F.lit("old "), F.col("doc_id").cast("string")).alias("sanitized_text"),
         (F.col("doc_id") % 6).cast("int").alias("redaction_count"),
@@ -362,9 +369,7 @@ SELECT doc_id, {_KEY} AS cache_key,
 )
 def cache_split(spark, sf):
     files = I.files(spark, sf).drop("text")
-    hits, misses = N.cache_split(files, _snapshot(files))
-    both = hits.withColumn("hit", F.lit(True)).unionByName(misses.withColumn("hit", F.lit(False)))
-    return both.select("doc_id", "cache_key", "hit")
+    return N.mark_hits(files, _snapshot(files)).select("doc_id", "cache_key", "hit")
 
 
 def _upsert_sql(force: bool) -> str:
@@ -402,9 +407,54 @@ def cache_refresh(spark, sf):
     return _upsert(spark, sf, True)
 
 
+# The files of a run: documents, customer records, and one confidential memo per nation.
+RUN_FILES = f"""
+documents_as_files AS ({I.FILES_SQL}),
+records AS ({I.RECORDS_SQL}),
+files AS (
+  SELECT doc_id, path, mtime, size_bytes, text, lang FROM documents_as_files
+  UNION ALL SELECT doc_id, '/corpus/crm/' || doc_id || '.txt', 1700000000000 + doc_id, length(text), text, lang FROM records
+  UNION ALL SELECT 2000000000 + n_nationkey, '/corpus/memo/' || n_nationkey || '.md', 1700000000000, 100, 'Strictly confidential: plans for ' || n_name, 'en' FROM nation)"""
+
+
+def run_files(spark, sf):
+    columns = ["doc_id", "path", "mtime", "size_bytes", "text", "lang"]
+    own = I.spread(I.files(spark, sf)).select(*columns)
+    record, d = I.records(spark, sf), F.col("doc_id")
+    crm = record.select(
+        "doc_id", F.concat(F.lit("/corpus/crm/"), d.cast("string"), F.lit(".txt")).alias("path"),
+        (F.lit(1700000000000) + d).alias("mtime"), F.length("text").cast("long").alias("size_bytes"), "text", "lang")
+    n = F.col("n_nationkey").cast("long")
+    memos = I.table(spark, sf, "nation").select(
+        (F.lit(2000000000) + n).alias("doc_id"), F.concat(F.lit("/corpus/memo/"), n.cast("string"), F.lit(".md")).alias("path"),
+        F.lit(1700000000000).alias("mtime"), F.lit(100).cast("long").alias("size_bytes"),
+        F.concat(F.lit("Strictly confidential: plans for "), "n_name").alias("text"), F.lit("en").alias("lang"))
+    return own.unionByName(crm).unionByName(memos)
+
+
+# What the earlier run said of some of them.
+RUN_SNAPSHOT = f"""
+{SNAPSHOT},
+judged_before AS (
+  SELECT cache_key, sanitized_text, redaction_count, (doc_id % 4) / 4.0::DOUBLE AS confidence,
+         CASE doc_id % 5 WHEN 0 THEN 'safe' WHEN 1 THEN 'block' WHEN 2 THEN 'escalate' ELSE 'flag_pii' END AS verdict,
+         CASE WHEN doc_id % 5 <> 0 THEN 'before: ' || doc_id END AS reason
+  FROM snapshot WHERE ruleset_version = 'default-1' AND doc_id < 1500000000)"""
+
+
+def _run_snapshot(files):
+    k, d = F.col("doc_id") % 5, F.col("doc_id")
+    old = _snapshot(files, keep=["doc_id"]).where("doc_id < 1500000000")
+    return old.select(
+        "*", ((d % 4) / 4.0).alias("confidence"),
+        F.when(k == 0, "safe").when(k == 1, "block").when(k == 2, "escalate").otherwise("flag_pii").alias("verdict"),
+        F.when(k != 0, F.concat(F.lit("before: "), d.cast("string"))).alias("reason"),
+    ).drop("doc_id")
+
+
 def incremental_run(spark, sf):
-    files = I.spread(I.files(spark, sf))
-    return N.run_incremental(files, _snapshot(I.files(spark, sf).drop("text")), [I.ROOT])
+    files = run_files(spark, sf)
+    return N.run_incremental(files, _run_snapshot(files.drop("text")), [I.ROOT])
 
 
 _INTERNAL = f"regexp_matches(text, {S.quote(P.sql_pattern(V.INTERNAL_WORDS, True))})"
@@ -422,26 +472,30 @@ evidence AS (
 
 
 RUN_SQL = f"""
-WITH {FILES}, {SNAPSHOT}, {_evidence_sql("files")},
+WITH {RUN_FILES}, {RUN_SNAPSHOT}, {_evidence_sql("files")},
 judged AS (
-  SELECT f.doc_id, f.path, f.text, f.size_bytes, {_KEY} AS cache_key, {_policy_sql(_CLEAN)} AS path_reason, {_gate_sql()} AS gate
+  SELECT f.doc_id, f.path, f.text, {_KEY} AS cache_key, {_policy_sql(_CLEAN)} AS path_reason, {_image_sql()} AS gate
   FROM files f),
+matched AS (
+  SELECT j.*, o.verdict AS old_verdict, o.reason AS old_reason, o.confidence AS old_confidence, o.sanitized_text AS old_text,
+         o.redaction_count AS old_n, {_DENIED} AS denied, NOT {_DENIED} AND gate IS NULL AND o.cache_key IS NOT NULL AS cached
+  FROM judged j LEFT JOIN judged_before o ON j.cache_key = o.cache_key),
 decided AS (
-  SELECT j.*, CASE WHEN {_DENIED} THEN 'deny' WHEN gate IS NOT NULL THEN 'escalate' ELSE e.verdict END AS verdict,
+  SELECT m.*, CASE WHEN denied THEN 'deny' WHEN gate IS NOT NULL THEN 'escalate' WHEN cached THEN old_verdict ELSE e.verdict END AS verdict,
+         CASE WHEN denied THEN path_reason WHEN gate IS NOT NULL THEN gate WHEN cached THEN old_reason
+              WHEN e.verdict <> 'safe' THEN 'evidence: ' || e.categories END AS reason,
+         CASE WHEN denied OR gate IS NOT NULL THEN NULL WHEN cached THEN old_confidence ELSE 1.0 END::DOUBLE AS confidence,
          s.sanitized_text AS clean, s.redaction_count AS n
-  FROM judged j JOIN evidence e ON j.doc_id = e.doc_id JOIN sanitized s ON j.doc_id = s.doc_id),
-matched AS (
-  SELECT d.*, d.verdict = 'flag_pii' AND o.cache_key IS NOT NULL AS cached, o.sanitized_text AS old_text, o.redaction_count AS old_n
-  FROM decided d LEFT JOIN snapshot o ON d.cache_key = o.cache_key AND o.ruleset_version = 'default-1')
-SELECT doc_id, path, cache_key, verdict, CASE WHEN cached THEN 'cached' ELSE {_FORMAT} END AS format,
-       CASE WHEN verdict = 'deny' THEN path_reason WHEN gate IS NOT NULL THEN gate END AS reason,
+  FROM matched m JOIN evidence e ON m.doc_id = e.doc_id JOIN sanitized s ON m.doc_id = s.doc_id)
+SELECT doc_id, path, cache_key, verdict, CASE WHEN cached THEN 'cached' ELSE {_FORMAT} END AS format, reason, confidence,
        CASE WHEN verdict = 'deny' THEN 'deny_path' WHEN cached THEN 'cache_hit' WHEN verdict = 'safe' THEN 'classify_safe'
             WHEN verdict = 'block' THEN 'block_transfer' WHEN verdict = 'escalate' THEN 'escalate' ELSE 'sanitize' END AS action,
        CASE WHEN verdict = 'deny' THEN 'denied' WHEN gate IS NOT NULL THEN 'request_permission' WHEN verdict = 'safe' THEN 'classified-safe'
             WHEN verdict = 'escalate' THEN 'classified-escalate' WHEN verdict = 'block' THEN 'classified-block' ELSE 'regex-only' END AS method,
-       cached, (CASE WHEN cached THEN old_n WHEN verdict = 'flag_pii' THEN n ELSE 0 END)::INT AS redaction_count,
-       CASE WHEN verdict = 'safe' THEN text WHEN cached THEN old_text WHEN verdict = 'flag_pii' THEN clean END AS content
-FROM matched"""
+       cached, (CASE WHEN verdict <> 'flag_pii' THEN 0 WHEN cached THEN old_n ELSE n END)::INT AS redaction_count,
+       CASE WHEN verdict = 'safe' THEN text WHEN verdict = 'flag_pii' AND cached THEN old_text WHEN verdict = 'flag_pii' THEN clean END AS content,
+       CASE WHEN verdict = 'escalate' THEN replace({S.quote(V.REVIEW_MESSAGE)}, '{{reason}}', reason) END AS message
+FROM decided"""
 
 
 @query("run_incremental", RUN_SQL)
@@ -510,35 +564,23 @@ def _routed_input(spark, sf):
     return R.sanitize(judged, spans="spans").drop("spans", "method")
 
 
-def _route_sql(mode: str) -> str:
-    text = "substring(s.text, 1, 2000)" if mode == "summary" else "s.text"
-    clean = "substring(z.sanitized_text, 1, 2000)" if mode == "summary" else "z.sanitized_text"
-    return f"""
+@query(
+    "route_documents",
+    f"""
 WITH {_CORPUS_EVIDENCE}
-SELECT s.doc_id, e.verdict, CASE e.verdict WHEN 'safe' THEN {text} WHEN 'flag_pii' THEN {clean} END AS content,
+SELECT s.doc_id, e.verdict, CASE e.verdict WHEN 'safe' THEN s.text WHEN 'flag_pii' THEN z.sanitized_text END AS content,
        CASE e.verdict WHEN 'safe' THEN 'classified-safe' WHEN 'flag_pii' THEN 'regex-only' WHEN 'escalate' THEN 'classified-escalate' ELSE 'classified-block' END AS method,
        (CASE WHEN e.verdict = 'flag_pii' THEN z.redaction_count ELSE 0 END)::INT AS count,
-       CASE WHEN e.verdict = 'escalate' THEN '{V.REVIEW_MESSAGE[0]}' || 'evidence: ' || categories || '{V.REVIEW_MESSAGE[1]}' END AS escalation,
+       CASE WHEN e.verdict = 'escalate' THEN replace({S.quote(V.REVIEW_MESSAGE)}, '{{reason}}', 'evidence: ' || categories) END AS escalation,
        CASE WHEN e.verdict = 'block' THEN 'evidence: ' || categories END AS block_reason
-FROM corpus s JOIN evidence e ON s.doc_id = e.doc_id JOIN sanitized z ON s.doc_id = z.doc_id"""
-
-
-def _route(spark, sf, mode):
-    return V.route_documents(_routed_input(spark, sf), mode).select(
+FROM corpus s JOIN evidence e ON s.doc_id = e.doc_id JOIN sanitized z ON s.doc_id = z.doc_id""",
+)
+def route_documents(spark, sf):
+    return V.route_documents(_routed_input(spark, sf)).select(
         "doc_id", "verdict", "content", "method", "count", "escalation", "block_reason"
     )
 
 
-@query("route_documents", _route_sql("full"))
-def route_documents(spark, sf):
-    return _route(spark, sf, "full")
-
-
-@query("route_documents_summary", _route_sql("summary"))
-def route_documents_summary(spark, sf):
-    return _route(spark, sf, "summary")
-
-
 @query(
     "audit_actions",
     f"""

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.operators.files import MAX_BYTES, file_format
+from veilspark.operators.files import file_format
 
 AUDIT_SCHEMA = T.StructType(
     [
@@ -22,20 +22,20 @@ AUDIT_SCHEMA = T.StructType(
 
 
 def load_corpus(
-    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = MAX_BYTES
+    spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None, skip_unreadable: bool = False
 ) -> DataFrame:
     """(path, mtime, size_bytes, format, text), one row per file below `root`.
 
-    Bytes that are no UTF-8 become the replacement character; files that
-    vanish or cannot be read are skipped.  `mtime` is in epoch milliseconds.
-    Files above `max_bytes` come with a null text: their size is known from the
-    listing, and their content is not read.
+    Bytes that are no UTF-8 become the replacement character.  A file that vanishes or
+    cannot be read stops the job, unless `skip_unreadable` allows to go on without it.
+    `mtime` is in epoch milliseconds.  If a caller sets `max_bytes`, files above it come
+    with a null text: their size is known from the listing, and their content is not read.
     """
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", str(skip_unreadable).lower())
+        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -47,6 +47,8 @@ def load_corpus(
         file_format(F.col("path")).alias("format"),
     ]
     text = F.make_valid_utf8(F.col("content").cast("string"))
+    if max_bytes is None:
+        return files.select(*about, text.alias("text"))
     small = files.where(F.col("length") <= max_bytes).select(*about, text.alias("text"))
     large = files.where(F.col("length") > max_bytes).select(*about, F.lit(None).cast("string").alias("text"))
     return small.unionByName(large)
