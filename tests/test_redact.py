@@ -90,7 +90,7 @@ def test_vault_last_write_wins_and_hides_originals(spark):
 @pytest.mark.parametrize("dedupe", [False, True])
 def test_corpus_scope_with_one_hot_category(spark, dedupe):
     texts = [f"u{i % 7}@x.com 10.0.0.{i % 3}" if i % 5 else "p" + "q" * 3 for i in range(300)]
-    got = R.assign_placeholders(frame(spark, texts), scope="corpus", dedupe=dedupe, rows_per_chunk=16)
+    got = R.assign_placeholders(frame(spark, texts), scope="corpus", dedupe=dedupe)
     rows = sorted((r.doc_id, r.start, r.category, r.original, r.placeholder) for r in got.collect())
     counts, seen, want = {}, {}, []
     for i, t in enumerate(texts):
@@ -123,11 +123,27 @@ def test_replay_edits(spark):
     docs = spark.createDataFrame([(1, "a b a b"), (2, "keep")], "doc_id long, text string")
     edits = spark.createDataFrame(
         [(1, 1, 1, "a", "X", False, False), (1, 2, 1, "b", "Y", True, True), (1, 2, 2, "a", "Z", False, False), (1, 3, 1, "X", "late", False, False),
-         (1, 1, 2, "", "never", True, False), (1, 16, 1, "Y", "late", True, False)],
+         (1, 1, 2, "", "never", True, False), (2, 40, 1, "keep", "kept", True, False)],
         "doc_id long, turn long, seq int, old_string string, new_string string, replace_all boolean, done boolean",
     )
     got = {r.doc_id: r.edited_text for r in R.replay_edits(docs, edits).collect()}
-    assert got == {1: "X Y Z Y", 2: "keep"}
+    assert got == {1: "X Y Z Y", 2: "kept"}
+    capped = {r.doc_id: r.edited_text for r in R.replay_edits(docs, edits, max_turns=15).collect()}
+    assert capped[2] == "keep"
+
+
+def test_values_are_not_found_in_replacements(spark):
+    docs = spark.createDataFrame([(1, "a.html", "sport and sp"), (2, "a.txt", "NAXY NA xNA"), (3, "a.txt", r"a\Qb\E a\E")], "doc_id long, path string, text string")
+    findings = spark.createDataFrame(
+        [(1, "NAME", "sport"), (1, "PART", "sp"), (1, "NONE", "absent"), (2, "NAME", "NAXY"), (2, "PART", "NA"), (3, "ODD", r"a\Qb\E")],
+        "doc_id long, type string, value string")
+    got = {r.doc_id: (r.redacted_text, r.redaction_count) for r in R.redact_by_findings(docs, findings).collect()}
+    span = '<span class="redacted" data-type="{}">[REDACTED]</span>'
+    assert got == {
+        1: (span.format("NAME") + " and " + span.format("PART"), 2),
+        2: ("[REDACTED: NAME] [REDACTED: PART] x[REDACTED: PART]", 3),
+        3: (r"[REDACTED: ODD] a\E", 1),
+    }
 
 
 def test_model_findings(spark):
@@ -164,5 +180,7 @@ def test_search_caps_per_file_and_cleans(spark):
     assert [(r.path, r.line, r.snippet, r.file_matches) for r in rows] == [
         ("/c/a.txt", 1, "hit __EMAIL_1__", 3), ("/c/a.txt", 3, "hit 2", 3),
     ]
+    many = spark.createDataFrame([(1, "/c/m.txt", "\n".join(f"hit {k}" for k in range(100)))], "doc_id long, path string, text string")
+    assert search_sanitized(many, "^hit", ["/c"]).count() == 100
     empty = search_sanitized(files.where("doc_id = 1"), "^$", ["/c"]).collect()
     assert empty == []

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.functions.ranking import even_chunks, hash_chunk, number_within, percentiles, values_at_ranks
+from veilspark.functions.ranking import hash_chunk, number_sorted, number_within, percentiles, values_at_ranks
 from veilspark.operators import curate as C
 from veilspark.operators import evaluate as E
 from veilspark.operators.verdict import LABELS
@@ -20,14 +20,16 @@ def test_number_within_a_hot_group(spark):
         assert got[label, k] == per[label]
 
 
-def test_even_chunks_along_clustered_keys(spark):
+@pytest.mark.parametrize("kind", ["numbers", "strings"])
+def test_numbers_along_clustered_keys_of_any_type(spark, kind):
     keys = [*range(400), *range(10**9, 10**9 + 400), 2**60]
-    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
-    chunked, chunk = even_chunks(df, "k", rows_per_chunk=50)
-    sizes = [r["count"] for r in chunked.groupBy(chunk.alias("c")).count().collect()]
-    assert len(sizes) >= 12 and max(sizes) <= 100
-    numbered = number_within(chunked.withColumn("g", F.lit("g")), ["g"], chunk, ["k"], "n")
-    assert [r.k for r in numbered.orderBy("n").collect()] == sorted(keys) and set(numbered.columns) == {"k", "g", "n"}
+    keys = keys if kind == "numbers" else sorted(f"k{k}" for k in keys)
+    rows = [(g, k) for k in keys for g in ("a", "b")]
+    df = spark.createDataFrame(rows, f"g string, k {'long' if kind == 'numbers' else 'string'}").repartition(3)
+    numbered = number_sorted(df, ["g"], ["k"], "n")
+    assert set(numbered.columns) == {"g", "k", "n"}
+    for g in ("a", "b"):
+        assert [(r.n, r.k) for r in numbered.where(F.col("g") == g).orderBy("n").collect()] == list(enumerate(keys, 1))
 
 
 @pytest.mark.parametrize("kind", ["uniform", "lognormal", "one_value", "negative", "single"])
@@ -137,7 +139,7 @@ def test_folds_are_stratified_and_repeatable(spark):
 def test_training_set_resume_and_caps(spark):
     rows = [(i * 10, "hot" if i % 4 else "b", f"t{i}") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, label string, text string").repartition(4)
-    numbered = {r.text: r.scenario_id for r in C.number_scenarios(df, "doc_id", rows_per_chunk=100).collect()}
+    numbered = {r.text: r.scenario_id for r in C.number_scenarios(df, "doc_id").collect()}
     counts = {}
     for _, label, text in rows:
         assert numbered[text] == f"{label}:{counts.get(label, 0)}"
@@ -169,12 +171,12 @@ def test_signals_and_quota(spark):
     base = "words " * 40
     rows = [("flag_pii", i % 3, i, base + "a@b.com") for i in range(30)] + [
         ("flag_pii", 0, 99, base), ("block_transfer", 0, 0, base + "API_KEY = x"), ("block_transfer", 0, 1, base + "token: AKIA" + "Q7Z2M9X4K1P8R3T6"),
-        ("classify_safe", 0, 0, "tiny"), ("classify_safe", 0, 1, "y" * 8001), ("classify_safe", 0, 2, "y" * 8000),
+        ("classify_safe", 0, 0, "tiny"), ("classify_safe", 0, 1, "y" * 200_000), ("classify_safe", 0, 2, "y" * 8000),
     ]
     df = spark.createDataFrame(rows, "label string, query_rank int, hit_rank int, text string")
     got = sorted((r.label, r.query_rank, r.hit_rank) for r in C.collect_quota(df, 12).collect())
     want = sorted((q, h) for lab, q, h, t in rows if lab == "flag_pii" and "@" in t)[:12]
-    assert got == sorted([("flag_pii", *w) for w in want] + [("block_transfer", 0, 0), ("classify_safe", 0, 2)])
+    assert got == sorted([("flag_pii", *w) for w in want] + [("block_transfer", 0, 0), ("classify_safe", 0, 1), ("classify_safe", 0, 2)])
 
 
 def test_manifest_provenance_dedupe(spark):

@@ -1,13 +1,13 @@
 """Exact ranks and percentiles that never put one group into one task."""
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.session import write_through
+
 
 def number_within(
     df: DataFrame, group: Sequence[str], chunk: Column, order: Sequence[str | Column], out: str
@@ -20,8 +20,7 @@ def number_within(
     and only one small row per chunk meets in the group's own window.
 
     The chunk sizes are counted in a pass of their own: give a table, not a costly
-    computation, as `df`.  `group` columns must not be null.  A frame from
-    `even_chunks` loses its helper column here.
+    computation, as `df`.  `group` columns must not be null.
     """
     keyed = df.withColumn("_chunk", chunk)
     earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,30 +34,20 @@ def number_within(
         keyed.withColumn("_local", F.row_number().over(inside))
         .join(offsets, [*group, "_chunk"])
         .withColumn(out, F.col("_before") + F.col("_local"))
-        .drop("_chunk", "_local", "_before", "_even")
+        .drop("_chunk", "_local", "_before")
     )
 
 
-def even_chunks(
-    df: DataFrame, column: str, rows_per_chunk: int = 1 << 16, most: int = 4096
-) -> tuple[DataFrame, Column]:
-    """A column that cuts the rows into chunks of about equal size along a numeric column.
+def number_sorted(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """`row_number()` from 1 per group along sortable columns of any type.
 
-    The cuts are approximate quantiles, a bounded list that is fixed in the plan, so
-    every pass over `df` sees the same chunks, however its values are distributed.
-    Returns the frame with the chunk and the chunk's column, for `number_within`.
+    One exchange by ranges of (group, order) puts the rows in order over all tasks; the ranges are
+    sampled, so a group with most of the rows takes most of the tasks.  The ranges are
+    stored with their number, so that every later pass sees the same ones.
     """
-    wanted = min(most, -(-df.count() // rows_per_chunk))
-    if wanted <= 1:
-        return df.withColumn("_even", F.lit(0)), F.col("_even")
-    points = [i / wanted for i in range(1, wanted)]
-    cuts = df.stat.approxQuantile(column, points, 1 / (4 * wanted))
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    inner = F.col(column).cast("double")
-    bucketed = Bucketizer(splits=splits, inputCol="_at", outputCol="_even").transform(
-        df.withColumn("_at", inner)
-    )
-    return bucketed.drop("_at"), F.col("_even").cast("int")
+    ranged = df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    stored = write_through(df.sparkSession, ranged, "ranges")
+    return number_within(stored, group, F.col("_range"), order, out).drop("_range")
 
 
 def hash_chunk(digest: Column, digits: int = 4) -> Column:

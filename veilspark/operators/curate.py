@@ -7,24 +7,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
-from veilspark.functions.ranking import even_chunks, hash_chunk, number_within
+from veilspark.functions.ranking import hash_chunk, number_sorted, number_within
 from veilspark.operators.detect import any_rule, live_secret_rules
 from veilspark.operators.verdict import LABELS
 
 # --- fixed values ---------------------------------------------------------
 MIN_CHARS = 300
-ECHO_CHARS = 60
 SIGNAL_MIN_CHARS = 200
-SIGNAL_MAX_CHARS = 8000
 SIDECAR_SUFFIX = ".provenance.json"
 README_NAME = "README.md"
 FOLDS = 5
-REASON_SHORT = "too short ({n} < 300)"
+REASON_SHORT = "too short ({n} < {least})"
 REASON_ECHO = "echoes scenario instruction"
 REASON_NO_PII = "flag_pii output contains no detectable PII pattern"
 REASON_NO_SECRET = "block_transfer output contains no detectable secret pattern"
 SIGNAL_SHORT = "too short ({n} chars)"
-SIGNAL_LONG = "too long ({n} chars)"
 SIGNAL_NO_EMAIL = "no email-shaped tokens"
 SIGNAL_NO_SECRET = "no credential-shaped key=value lines"
 # ----------------------------------------------------------------------------
@@ -78,10 +75,9 @@ def provenance_join(files: DataFrame) -> DataFrame:
     )
 
 
-def number_scenarios(rows: DataFrame, order: str, rows_per_chunk: int = 1 << 16) -> DataFrame:
-    """Adds scenario_id `<label>:<n>`, n from 0 per label along a numeric `order` column."""
-    chunked, chunk = even_chunks(rows, order, rows_per_chunk)
-    numbered = number_within(chunked, ["label"], chunk, [order], "_n")
+def number_scenarios(rows: DataFrame, order: str) -> DataFrame:
+    """Adds scenario_id `<label>:<n>`, n from 0 per label along a sortable `order` column."""
+    numbered = number_sorted(rows, ["label"], [order], "_n")
     return numbered.withColumn(
         "scenario_id", F.concat(F.col("label"), F.lit(":"), (F.col("_n") - 1).cast("string"))
     ).drop("_n")
@@ -114,9 +110,9 @@ def with_count(message: str, n: Column) -> Column:
 def validation_reason(label: Column, text: Column, scenario: Column) -> Column:
     """Why a generated text is rejected; empty if it is good."""
     size = F.length(text)
-    echo = F.contains(F.lower(text), F.substring(F.lower(scenario), 1, ECHO_CHARS))
+    echo = F.contains(F.lower(text), F.lower(scenario))
     return (
-        F.when(size < MIN_CHARS, with_count(REASON_SHORT, size))
+        F.when(size < MIN_CHARS, with_count(REASON_SHORT.replace("{least}", str(MIN_CHARS)), size))
         .when(echo, REASON_ECHO)
         .when((label == "flag_pii") & ~any_rule(text, P.PII_RULES), REASON_NO_PII)
         .when((label == "block_transfer") & ~any_rule(text, P.SECRET_RULES), REASON_NO_SECRET)
@@ -138,7 +134,6 @@ def signal_reason(label: Column, text: Column) -> Column:
     secret = F.rlike(text, F.lit(P.spark_pattern(P.SIGNAL_SECRET, unicode_words=True)))
     return (
         F.when(size < SIGNAL_MIN_CHARS, with_count(SIGNAL_SHORT, size))
-        .when(size > SIGNAL_MAX_CHARS, with_count(SIGNAL_LONG, size))
         .when((label == "flag_pii") & ~(F.contains(text, F.lit("@")) & email), SIGNAL_NO_EMAIL)
         .when((label == "block_transfer") & ~secret, SIGNAL_NO_SECRET)
         .otherwise("")
@@ -166,11 +161,10 @@ def collect_quota(candidates: DataFrame, quota: int) -> DataFrame:
     """Candidates that pass the live-secret guard and the label's signal, up to a quota per label.
 
     `candidates` has (label, query_rank, hit_rank, text); the queries are worked
-    through in order.
+    through in order.  The quota is the feature: it is set by the caller and bounds the rows
+    that are collected for training.
     """
-    good = candidates.where(
-        (F.length("text") >= SIGNAL_MIN_CHARS) & (F.length("text") <= SIGNAL_MAX_CHARS)
-    ).where(
+    good = candidates.where(F.length("text") >= SIGNAL_MIN_CHARS).where(
         (F.size(live_secret_rules(F.col("text"))) == 0)
         & (signal_reason(F.col("label"), F.col("text")) == "")
     )
@@ -178,6 +172,7 @@ def collect_quota(candidates: DataFrame, quota: int) -> DataFrame:
 
 
 def cap_per_class(rows: DataFrame, cap: int, order: Sequence[str]) -> DataFrame:
+    """At most `cap` rows of each label, which bounds the rows a model is trained on."""
     return first_per_label(rows, order, cap)
 
 
@@ -222,7 +217,7 @@ def content_dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         docs.select(content_hash(F.col(text)).alias("content_hash"), key)
         .groupBy("content_hash")
         .agg(F.min(key).alias("keeper"), F.count(F.lit(1)).alias("copies"))
-        .select("content_hash", F.substring("content_hash", 1, 8).alias("name"), "keeper", "copies")
+        .select("content_hash", F.substring("content_hash", 1, 24).alias("name"), "keeper", "copies")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import DEFAULT_RULES, Rule
-from veilspark.functions.ranking import even_chunks, number_within
+from veilspark.functions.ranking import number_sorted
 from veilspark.functions.spans import (
     built_once,
     find_spans,
@@ -100,7 +100,6 @@ def assign_placeholders(
     rules: Sequence[Rule] = DEFAULT_RULES,
     scope: str = "doc",
     dedupe: bool = False,
-    rows_per_chunk: int = 1 << 16,
 ) -> DataFrame:
     """Number the disjoint spans per category, left to right, from 1.
 
@@ -119,8 +118,7 @@ def assign_placeholders(
     )
     name = F.concat(F.lit("__"), F.col("category"), F.lit("_"), F.col("_n").cast("string"), F.lit("__"))
     if not dedupe:
-        chunked, chunk = even_chunks(spans, "doc_id", rows_per_chunk)
-        numbered = number_within(chunked, ["category"], chunk, ["doc_id", "start"], "_n")
+        numbered = number_sorted(spans, ["category"], ["doc_id", "start"], "_n")
         return numbered.withColumn("placeholder", name).drop("_n")
     firsts = write_through(
         docs.sparkSession,
@@ -129,8 +127,7 @@ def assign_placeholders(
         .select("category", "original", "_first.doc_id", "_first.start"),
         "firsts",
     )
-    chunked, chunk = even_chunks(firsts, "doc_id", rows_per_chunk)
-    numbered = number_within(chunked, ["category"], chunk, ["doc_id", "start"], "_n")
+    numbered = number_sorted(firsts, ["category"], ["doc_id", "start"], "_n")
     return spans.join(
         numbered.select("category", "original", name.alias("placeholder")), ["category", "original"]
     ).select("doc_id", "category", "original", "start", "end", "placeholder")
@@ -198,7 +195,10 @@ def redact_by_findings(docs: DataFrame, findings: DataFrame, text: str = "text")
 
     `docs` has (doc_id, path, text), `findings` (doc_id, type, value).  The
     replacement follows the file type of the path.  Equal findings are merged
-    before the shuffle, so a document gets each value once.
+    before the shuffle, so a document gets each value once.  The text is cut at a
+    value's occurrences, and shorter values are looked for in what is left between
+    them; so no value is ever found in a replacement.  `redaction_count` counts the
+    replacements that were made.
     """
     per_doc = (
         findings.where(F.length("value") > 0)
@@ -212,36 +212,49 @@ def redact_by_findings(docs: DataFrame, findings: DataFrame, text: str = "text")
         )
     )
     kind = file_type(F.col("path"))
-    redacted = F.aggregate(
-        F.col("_findings"),
-        F.col(text),
-        lambda acc, f: F.replace(acc, f.value, _template(F.col("_kind"), f.type)),
-    )
+    piece = "struct<t:string,type:string>"
+    pieces = f"array<{piece}>"
+
+    def cut(state: Column, f: Column) -> Column:
+        """Every open piece, cut at the value; a piece with a type stands for a replacement."""
+        literal = F.concat(F.lit(r"\Q"), F.replace(f.value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        open_piece = lambda t: F.struct(t.alias("t"), F.lit(None).cast("string").alias("type")).cast(piece)
+        gap = F.struct(F.lit("").alias("t"), f.type.alias("type")).cast(piece)
+        between = lambda t: F.flatten(
+            F.transform(
+                F.split(t, literal, -1),
+                lambda x, i: F.when(i == 0, F.array(open_piece(x))).otherwise(F.array(gap, open_piece(x))),
+            )
+        )
+        return F.flatten(F.transform(state, lambda p: F.when(p.type.isNull(), between(p.t)).otherwise(F.array(p))))
+
+    whole = F.array(F.struct(F.col(text).alias("t"), F.lit(None).cast("string").alias("type"))).cast(pieces)
+    written = F.transform("_pieces", lambda p: F.when(p.type.isNull(), p.t).otherwise(_template(F.col("_kind"), p.type)))
+    made = F.size(F.filter("_pieces", lambda p: p.type.isNotNull()))
     return (
         docs.join(per_doc, "doc_id", "left")
         .withColumn("_kind", kind)
-        .withColumn(
-            "redacted_text",
-            F.when(F.col("_findings").isNull(), F.col(text)).otherwise(redacted),
-        )
-        .withColumn("redaction_count", F.coalesce(F.size("_findings"), F.lit(0)))
+        .withColumn("_pieces", F.when(F.col("_findings").isNotNull(), F.aggregate("_findings", whole, cut)))
+        .withColumn("redacted_text", F.when(F.col("_pieces").isNull(), F.col(text)).otherwise(F.array_join(written, "")))
+        .withColumn("redaction_count", F.when(F.col("_pieces").isNull(), 0).otherwise(made))
         .withColumn("file_type", F.col("_kind"))
-        .drop("_findings", "_kind")
+        .drop("_findings", "_kind", "_pieces")
     )
 
 
-def replay_edits(docs: DataFrame, edits: DataFrame, text: str = "text", max_turns: int = 15) -> DataFrame:
+def replay_edits(docs: DataFrame, edits: DataFrame, text: str = "text", max_turns: int | None = None) -> DataFrame:
     """Apply an ordered edit log to each document.
 
     `edits` has (doc_id, turn, seq, old_string, new_string, replace_all, done);
-    a turn may hold several edits.  Turns are counted from 1; those after
-    `max_turns` or after a turn that signals `done` are not played, as in a
-    conversation that has ended.  Each edit works on the result of the last one.
+    a turn may hold several edits.  Turns are counted from 1; those after a turn that
+    signals `done` are not played, as in a conversation that has ended, nor those after
+    `max_turns` where the caller sets it.  Each edit works on the result of the last one.
     """
     stops = edits.where("done").groupBy("doc_id").agg(F.min("turn").alias("_stop"))
     played = (
         edits.join(stops, "doc_id", "left")
-        .where((F.col("turn") <= max_turns) & (F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop"))))
+        .where(F.col("_stop").isNull() | (F.col("turn") <= F.col("_stop")))
+        .where(F.lit(True) if max_turns is None else F.col("turn") <= max_turns)
         .where(F.length("old_string") > 0)
     )
     log = played.groupBy("doc_id").agg(

@@ -16,15 +16,15 @@ def search_sanitized(
     files: DataFrame,
     query: str,
     roots: Sequence[str],
-    max_results: int = 20,
+    max_results: int | None = None,
     limit: int | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
 ) -> DataFrame:
     """(path, line, snippet, file_matches) for lines that match a regex.
 
-    Each file returns its first `max_results` matching lines; `file_matches` is
-    its true number of matches and `limit` caps the report over all files, in
-    (path, line) order.  Files that policy denies are not searched.  The lines
+    All matching lines are returned, unless the caller sets a limit: the first
+    `max_results` of each file, or the first `limit` over all files in (path, line)
+    order.  `file_matches` is a file's true number of matches.  Files that policy denies are not searched.  The lines
     are picked inside the row, before anything is exploded.
     """
     regex = spark_pattern(query)
@@ -51,7 +51,7 @@ def search_sanitized(
                 let(
                     hits,
                     lambda h: F.transform(
-                        F.slice(h, 1, max_results),
+                        h if max_results is None else F.slice(h, 1, max_results),
                         lambda x: F.struct(x.line.alias("line"), x.raw.alias("raw"), F.size(h).alias("n")),
                     ),
                 )

@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input has fewer splits than there are cores.
 
-    A large table has more splits than cores and is left as it is.
+    This is for the given small tables, which are one row group and cannot be split by the
+    reader; it changes no result.  A large table has more splits than cores and is read as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

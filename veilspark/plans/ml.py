@@ -18,7 +18,7 @@ from veilspark.session import scratch_path, write_through
 @query(
     "prepare_text",
     f"""
-SELECT doc_id, prompt, prefix || substring(text, 1, {X.MAX_INPUT_CHARS}) AS prepared
+SELECT doc_id, prompt, prefix || text AS prepared
 FROM documents, (VALUES {", ".join(f"({S.quote(t)}, {S.quote(X.PROMPTS[t])})" for t in X.PROMPT_GRID)}) AS p(prompt, prefix)""",
 )
 def prepare_text(spark, sf):
@@ -28,13 +28,11 @@ def prepare_text(spark, sf):
 
 @query(
     "prepare_text_marked",
-    f"""
-SELECT doc_id, 'Classify the following document: ' || substring(text, 1, {X.MAX_INPUT_CHARS})
-  || CASE WHEN length(text) > {X.MAX_INPUT_CHARS} THEN chr(10) || '[... file truncated ...]' ELSE '' END AS prepared FROM documents""",
+    "SELECT doc_id, 'Classify the following document: ' || text AS prepared FROM documents",
 )
 def prepare_text_marked(spark, sf):
     docs = I.table(spark, sf, "documents").select("doc_id", "text")
-    return X.prepare_text(docs, "classify_doc", mark_cut=True).select("doc_id", "prepared")
+    return X.prepare_text(docs, "classify_doc").select("doc_id", "prepared")
 
 
 @query("featurize")

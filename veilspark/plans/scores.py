@@ -215,7 +215,7 @@ def _generated(spark, sf):
 
 
 _VALIDATE = f"""CASE WHEN length(text) < 300 THEN 'too short (' || length(text) || ' < 300)'
-  WHEN contains(lower(text), substring(lower(scenario), 1, 60)) THEN 'echoes scenario instruction'
+  WHEN contains(lower(text), lower(scenario)) THEN 'echoes scenario instruction'
   WHEN label = 'flag_pii' AND NOT {S.any_rule_sql(P.PII_RULES)} THEN 'flag_pii output contains no detectable PII pattern'
   WHEN label = 'block_transfer' AND NOT {S.any_rule_sql(P.SECRET_RULES)} THEN 'block_transfer output contains no detectable secret pattern'
   ELSE '' END"""
@@ -229,7 +229,7 @@ def validate_rows(spark, sf):
     return C.validate_rows(_generated(spark, sf)).select("doc_id", "label", "reason", "ok")
 
 
-_SIGNAL = f"""CASE WHEN length(text) < 200 THEN 'too short (' || length(text) || ' chars)' WHEN length(text) > 8000 THEN 'too long (' || length(text) || ' chars)'
+_SIGNAL = f"""CASE WHEN length(text) < 200 THEN 'too short (' || length(text) || ' chars)'
   WHEN label = 'flag_pii' AND NOT regexp_matches(text, {S.quote(P.sql_pattern(P.SIGNAL_EMAIL, True))}) THEN 'no email-shaped tokens'
   WHEN label = 'block_transfer' AND NOT regexp_matches(text, {S.quote(P.sql_pattern(P.SIGNAL_SECRET, True))}) THEN 'no credential-shaped key=value lines'
   ELSE '' END"""
@@ -289,7 +289,7 @@ def first_valid_attempt(spark, sf):
 
 @query(
     "content_dedupe",
-    "SELECT sha1(text) AS content_hash, substr(sha1(text), 1, 8) AS name, min(doc_id) AS keeper, count(*) AS copies FROM documents GROUP BY sha1(text)",
+    "SELECT sha1(text) AS content_hash, substr(sha1(text), 1, 24) AS name, min(doc_id) AS keeper, count(*) AS copies FROM documents GROUP BY sha1(text)",
 )
 def content_dedupe(spark, sf):
     return C.content_dedupe(I.table(spark, sf, "documents"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilspark.operators.redact import placeholder_rows, sanitize
 from veilspark.plans import inputs as I
 from veilspark.plans import sql_text as S
 from veilspark.plans.catalog import query
@@ -48,11 +49,9 @@ def _actions(events):
     return events.select("ts", "user_id", "event_id", action.alias("action"))
 
 
-def _window_sql(final_only: bool) -> str:
-    closed = "WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)" if final_only else ""
-    return f"""
+_WINDOW_SQL = f"""
 WITH counted AS (SELECT date_trunc('hour', ts) AS w, {_ACTION} AS action, count(*) AS n FROM events GROUP BY ALL)
-SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, action, n FROM counted {closed}"""
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, action, n FROM counted"""
 
 
 def _as_text(df, *names):
@@ -61,37 +60,46 @@ def _as_text(df, *names):
     )
 
 
-@query("stream_audit_counts", _window_sql(True))
+@query("stream_audit_counts", _WINDOW_SQL)
 def stream_audit_counts(spark, sf):
     counts = W.stream_audit_counts(_actions(_stream(spark, sf, "events")))
-    return _as_text(W.drain(counts, "audit_counts"), "window_start", "window_end")
+    done = W.upsert_available(counts, "audit_counts", ["window_start", "window_end", "action"])
+    return _as_text(done, "window_start", "window_end")
 
 
-@query("batch_audit_counts", _window_sql(False))
+@query("batch_audit_counts", _WINDOW_SQL)
 def batch_audit_counts(spark, sf):
     counts = W.stream_audit_counts(_actions(I.table(spark, sf, "events")))
     return _as_text(counts, "window_start", "window_end")
 
 
-def _session_sql(final_only: bool) -> str:
-    closed = "WHERE max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)" if final_only else ""
-    closed = closed.replace("WHERE", "HAVING", 1)
-    return f"""
-WITH gaps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS head FROM events),
+# Every event carries a message with one or two things to hide: its vault rows make the sessions.
+_SESSION_SQL = """
+WITH gaps AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS head FROM events),
 s AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM gaps)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS entries
-FROM s GROUP BY user_id, k {closed}"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end,
+       sum(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS entries
+FROM s GROUP BY user_id, k"""
 
 
-@query("stream_session_vault", _session_sql(True))
+def _vault_rows(events):
+    """(ts, user_id, category, placeholder) of what was hidden in each event's message."""
+    mail = F.concat(F.lit("mail u"), F.col("user_id").cast("string"), F.lit("@example.com"))
+    from_ip = F.concat(F.lit(" from 10.0.0."), (F.col("event_id") % 250 + 1).cast("string"))
+    text = F.concat(mail, F.when(F.col("event_id") % 2 == 0, from_ip).otherwise(""))
+    hidden = sanitize(events.select("ts", "user_id", "event_id", text.alias("text")))
+    return placeholder_rows(hidden, ("ts", "user_id")).select("ts", "user_id", "category", "placeholder")
+
+
+@query("stream_session_vault", _SESSION_SQL)
 def stream_session_vault(spark, sf):
-    sessions = W.stream_session_vault(_stream(spark, sf, "events"))
-    return _as_text(W.drain(sessions, "sessions"), "session_start", "session_end")
+    sessions = W.sessions_available(_vault_rows(_stream(spark, sf, "events")), "sessions")
+    return _as_text(sessions, "session_start", "session_end")
 
 
-@query("batch_session_vault", _session_sql(False))
+@query("batch_session_vault", _SESSION_SQL)
 def batch_session_vault(spark, sf):
-    return _as_text(W.stream_session_vault(I.table(spark, sf, "events")), "session_start", "session_end")
+    return _as_text(W.stream_session_vault(_vault_rows(I.table(spark, sf, "events"))), "session_start", "session_end")
 
 
 @query("stream_egress_alerts", EGRESS_SQL)

@@ -288,10 +288,13 @@ def _file_type_sql(path: str) -> str:
 WITH files AS ({I.FILES_SQL}), {_FINDINGS_SQL},
 typed AS (SELECT f.doc_id, f.text, {_file_type_sql("f.path")} AS file_type, p.* EXCLUDE (doc_id)
           FROM files f LEFT JOIN pair p ON f.doc_id = p.doc_id),
-once AS (SELECT *, CASE WHEN n IS NULL THEN text ELSE replace(text, v1, {_template_sql("file_type", "t1")}) END AS a FROM typed)
-SELECT doc_id, file_type, CASE WHEN n = 2 THEN replace(a, v2, {_template_sql("file_type", "t2")}) ELSE a END AS redacted_text,
-       coalesce(n, 0)::INT AS redaction_count
-FROM once""",
+cuts AS (SELECT *, CASE WHEN n IS NULL THEN [text] ELSE string_split(text, v1) END AS parts FROM typed),
+inner_cuts AS (
+  SELECT *, CASE WHEN n = 2 THEN list_transform(parts, lambda p: replace(p, v2, {_template_sql("file_type", "t2")})) ELSE parts END AS done,
+         CASE WHEN n = 2 THEN list_sum(list_transform(parts, lambda p: len(string_split(p, v2)) - 1)) ELSE 0 END AS more FROM cuts)
+SELECT doc_id, file_type, array_to_string(list_transform(done, lambda p, i: CASE WHEN i = 1 THEN p ELSE {_template_sql("file_type", "t1")} || p END), '') AS redacted_text,
+       (len(parts) - 1 + more)::INT AS redaction_count
+FROM inner_cuts""",
 )
 def redact_by_findings(spark, sf):
     files = I.files(spark, sf)
@@ -325,7 +328,7 @@ edits AS (
   UNION ALL SELECT doc_id, turn, 2, w[2], '{' || turn || '}', true, done FROM words WHERE len(w) > 1),
 stops AS (SELECT doc_id, min(turn) AS stop FROM edits WHERE done GROUP BY doc_id),
 log AS (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY turn, seq) AS k
-        FROM edits e LEFT JOIN stops s ON e.doc_id = s.doc_id WHERE turn <= 15 AND (stop IS NULL OR turn <= stop)),
+        FROM edits e LEFT JOIN stops s ON e.doc_id = s.doc_id WHERE stop IS NULL OR turn <= stop),
 run AS (
   SELECT doc_id, 0::BIGINT AS k, text FROM talk
   UNION ALL
@@ -515,12 +518,12 @@ named AS (SELECT doc_id, regexp_replace(regexp_replace(path, '/tmp/\\.\\./', '/'
 open_files AS (
   SELECT * FROM named WHERE starts_with(clean, '/corpus/') AND NOT regexp_matches(clean, '(/\\.env$|/\\.env\\.[^/]*$|\\.pem$|/\\.ssh/.+)')),
 lines AS (SELECT path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS line FROM open_files),
-hits AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn, (count(*) OVER (PARTITION BY path))::INT AS n FROM lines
+hits AS (SELECT *, (count(*) OVER (PARTITION BY path))::INT AS n FROM lines
          WHERE regexp_matches(text, {S.quote(P.sql_pattern(SEARCH))})),
-top AS (SELECT *, row_number() OVER (ORDER BY path, line) AS doc_id FROM hits WHERE rn <= 3),
+top AS (SELECT *, row_number() OVER (ORDER BY path, line) AS doc_id FROM hits),
 {S.sanitized_cte("top")}
 SELECT t.path, t.line, trim(s.sanitized_text) AS snippet, t.n AS file_matches
 FROM top t JOIN sanitized s ON t.doc_id = s.doc_id""",
 )
 def search(spark, sf):
-    return search_sanitized(I.spread(I.files(spark, sf)), SEARCH, [I.ROOT], max_results=3)
+    return search_sanitized(I.spread(I.files(spark, sf)), SEARCH, [I.ROOT])

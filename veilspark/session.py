@@ -7,6 +7,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Planner settings the jobs assume.  Shuffle partitions are left to the cluster:
 # adaptive execution merges small ones and splits skewed ones.
@@ -44,21 +45,26 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only where no folder is set, as in tests on one machine, a temporary one is
-    made and set.
+    Where none is set, a session on one machine (`local[...]`) gets a temporary folder; on a
+    cluster that is an error, since executors would write where the others cannot read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in this application's own folder below the shared one.
+
+    All that a run leaves lies in that folder, which may go when the run has ended.
+    """
+    return f"{shared_folder(spark)}/veilspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def write_through(spark: SparkSession, df, name: str):
@@ -70,3 +76,13 @@ def write_through(spark: SparkSession, df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that may be broadcast; a frame with more is joined by a shuffle.  With the narrow rows
+#: this is used for, a broadcast stays under about 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, rows: int = BROADCAST_ROWS):
+    """A stored frame of narrow rows, marked for broadcast only if it was counted and is small."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,72 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def upsert_available(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run a windowed count over the present input; the newest row of each key, open windows too.
+
+    Each micro-batch sends the windows that changed and writes them under its own number, so a
+    batch that is repeated after a failure replaces itself.  Reading takes each key's row of the
+    highest batch.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(store).outputMode("update")
+        .option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
+
+
+def merge_sessions(known: DataFrame, new: DataFrame, user: str) -> DataFrame:
+    """Sessions (user, session_start, session_end, entries) of two sets, those that overlap as one."""
+    both = known.unionByName(new)
+    before = Window.partitionBy(user).orderBy("session_start", "session_end").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.coalesce((F.col("session_start") >= F.max("session_end").over(before)).cast("int"), F.lit(1))
+    so_far = Window.partitionBy(user).orderBy("session_start", "session_end").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = both.withColumn("_head", head).withColumn("_s", F.sum("_head").over(so_far))
+    return numbered.groupBy(user, "_s").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("entries").alias("entries")
+    ).drop("_s")
+
+
+def sessions_available(entries: DataFrame, name: str, event_time: str = "ts", user: str = "user_id", gap: str = "30 minutes") -> DataFrame:
+    """Run a stream of entries over the present input; the sessions of every user, open ones too.
+
+    Each micro-batch merges its sessions with those its users had, and writes these users anew under
+    its own number; late entries join the session they belong to.
+    """
+    spark = entries.sparkSession
+    out = scratch_path(spark, name)
+    empty = stream_session_vault(spark.createDataFrame([], entries.schema), event_time, user, gap).schema
+    schema = T.StructType([*empty.fields, T.StructField("_batch", T.LongType())])
+
+    def latest(upto: int) -> DataFrame:
+        rows = spark.read.schema(schema).parquet(out).where(F.col("_batch") < upto)
+        newest = rows.groupBy(user).agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, [user, "_batch"], "left_semi").drop("_batch")
+
+    def store(batch: DataFrame, number: int) -> None:
+        new = stream_session_vault(batch, event_time, user, gap)
+        if number:
+            new = merge_sessions(latest(number).join(new.select(user).distinct(), user, "left_semi"), new, user)
+        new.write.mode("overwrite").parquet(f"{out}/_batch={number}")
+
+    query = (
+        entries.writeStream.foreachBatch(store)
+        .option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return latest(1 << 62)
+
+
 def stream_sanitize(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Sanitized documents.  The work is inside the row, so the stream keeps no state."""
     return sanitize(docs, text, rules).drop("marks", text)
@@ -69,8 +135,9 @@ def stream_session_vault(
     entries: DataFrame, event_time: str = "ts", user: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes"
 ) -> DataFrame:
     """(user, session_start, session_end, entries): vault entries per user session."""
+    timed = entries.withWatermark(event_time, late) if entries.isStreaming else entries
     return (
-        entries.withWatermark(event_time, late)
+        timed
         .groupBy(F.session_window(event_time, gap).alias("w"), user)
         .agg(F.count(F.lit(1)).alias("entries"))
         .select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "entries")
