@@ -54,6 +54,15 @@ def test_nearest_neighbour(spark, kind):
         assert (r.neighbor, r.predicted) == (neighbour, label)
 
 
+def test_near_copies_that_round_to_one_similarity(spark):
+    base = np.zeros(4)
+    base[0] = 1.0
+    rows = [(5, "a", base), (9, "b", base + [0, 5e-4, 0, 0]), (10, "c", base + [0, 0, 5e-4, 0]), (20, "d", np.array([0.0, 0, 0, 1]))]
+    df = spark.createDataFrame([(i, lab, v.tolist()) for i, lab, v in rows], "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: (r.neighbor, r.predicted) for r in knn_loo(df).collect()}
+    assert got[10] == (5, "a") and got[9] == (5, "a")
+
+
 def test_text_preparation(spark):
     df = spark.createDataFrame([(1, "a" * 200_000), (2, "b")], "doc_id long, text string")
     rows = {r.doc_id: r.prepared for r in X.prepare_text(df, "classify_doc").collect()}
@@ -165,7 +174,9 @@ def test_incremental_run(spark):
     assert marked.content == "mail __EMAIL_1__" and "exceeds 4-byte limit" in marked.reason
     old = store.drop("verdict", "reason", "confidence").where("sanitized_text is not null")
     assert {r.doc_id for r in N.run_incremental(files, old, ["/c"]).results.where("cached").collect()} == {1, 2}
-    said = N.run_incremental(files, store.limit(0), ["/c"], verdict=F.lit("block"), reason=F.lit("model"), confidence=F.lit(0.5)).results
+    said = N.run_incremental(
+        files, store.limit(0), ["/c"],
+        judge=lambda d: d.withColumns({"verdict": F.lit("block"), "reason": F.lit("model"), "confidence": F.lit(0.5)})).results
     assert {(r.verdict, r.reason, r.confidence) for r in said.where("method = 'classified-block'").collect()} == {("block", "model", 0.5)}
     assert second.audit.count() == 7
 

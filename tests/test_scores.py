@@ -206,3 +206,12 @@ def test_random_order_of_rows_does_not_matter(spark):
     a = number_within(df, ["label"], chunk, [F.md5(F.col("id").cast("string"))], "n")
     b = number_within(df.repartition(11), ["label"], chunk, [F.md5(F.col("id").cast("string"))], "n")
     assert {(r.id, r.n) for r in a.collect()} == {(r.id, r.n) for r in b.collect()}
+
+
+def test_ranks_with_most_values_in_one_bucket(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([5 + rng.uniform(0, 1e-4, 9000), rng.uniform(0, 100, 1000)])
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", 2.0)] * 3000, "g string, v double")
+    got = {r.g: r for r in values_at_ranks(df, ["g"], "v", {"a": F.floor(F.col("n") / 2) + 1, "b": F.lit(1), "c": F.col("n")}, rows_per_range=50).collect()}
+    want = np.sort(values)
+    assert (got["g"].a, got["g"].b, got["g"].c) == (want[5000], want[0], want[-1]) and got["h"].a == 2.0

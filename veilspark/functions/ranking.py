@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.session import write_through
+from veilspark.session import broadcast_if_small, write_through
 
 
 def number_within(
@@ -55,25 +55,45 @@ def hash_chunk(digest: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
+#: Rows of a range whose distinct values may meet in one task; a range with more is cut further.
+ROWS_PER_RANGE = 100_000
+PARTS = 4096
+
+
 def values_at_ranks(
-    df: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Column]
+    df: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Column], rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """The values at given 1-based ranks of each group's sorted numbers.
 
-    `ranks` maps output names to expressions over `n`, the group's row count.
-    Exact, in three steps: a histogram over logarithmic buckets (partial
-    aggregation), the buckets that hold a wanted rank, and distinct values with
-    counts inside those buckets only.  Null values are ignored.
+    `ranks` maps output names to expressions over `n`, the group's row count.  Null values are
+    ignored.  Exact, by narrowing ranges: a histogram over logarithmic buckets finds the range
+    of values that holds each rank; ranges with many rows are cut into `PARTS` equal parts, and again,
+    until each holds few rows or one value; then distinct values are counted inside them.
+    Every pass reads `df` once and counts before the shuffle.  There are at most as many ranges as
+    groups times ranks; they pick the rows of a pass, broadcast if they are few, so raw
+    rows are not shuffled.  The passes run while the plan is built, as each depends on the one before.
     """
     group = list(group)
+    spark = df.sparkSession
     x = F.col(value).cast("double")
-    bucket = (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 256)).cast("long")
-    rows = df.where(x.isNotNull()).select(*group, x.alias("_x"), bucket.alias("_b"))
-    up_to = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.where(x.isNotNull()).select(*group, x.alias("_x"))
+    span = [*group, "_lo", "_hi"]
+    counts = [F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_from"), F.max("_x").alias("_to")]
+
+    def up_to(keys: Sequence[str], order: str) -> Column:
+        return F.sum("_c").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+    holds = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c"))
+    rest = (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank")
+
+    def within(ranges: DataFrame) -> DataFrame:
+        picked = broadcast_if_small(write_through(spark, ranges.select(*span).distinct(), "ranges"))
+        return rows.join(picked, group).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+
+    bucket = (F.signum("_x") * F.floor(F.log2(F.abs("_x") + 1) * 256)).cast("long")
     histogram = (
-        rows.groupBy(*group, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(up_to))
+        rows.groupBy(*group, bucket.alias("_b")).agg(*counts)
+        .withColumn("_upto", up_to(group, "_b"))
         .withColumn("n", F.sum("_c").over(Window.partitionBy(*group)))
     )
     wanted = F.explode(
@@ -82,18 +102,24 @@ def values_at_ranks(
     targets = (
         histogram.select("*", wanted.alias("_w"))
         .select("*", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"))
-        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
-        .select(*group, "_b", "_name", "n", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
-    )
-    in_bucket = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    distinct = (
-        rows.join(targets.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
-        .groupBy(*group, "_b", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(in_bucket))
+        .where(holds)
+        .select(*group, F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), "_name", "n", rest, "_c")
     )
-    hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c"))
-    found = distinct.join(targets, [*group, "_b"]).where(hit)
+    targets = write_through(spark, targets, "targets")
+    while True:
+        wide = targets.where((F.col("_lo") < F.col("_hi")) & (F.col("_c") > rows_per_range))
+        if wide.isEmpty():
+            break
+        part = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS), F.lit(PARTS - 1))
+        cut = within(wide).groupBy(*span, part.alias("_b")).agg(*counts).withColumn("_upto", up_to(span, "_b"))
+        narrowed = (
+            wide.drop("_c").join(cut, span).where(holds)
+            .select(*group, F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), "_name", "n", rest, "_c")
+        )
+        done = targets.where((F.col("_lo") >= F.col("_hi")) | (F.col("_c") <= rows_per_range))
+        targets = write_through(spark, done.unionByName(narrowed), "targets")
+    distinct = within(targets).groupBy(*span, "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", up_to(span, "_x"))
+    found = targets.drop("_c").join(distinct, span).where(holds)
     return found.groupBy(*group).agg(
         F.max("n").alias("n"),
         *[F.max(F.when(F.col("_name") == k, F.col("_x"))).alias(k) for k in ranks],

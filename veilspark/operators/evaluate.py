@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.ranking import percentiles, values_at_ranks
+from veilspark.session import broadcast_if_small, write_through
 from veilspark.operators.verdict import LABELS
 
 Z95 = 1.96  # fixed value
@@ -122,7 +123,8 @@ def latency_percentiles(
     cold = calls.groupBy(*group).agg(
         F.min(order).alias("_first"), F.min_by(value, order).alias("cold_ms")
     )
-    warm = calls.join(cold.select(*group, "_first"), group).where(F.col(order) > F.col("_first"))
+    cold = write_through(calls.sparkSession, cold, "cold")
+    warm = calls.join(broadcast_if_small(cold.select(*group, "_first")), group).where(F.col(order) > F.col("_first"))
     found = percentiles(warm, group, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return cold.join(found, group, "left").select(
         *group, "cold_ms", F.coalesce("n", F.lit(0)).alias("warm_calls"),
@@ -213,7 +215,9 @@ def release_gate(
         F.count(F.when(leak, 1)).alias("fail_open"),
         F.min("case_id").alias("_first"),
     )
-    warm = predictions.join(counted.select(*group, "_first"), group).where(F.col("case_id") > F.col("_first"))
+    counted = write_through(predictions.sparkSession, counted, "counted")
+    firsts = broadcast_if_small(counted.select(*group, "_first"))
+    warm = predictions.join(firsts, group).where(F.col("case_id") > F.col("_first"))
     # the middle call, upper one of two
     median = values_at_ranks(warm, group, "latency_ms", {"p50": F.floor(F.col("n") / 2) + 1}).drop("n")
     return (

@@ -1,7 +1,7 @@
 """Do only what changed: cache split, upsert and the whole read flow."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,9 +76,7 @@ def run_incremental(
     artifacts: DataFrame,
     roots: Sequence[str],
     now: Column | None = None,
-    verdict: Column | None = None,
-    reason: Column | None = None,
-    confidence: Column | None = None,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
     max_bytes: int | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
     ruleset: str = RULESET,
@@ -93,8 +91,8 @@ def run_incremental(
     known files come from the artifacts.  The stored rows pick the texts; they are broadcast if
     they were counted and are few, and else joined by a shuffle on the key.
 
-    `verdict`, with `reason` and `confidence`, are columns of `files` (a model's answers); evidence in
-    the text decides by default, with confidence 1.  Files above `max_bytes`, if the caller sets
+    `judge` adds `verdict`, `reason` and `confidence` to the texts that were not known, as a model does
+    (see `classify`); evidence in the text decides by default, with confidence 1.  Files above `max_bytes`, if the caller sets
     it, say so in their reason and are worked on like all others.
 
     Results, artifacts and audit read the stored rows of one run.
@@ -128,19 +126,21 @@ def run_incremental(
     empty = F.array().cast("array<string>")
     scanned = texts.where("_state = 'miss'").withColumn("_spans", find_spans("text", rules)).withColumn(
         "_categories", F.coalesce(F.sort_array(F.array_distinct(F.transform("_spans", lambda s: s.category))), empty))
-    by_text = evidence_verdict(F.col("_categories"), F.col("text"))
-    evidence = F.concat(F.lit("evidence: "), F.array_join("_categories", ","))
     none = F.lit(None).cast("string")
-    judged = (
-        scanned.withColumn("verdict", by_text if verdict is None else verdict)
-        .withColumn("_said", (F.when(F.col("verdict") != "safe", evidence) if reason is None else reason) if verdict is None or reason is not None else none)
-        .withColumn("confidence", (F.lit(1.0) if verdict is None else F.lit(None).cast("double")) if confidence is None else confidence)
-    )
+    if judge is None:
+        evidence = F.concat(F.lit("evidence: "), F.array_join("_categories", ","))
+        judged = (
+            scanned.withColumn("verdict", evidence_verdict(F.col("_categories"), F.col("text")))
+            .withColumn("reason", F.when(F.col("verdict") != "safe", evidence))
+            .withColumn("confidence", F.lit(1.0))
+        )
+    else:
+        judged = judge(scanned)
     clean = F.col("verdict") == "flag_pii"
     marked = judged.withColumn("_marks", F.when(clean, number_spans(merge_spans(F.col("_spans")), F.col("text"))))
     common = ["doc_id", "path", "mtime", "size_bytes", "cache_key", "_state", "_gate", "_note", "_now"]
     misses = marked.select(
-        *common, none.alias("path_reason"), "verdict", F.col("_said").alias("_why"), "confidence",
+        *common, none.alias("path_reason"), "verdict", F.col("reason").alias("_why"), "confidence",
         F.when(clean, F.size("_marks")).otherwise(0).alias("redaction_count"), F.lit(METHOD_REGEX).alias("_method"),
         F.when(clean, replace_spans(F.col("text"), F.col("_marks"))).alias("sanitized_text"),
         F.when(F.col("verdict") == "safe", F.col("text")).alias("_plain"),

@@ -14,8 +14,9 @@ from veilspark.session import write_through
 
 MIN_NORM = 1e-12  # fixed value
 DIGITS = 9
-# Slack for rounding in the distance bounds; larger than any error of a dot product.
-SLACK = 1e-6
+# Slack of the distance bounds.  Similarities are equal after rounding if they differ by less than
+# 1e-9; by d = sqrt(2 - 2 s) distances may then differ by up to sqrt(2e-9), about 4.5e-5.
+SLACK = 5e-5
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -32,23 +33,68 @@ def _per_cell(table: dict[int, int]) -> Column:
     return F.create_map(*entries)
 
 
-def _best_other(reps: DataFrame, pivots: int, block_rows: int, query_rows: int) -> DataFrame:
+def _search(queries: DataFrame, cells: DataFrame, sizes: dict[int, int], block_rows: int, query_rows: int) -> DataFrame:
+    """(id, other, sim): per query the best other vector of the cells it is sent to.
+
+    `queries` has (id, u, cell), stored.  A cell is cut into blocks of about `block_rows` vectors, and its
+    queries into batches of about `query_rows`; a block is copied once for each batch of its own cell.
+    """
+    asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not asked:
+        return queries.select("id", F.col("id").alias("other"), F.lit(0.0).alias("sim")).limit(0)
+    blocks = _per_cell({c: max(1, math.ceil(sizes[c] / block_rows)) for c in asked})
+    batches = _per_cell({c: max(1, math.ceil(n / query_rows)) for c, n in asked.items()})
+    at = lambda table: F.try_element_at(table, F.col("cell"))
+    sent = queries.select(
+        "id", "u", "cell", F.explode(F.sequence(F.lit(0), at(blocks) - 1)).alias("block"),
+        F.pmod(F.xxhash64("id"), at(batches)).cast("int").alias("batch"),
+    )
+    base = cells.where(at(blocks).isNotNull()).select(
+        "id", "u", "cell", F.pmod(F.xxhash64("id", F.lit("block")), at(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), at(batches) - 1)).alias("batch"),
+    )
+
+    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
+        b = b.sort_values("id")
+        ids, vectors = b["id"].to_numpy(), _stack(b["u"]).T
+        out = []
+        for start in range(0, len(q), 1024):
+            part = q.iloc[start : start + 1024]
+            sims = np.round(_stack(part["u"]) @ vectors, DIGITS)
+            sims[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            best = sims.argmax(axis=1)
+            found = pd.DataFrame(
+                {"id": part["id"].to_numpy(), "other": ids[best], "sim": sims[np.arange(len(part)), best]}
+            )
+            out.append(found[np.isfinite(found["sim"])])
+        return pd.concat(out)
+
+    keys = ["cell", "block", "batch"]
+    return sent.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(search, "id long, other long, sim double")
+
+
+def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows: int) -> DataFrame:
     """(id, other, sim): the best other vector of each distinct vector.
 
-    Every vector belongs to the cell of its nearest pivot.  By the triangle
-    inequality a cell whose vectors lie between `lo` and `hi` from its pivot can
-    hold something within `u` of a query only if the query lies between `lo - u`
-    and `hi + u` from that pivot, where `u` is the query's distance to its nearest
-    other pivot.  So a query travels to the cells that may hold its neighbour and no
-    others, and nothing is left out.  Cells are cut into blocks, queries into
-    batches, both of bounded size, whatever the cell's share of the data.  Per
-    block a query yields one row.
+    Every vector belongs to the cell of its nearest pivot and is first searched there.  By the
+    triangle inequality a cell whose vectors lie between `lo` and `hi` from its pivot can hold
+    something within `u` of a query only if the query lies between `lo - u` and `hi + u` from
+    that pivot, where `u` is the distance to the best vector found so far (or to the nearest
+    other pivot).  So a query travels on only to the cells that may hold a better one, and nothing is
+    left out.  On clustered vectors that is a small share of the cells; where all
+    distances are alike, as for noise in many dimensions, no bound prunes and the job is
+    quadratic.
     """
+    n = reps.count()
+    wanted = pivots or max(1, math.ceil(math.sqrt(n)))
     chosen = (
-        reps.select("id", "u").orderBy(F.md5(F.col("id").cast("string")), "id").limit(pivots).collect()
+        reps.select("id", "u").orderBy(F.md5(F.col("id").cast("string")), "id").limit(wanted).collect()
     )
     if not chosen:
         return reps.select("id", F.col("id").alias("other"), F.lit(0.0).alias("sim")).limit(0)
+    spark = reps.sparkSession
     pivot_ids = np.array([r.id for r in chosen])
     pivot_vectors = np.array([r.u for r in chosen], dtype=np.float64)
 
@@ -59,78 +105,39 @@ def _best_other(reps: DataFrame, pivots: int, block_rows: int, query_rows: int)
                 cell = d.argmin(axis=1)
                 yield pdf.assign(cell=cell.astype("int32"), d=d[np.arange(len(d)), cell])
 
-    cells = write_through(
-        reps.sparkSession,
-        reps.select("id", "u").mapInPandas(assign, "id long, u array<double>, cell int, d double"),
-        "cells",
-    )
+    cells = write_through(spark, reps.select("id", "u").mapInPandas(assign, "id long, u array<double>, cell int, d double"), "cells")
     # at most one row per pivot
     stats = cells.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")
     ).collect()
-    total = sum(r.n for r in stats)
-    batches = max(1, math.ceil(total / query_rows))
-    blocks = _per_cell({r.cell: max(1, math.ceil(r.n / block_rows)) for r in stats})
+    sizes = {r.cell: r.n for r in stats}
     cell_ids = np.array([r.cell for r in stats], dtype="int32")
     lo, hi = np.array([r.lo for r in stats]), np.array([r.hi for r in stats])
+    best = F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b")
+    near = write_through(
+        spark, _search(cells.select("id", "u", "cell"), cells, sizes, block_rows, query_rows).groupBy("id").agg(best), "near")
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
             d = _distances(_stack(pdf["u"]), pivot_vectors)
-            to_others = np.where(pdf["id"].to_numpy()[:, None] == pivot_ids[None, :], np.inf, d)
-            bound = to_others.min(axis=1)[:, None] + SLACK
-            near = d[:, cell_ids]
-            open_cells = (near >= lo - bound) & (near <= hi + bound)
-            yield pd.DataFrame(
-                {"id": pdf["id"], "u": pdf["u"], "cells": [cell_ids[row] for row in open_cells]}
-            )
-
-    queries = (
-        cells.select("id", "u")
-        .mapInPandas(reach, "id long, u array<double>, cells array<int>")
-        .select("id", "u", F.explode("cells").alias("cell"))
-        .select(
-            "*",
-            F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell")) - 1)).alias("block"),
-            F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"),
-        )
-    )
-    base = cells.select(
-        "id",
-        "u",
-        "cell",
-        F.pmod(F.xxhash64("id", F.lit("block")), F.element_at(blocks, F.col("cell"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"),
-    )
-
-    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "sim": []})
-        b = b.sort_values("id")
-        ids, vectors = b["id"].to_numpy(), _stack(b["u"]).T
-        out = []
-        for at in range(0, len(q), 1024):
-            part = q.iloc[at : at + 1024]
-            sims = np.round(_stack(part["u"]) @ vectors, DIGITS)
-            sims[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            best = sims.argmax(axis=1)
-            found = pd.DataFrame(
-                {"id": part["id"].to_numpy(), "other": ids[best], "sim": sims[np.arange(len(part)), best]}
-            )
-            out.append(found[np.isfinite(found["sim"])])
-        return pd.concat(out)
-
-    keys = ["cell", "block", "batch"]
-    per_block = (
-        queries.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(search, "id long, other long, sim double")
-    )
-    return (
-        per_block.groupBy("id")
-        .agg(F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b"))
-        .select("id", (-F.col("_b.neg")).alias("other"), F.col("_b.sim").alias("sim"))
+            to_others = np.where(pdf["id"].to_numpy()[:, None] == pivot_ids[None, :], np.inf, d).min(axis=1)
+            so_far = np.sqrt(np.maximum(2.0 - 2.0 * pdf["sim"].fillna(-1.0).to_numpy(), 0.0))
+            bound = np.minimum(to_others, so_far)[:, None] + SLACK
+            away = d[:, cell_ids]
+            open_cells = (away >= lo - bound) & (away <= hi + bound) & (cell_ids[None, :] != pdf["cell"].to_numpy()[:, None])
+            yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], "cells": [cell_ids[row] for row in open_cells]})
+
+    known = cells.select("id", "u", "cell").join(near.select("id", "_b.sim"), "id", "left")
+    queries = write_through(
+        spark,
+        known.mapInPandas(reach, "id long, u array<double>, cells array<int>").select("id", "u", F.explode("cells").alias("cell")),
+        "queries",
     )
+    far = _search(queries, cells, sizes, block_rows, query_rows).groupBy("id").agg(best)
+    both = near.unionByName(far).groupBy("id").agg(F.max("_b").alias("_b"))
+    return both.select("id", (-F.col("_b.neg")).alias("other"), F.col("_b.sim").alias("sim"))
 
 
 def knn_loo(
@@ -138,7 +145,7 @@ def knn_loo(
     key: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    pivots: int = 256,
+    pivots: int | None = None,
     block_rows: int = 8192,
     query_rows: int = 16384,
 ) -> DataFrame:

@@ -46,6 +46,11 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+def verdict_of_label(label: Column) -> Column:
+    """The verdict that a label stands for; null for an unknown label."""
+    return _lookup(label, VERDICTS)
+
+
 def backend_answer(raw: Column) -> Column:
     """Classifier output as a struct; malformed or off-list answers ask a person, at confidence 0."""
     parsed = F.from_json(raw, CLASSIFY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})

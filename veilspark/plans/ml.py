@@ -1,12 +1,23 @@
 """Named queries: text preparation, features, training, neighbours."""
 from __future__ import annotations
 
+import json
+
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from veilspark.operators import classify as K
 from veilspark.operators import evaluate as E
 from veilspark.operators import features as X
 from veilspark.operators import model as M
+from veilspark.operators import redact as R
+from veilspark.operators import verdict as V
+from veilspark.operators.curate import stratified_folds
 from veilspark.operators.neighbors import knn_loo as nearest
 from veilspark.plans import inputs as I
 from veilspark.plans import sql_text as S
@@ -35,8 +46,25 @@ def prepare_text_marked(spark, sf):
     return X.prepare_text(docs, "classify_doc").select("doc_id", "prepared")
 
 
-@query("featurize")
+# TF-IDF over md5 buckets, as in the pipeline: one weight per document and bucket.
+def _weights_sql(source: str, prompt: str = "") -> str:
+    return f"""
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower({S.quote(prompt)} || text), '[a-z0-9_]+')) AS w FROM {source}),
+tf AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 3))::INT AS b, count(*) AS n FROM tok GROUP BY ALL),
+df AS (SELECT b, ln(((SELECT count(*) FROM {source}) + 1) / (count(*) + 1.0)) AS idf FROM tf GROUP BY b),
+weights AS (SELECT doc_id, tf.b, n * idf AS v FROM tf JOIN df ON tf.b = df.b WHERE n * idf <> 0)"""
+
+
+@query(
+    "featurize",
+    f"""
+WITH {_weights_sql("documents", X.PROMPTS["classify_short"])},
+sized AS (SELECT doc_id, b, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS u FROM weights)
+SELECT d.doc_id, count(b)::INT AS terms, round(coalesce(sqrt(sum(u * u)), 0), 6)::DOUBLE AS length, round(coalesce(sum(u * (b + 1)), 0), 3)::DOUBLE AS mass
+FROM documents d LEFT JOIN sized s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
+)
 def featurize(spark, sf):
+    """Terms, length and the weights' sum by place, of every document."""
     docs = I.spread(I.table(spark, sf, "documents").select("doc_id", "text"))
     rows, _ = X.featurize(docs, "classify_short")
     values = vector_to_array("features")
@@ -44,6 +72,7 @@ def featurize(spark, sf):
         "doc_id",
         F.size(F.filter(values, lambda x: x != 0)).alias("terms"),
         F.round(X.norm(values), 6).alias("length"),
+        F.round(F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x), 3).alias("mass"),
     )
 
 
@@ -68,48 +97,122 @@ def _vectors(spark, sf):
     return write_through(spark, rows, "vectors").select("vec_id", "label", array_to_vector("u").alias("features"))
 
 
-@query("train_head")
+HELD_OUT = 0
+
+
+def _folded(spark, sf):
+    """Labelled documents with a fold, stored."""
+    rows = I.labeled(spark, sf).select("doc_id", "text", "label")
+    return write_through(spark, stratified_folds(rows, "doc_id", M.SEED), "labeled")
+
+
+_FOLDED_SQL = f"""
+labeled AS ({I.LABELED_SQL}),
+folded AS (SELECT doc_id, text, label, (row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':{M.SEED}'), doc_id) - 1) % 5 AS fold FROM labeled)"""
+
+
+def _head(model):
+    """(labels, coefficient matrix, intercepts) of a trained bundle."""
+    head = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    names = next(s for s in model.stages if isinstance(s, IndexToString))
+    return names.getLabels(), head.coefficientMatrix.toArray(), head.interceptVector.toArray()
+
+
+@query(
+    "train_head",
+    f"WITH {_FOLDED_SQL} SELECT label, count(*) AS n, true AS at_optimum FROM folded WHERE fold <> {HELD_OUT} GROUP BY label",
+)
 def train_head(spark, sf):
-    model = M.train_head(_vectors(spark, sf), 1.0)
-    head = model.stages[1]
-    rows = [
-        (label, i, float(head.interceptVector[i]), float(head.coefficientMatrix.toArray()[i].dot(head.coefficientMatrix.toArray()[i])))
-        for i, label in enumerate(model.stages[0].labels)
-    ]
-    return spark.createDataFrame(rows, "label string, class int, intercept double, squared_weight double")
+    """Train on the texts of four folds; at the coefficients the loss has no slope left for any class.
+
+    The slope is computed from the rows: the mean of (probability - hit) times the features, and the
+    penalty's share.
+    """
+    rows = _folded(spark, sf).where(F.col("fold") != HELD_OUT)
+    model = K.train_classifier(rows)
+    labels, weights, _ = _head(model)
+    n = rows.count()
+    scored = PipelineModel([s for s in model.stages if not isinstance(s, (IndexToString, StringIndexerModel))]).transform(rows)
+    scored = scored.select("label", vector_to_array("_probability").alias("p"), vector_to_array("features").alias("x"))
+    slopes = scored.select("label", *[
+        array_to_vector(F.transform("x", _times(F.get("p", F.lit(k)) - (F.col("label") == label).cast("double")))).alias(f"s{k}")
+        for k, label in enumerate(labels)])
+    means = slopes.agg(*[Summarizer.mean(F.col(f"s{k}")).alias(f"s{k}") for k in range(len(labels))]).first()
+    flat = [(label, bool(np.linalg.norm(means[k].toArray() + weights[k] / n) < 1e-2)) for k, label in enumerate(labels)]
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(spark.createDataFrame(flat, "label string, at_optimum boolean"), "label")
+
+
+def _times(factor):
+    return lambda x: x * factor
 
 
-@query("predict")
+@query(
+    "predict",
+    f"WITH {_FOLDED_SQL} SELECT doc_id, label AS expected, true AS as_recomputed, true AS in_range FROM folded WHERE fold = {HELD_OUT}",
+)
 def predict(spark, sf):
-    rows = _vectors(spark, sf)
-    return M.predict(M.train_head(rows, 1.0), rows).select(
-        "vec_id", F.col("label").alias("expected"), "predicted", F.round("confidence", 4).alias("confidence")
+    """Score the held-out fold; label and probability are computed again from the coefficients."""
+    folded = _folded(spark, sf)
+    model = K.train_classifier(folded.where(F.col("fold") != HELD_OUT))
+    labels, weights, intercepts = _head(model)
+    scored = M.predict(model, folded.where(F.col("fold") == HELD_OUT)).withColumn("x", vector_to_array("features"))
+
+    def margin(k):
+        w = F.from_json(F.lit(json.dumps(weights[k].tolist())), "array<double>")
+        return F.aggregate(F.zip_with("x", w, lambda x, y: x * y), F.lit(float(intercepts[k])), lambda acc, v: acc + v)
+
+    margins = F.array(*[F.struct(margin(k).alias("m"), F.lit(label).alias("name")) for k, label in enumerate(labels)])
+    again = scored.select("doc_id", "label", "predicted", "confidence", margins.alias("all"))
+    best = F.array_max("all")
+    share = 1 / F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x.m - best.m))
+    return again.select(
+        "doc_id",
+        F.col("label").alias("expected"),
+        ((best["name"] == F.col("predicted")) & (F.abs(share - F.col("confidence")) < 1e-6)).alias("as_recomputed"),
+        F.col("confidence").between(0.25, 1.0).alias("in_range"),
     )
 
 
+@query("classify_documents")
+def classify_documents(spark, sf):
+    """Train on four folds, judge the documents of the fifth, and route them by the verdict."""
+    folded = _folded(spark, sf)
+    model = K.train_classifier(folded.where(F.col("fold") != HELD_OUT))
+    judged = K.classify(folded.where(F.col("fold") == HELD_OUT), model)
+    return V.route_documents(R.sanitize(judged).drop("marks", "method")).select(
+        "doc_id", F.col("label").alias("expected"), "predicted", F.round("confidence", 4).alias("confidence"),
+        "verdict", "method", "count", "content", "escalation", "block_reason")
+
+
 @query("cv_sweep")
 def cv_sweep(spark, sf):
     folds = M.cv_sweep({"none": _vectors(spark, sf)}, "vec_id", grid=M.C_GRID)
     return E.select_winner(E.sweep_summary(folds))
 
 
-@query("model_registry")
+@query(
+    "model_registry",
+    f"WITH {_FOLDED_SQL} SELECT doc_id, label AS expected, true AS same FROM folded WHERE fold = {HELD_OUT}",
+)
 def model_registry(spark, sf):
-    """Train, save, refuse a wrong prompt, load, and score with the loaded model."""
-    rows = _vectors(spark, sf)
+    """Train on texts, save, refuse a wrong prompt, load, and score the held-out texts as before."""
+    folded = _folded(spark, sf)
+    rows, new = folded.where(F.col("fold") != HELD_OUT), folded.where(F.col("fold") == HELD_OUT)
     n = rows.count()
     path = scratch_path(spark, "model")
-    folds = spark.createDataFrame([("none", 1.0, 0, 0.0, 0.0)], "prompt string, C double, fold int, f1 double, acc double")
-    results = E.cv_results_by_c(E.sweep_summary(folds), "none", 1.0)
-    M.save_model(M.train_head(rows, 1.0, n=n), path, "given-vectors-64", "none", 1.0, n, results)
+    scores = spark.createDataFrame([("classification", 1.0, 0, 0.0, 0.0)], "prompt string, C double, fold int, f1 double, acc double")
+    results = E.cv_results_by_c(E.sweep_summary(scores), "classification", 1.0)
+    model = K.train_classifier(rows, "classification")
+    M.save_model(model, path, "md5-buckets-3", "classification", 1.0, n, results)
     try:
-        M.load_model(spark, path, "given-vectors", "classify_doc")
+        M.load_model(spark, path, "md5-buckets", "classify_doc")
         raise AssertionError("a model for another prompt was accepted")
     except ValueError:
         pass
-    model, _ = M.load_model(spark, path, "given-vectors", "none")
-    scored = M.predict(model, rows).select(F.col("label").alias("expected"), "predicted")
-    return E.pair_counts(scored)
+    loaded, _ = M.load_model(spark, path, "md5-buckets", "classification")
+    before = K.classify(new, model).select("doc_id", "label", F.col("predicted").alias("was"))
+    after = K.classify(new, loaded).select("doc_id", "predicted")
+    return before.join(after, "doc_id").select("doc_id", F.col("label").alias("expected"), (F.col("was") == F.col("predicted")).alias("same"))
 
 
 _UNITS = """

@@ -468,12 +468,11 @@ def runs_to_tokens(spark, sf):
 
 # Known values: each document's longest pattern match per category and its word "the";
 # a model picks every document's first token.
-_TOKEN_SOURCE = "token_text AS (SELECT doc_id * 100000 + token_id AS doc_id, text FROM tokens WHERE length(text) > 5)"
+# Equal texts have equal detections, so the patterns run over the distinct ones.
+_TOKEN_SOURCE = "token_text AS (SELECT row_number() OVER (ORDER BY text) AS doc_id, text FROM (SELECT DISTINCT text FROM tokens WHERE length(text) > 5))"
 FLAGGED = f"""{TOKENS}, {_TOKEN_SOURCE}, {S.detections_cte("token_text")},
-hit AS (SELECT DISTINCT doc_id // 100000 AS doc_id, doc_id % 100000 AS token_id FROM detections),
-flagged AS (
-  SELECT t.* FROM tokens t
-  WHERE t.token_id = 0 OR t.text = 'the' OR EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = t.doc_id AND h.token_id = t.token_id))"""
+hit AS (SELECT text FROM token_text WHERE doc_id IN (SELECT doc_id FROM detections)),
+flagged AS (SELECT t.* FROM tokens t WHERE t.token_id = 0 OR t.text = 'the' OR t.text IN (SELECT text FROM hit))"""
 
 
 def _flagged(spark, sf):
