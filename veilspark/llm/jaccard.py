@@ -19,6 +19,7 @@ rows that are equal in id and text stay separate rows with equal results; extra
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -246,7 +247,7 @@ def _verify(base: DataFrame, signed: DataFrame, clusters: DataFrame, n: int, thr
     sets = texts.select("row", "component", "tasks", grams.asNondeterministic()(F.col("text")).alias("grams"))
     work = sets.select("row", "component", F.explode("tasks").alias("t"), "grams").select("row", "component", "t.*", "grams")
 
-    def verify(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple[Any, ...], batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.drop_duplicates("row").sort_values("row", kind="stable")
         step, i, j = key[2], key[3], key[4]
         sides = batch["side"].to_numpy()

@@ -3,21 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, quality, rules, secrets, templates, tokens
+from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, quality, rules, secrets, sql, templates, tokens
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", sql.QUALITY_RULES)
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and verdict of every document."""
     return rules.quality_report(table(spark, sf, "documents"))
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", sql.DECONTAMINATION)
 def decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark windows found in every document."""
-    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("hit_runs")
 
 
 @query("op2_token_counts")
