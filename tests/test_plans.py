@@ -66,3 +66,21 @@ def test_dedupe_shuffles_hashes_only(spark):
     plan = plan_of(entry.queries()["content_dedupe"](spark, SF))
     exchanged = re.search(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan).group(1)
     assert "text" not in exchanged
+
+
+def test_known_files_meet_no_pattern_and_no_text_is_shuffled(spark, tmp_path):
+    """With every file known, texts are read for safe ones only, and picked without an exchange."""
+    from veilspark.operators import incremental as N
+
+    files = I.files(spark, SF)
+    known = N.with_cache_key(files.drop("text")).selectExpr(
+        "cache_key", "path", "mtime", "size_bytes", f"'{N.RULESET}' ruleset_version", "'flag_pii' verdict",
+        "'clean' sanitized_text", "1 redaction_count", "'regex-only' method", "0L cached_at")
+    known.write.parquet(str(tmp_path / "store"))
+    run = N.run_incremental(files, spark.read.parquet(str(tmp_path / "store")), [I.ROOT])
+    plan = plan_of(run.results)
+    assert r"[0-9]{3}-[0-9]{2}-[0-9]{4}" not in plan
+    for exchanged in re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan):
+        assert not re.search(r"\btext#", exchanged)
+    assert run.artifacts.count() == 0
+    assert {r.content for r in run.results.where("cached").collect()} == {"clean"}

@@ -17,6 +17,7 @@ from veilspark.functions.spans import (
     replace_spans,
 )
 from veilspark.operators.files import file_type
+from veilspark.operators.policy import path_policy
 from veilspark.session import write_through
 
 METHOD_REGEX = "regex-only"
@@ -349,13 +350,25 @@ def merge_ranges(ranges: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
 
 
 def patch_lines(
-    docs: DataFrame, ranges: DataFrame, reason: str, text: str = "text", marker: str = "[REDACTED by policy: {}]"
+    docs: DataFrame, ranges: DataFrame, reason: str, text: str = "text", marker: str = "[REDACTED by policy: {}]",
+    roots: Sequence[str] | None = None,
 ) -> DataFrame:
     """Replace 1-based inclusive line ranges with a marker, keeping the original as a backup.
 
     Overlapping ranges are merged, so a line counts once.  Documents for which no
-    patch was asked come back unchanged, with no backup.
+    patch was asked come back unchanged, with no backup.  With `roots`, path policy
+    is asked first: a denied document stays as it is, and `patch_reason` says why.
     """
+    if roots is not None:
+        judged = path_policy(docs, roots)
+        asked = ranges.select("doc_id").distinct().withColumn("_wanted", F.lit(True))
+        denied = judged.where("path_verdict = 'deny'").join(asked, "doc_id", "left")
+        closed = denied.select(
+            *docs.columns, F.col(text).alias("patched_text"), F.lit(0).alias("lines_redacted"), F.lit(None).cast("string").alias("backup_text"),
+            F.when(F.col("_wanted"), F.col("path_reason")).alias("patch_reason"))
+        opened = judged.where("path_verdict <> 'deny'").select(*docs.columns)
+        done = patch_lines(opened, ranges, reason, text, marker).withColumn("patch_reason", F.lit(None).cast("string"))
+        return done.unionByName(closed)
     merged = merge_ranges(ranges).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start_line", "end_line"))).alias("_ranges")
     )

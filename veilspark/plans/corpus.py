@@ -6,16 +6,18 @@ from pyspark.sql import types as T
 
 from veilspark.functions import patterns as P
 from veilspark.functions.spans import find_spans
+from veilspark.operators import audit as A
 from veilspark.operators import curate as C
 from veilspark.operators import files as X
 from veilspark.operators import incremental as N
 from veilspark.operators import policy as Y
 from veilspark.operators import redact as R
 from veilspark.operators import verdict as V
+from veilspark.operators.search import search_sanitized
 from veilspark.plans import inputs as I
 from veilspark.plans import sql_text as S
-from veilspark.plans.catalog import query
-from veilspark.plans.text import CORPUS, _file_type_sql
+from veilspark.plans.catalog import ORACLES, QUERIES, query
+from veilspark.plans.text import CORPUS, SEARCH, _file_type_sql
 from veilspark.session import scratch_path
 from veilspark.sources import corpus as K
 
@@ -40,19 +42,19 @@ def _gate_sql(path_ext: str = _EXT) -> str:
 @query(
     "load_corpus",
     """
-SELECT 'source=' || source || '/lang=' || lang AS folder, 'text' AS format, sum(strlen(text) + 1)::BIGINT AS bytes, sum(length(text) + 1)::BIGINT AS chars
-FROM documents GROUP BY source, lang""",
+SELECT 'bucket=' || (doc_id % 40) AS folder, 'text' AS format, md5(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS digest,
+       (sum(strlen(text) + 1))::BIGINT AS size_bytes, true AS recent
+FROM documents GROUP BY doc_id % 40""",
 )
 def load_corpus(spark, sf):
-    """Documents written as files of a hundred, a line break after each, then read back file by file."""
-    docs = I.table(spark, sf, "documents").select("lang", "source", "text")
+    """Documents written as forty files, a line break after each, then read back file by file."""
+    docs = I.table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("bucket"))
     root = scratch_path(spark, "corpus")
-    docs.write.option("maxRecordsPerFile", 100).partitionBy("source", "lang").text(root)
-    return (
-        K.load_corpus(spark, root, "*.txt")
-        .groupBy(F.regexp_extract("path", "/(source=[^/]+/lang=[^/]+)/", 1).alias("folder"), "format")
-        .agg(F.sum("size_bytes").alias("bytes"), F.sum(F.length("text")).cast("long").alias("chars"))
-    )
+    one_file_each = docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    one_file_each.drop("doc_id").write.partitionBy("bucket").text(root)
+    return K.load_corpus(spark, root, "*.txt").select(
+        F.regexp_extract("path", "/(bucket=[0-9]+)/", 1).alias("folder"), "format", F.md5("text").alias("digest"), "size_bytes",
+        F.col("mtime").between(F.unix_millis(F.current_timestamp()) - 86_400_000, F.unix_millis(F.current_timestamp()) + 60_000).alias("recent"))
 
 
 @query(
@@ -206,8 +208,9 @@ def resume_pending(spark, sf):
 @query(
     "write_artifacts",
     f"""
-WITH {FILES}
-SELECT substr(sha256(path || '|' || mtime || '|' || size_bytes), 1, 2) AS shard, count(*) AS n FROM files GROUP BY ALL""",
+WITH {FILES}, {S.sanitized_cte("files")}, keyed AS (
+  SELECT sha256(path || '|' || mtime || '|' || size_bytes) AS k, sanitized_text FROM files JOIN sanitized ON files.doc_id = sanitized.doc_id)
+SELECT substr(k, 1, 2) AS shard, count(*) AS n, md5(string_agg(md5(sanitized_text), ',' ORDER BY k)) AS digest FROM keyed GROUP BY ALL""",
 )
 def write_artifacts(spark, sf):
     files = N.with_cache_key(I.spread(I.files(spark, sf)))
@@ -215,7 +218,9 @@ def write_artifacts(spark, sf):
     path = scratch_path(spark, "artifacts")
     K.write_artifacts(made, path)
     schema = T.StructType([*made.schema.fields, T.StructField("shard", T.StringType())])
-    return spark.read.schema(schema).parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("cache_key", F.md5("sanitized_text").alias("h")))), lambda x: x.h)
+    return spark.read.schema(schema).parquet(path).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.md5(F.array_join(texts, ",")).alias("digest"))
 
 
 @query(
@@ -333,6 +338,37 @@ def tool_gate(spark, sf):
     return Y.tool_gate(calls).drop("params")
 
 
+# A patch of the first two lines of every file that policy allows.
+@query(
+    "tool_audit",
+    f"""
+WITH {FILES}, cleaned AS (SELECT *, {_CLEAN} AS clean FROM files), judged AS (SELECT *, {_policy_sql("clean")} AS path_reason FROM cleaned),
+hits AS (
+  SELECT path, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {S.quote(P.sql_pattern(SEARCH))}))) AS n FROM judged WHERE NOT {_DENIED}),
+rows AS (
+  SELECT 'patch' AS event, 'deny_path' AS action, path_reason AS reason, 0 AS c FROM judged WHERE {_DENIED}
+  UNION ALL SELECT 'patch', 'patch', NULL, least(2, len(string_split(text, chr(10)))) FROM judged WHERE NOT {_DENIED}
+  UNION ALL SELECT 'search', 'deny_path', path_reason, NULL FROM judged WHERE {_DENIED}
+  UNION ALL SELECT 'search', 'search', NULL, n FROM hits WHERE n > 0)
+SELECT event, action, reason, count(*) AS n, sum(c)::BIGINT AS redactions FROM rows GROUP BY ALL""",
+)
+def tool_audit(spark, sf):
+    files = I.spread(I.files(spark, sf))
+    ranges = files.select("doc_id", F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
+    patched = R.patch_lines(files.select("doc_id", "path", "text"), ranges, "review", roots=[I.ROOT])
+    rows = A.patch_audit(patched).unionByName(A.search_audit(files, search_sanitized(files, SEARCH, [I.ROOT]), [I.ROOT]))
+    return rows.groupBy("event", "action", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("redaction_count").alias("redactions"))
+
+
+@query(
+    "gate_audit",
+    "SELECT 'tool_call' AS event, action, reason, count(*) AS n FROM (" + ORACLES["tool_gate"] + ") WHERE action <> 'allow' GROUP BY ALL",
+)
+def gate_audit(spark, sf):
+    gated = A.gate_audit(QUERIES["tool_gate"](spark, sf))
+    return gated.groupBy("event", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- cache ------------------------------------------------------------------------------
 
 # The earlier snapshot: the same files, some since touched, some made by older rules.

@@ -74,17 +74,16 @@ def read_jsonl(
     return rows, parsed.where(is_bad).select(F.col("value").alias("line"))
 
 
-def write_artifacts(artifacts: DataFrame, path: str, mode: str = "overwrite", files_per_shard: int = 1) -> None:
+def write_artifacts(artifacts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Artifacts as parquet in 256 shards by the first two digits of their key.
 
     With dynamic partition overwrite only the shards that are touched are
-    replaced.  `files_per_shard` spreads a shard over that many tasks and files;
-    set it so that one file stays near a gigabyte.
+    replaced.  The rows are rebalanced by shard: adaptive execution gives a shard as many tasks
+    and files as its size asks for.
     """
     sharded = artifacts.withColumn("shard", F.substring("cache_key", 1, 2))
-    part = F.pmod(F.xxhash64("cache_key"), F.lit(files_per_shard))
     (
-        sharded.repartition(F.col("shard"), part)
+        sharded.hint("rebalance", "shard")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard")
