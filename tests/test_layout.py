@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+from veilspark.functions.patterns import DEFAULT_RULES
 from veilspark.operators import layout as L
 
 
@@ -72,6 +73,14 @@ def test_flags_and_rectangles(spark):
         assert all(abs(a - b) < 1e-6 for a, b in zip(g, e, strict=True))
 
 
+def test_a_value_over_several_words_flags_them_all(spark):
+    rows = [(1, 0, 0, " call  (212) 555-0147 now", 0.0, 0.0, 100.0, None), (1, 0, 1, "plain", 0.0, 20.0, 50.0, None)]
+    runs = spark.createDataFrame(rows, "doc_id long, page int, run int, text string, x double, y double, width double, height double")
+    flagged = L.flag_tokens(L.runs_to_tokens(runs, DEFAULT_RULES))
+    assert sorted((r.text, r.category) for r in flagged.collect()) == [("(212)", "PHONE"), ("555-0147", "PHONE")]
+    assert [tuple(r) for r in L.layout_vault(flagged).collect()] == [(1, "PHONE", "212) 555-0147", "__PHONE_1__")]
+
+
 def test_line_key_rounds_halves_up(spark):
     from pyspark.sql import functions as F
 

@@ -18,22 +18,59 @@ RECT_REASON = "PII redacted"
 # ----------------------------------------------------------------------------
 
 
-def runs_to_tokens(runs: DataFrame) -> DataFrame:
-    """(doc_id, token_id, page, text, x, y, w, h) from text runs.
+def _words(text: Column, spans: Column | None) -> Column:
+    """The words of a run: struct(pos, word, chars, category, value).
+
+    `chars` counts the characters before a word if words were one space apart, which is how x
+    moves; category and value are those of the first span that the word overlaps in the text
+    itself, so that a value written over several words flags them all.
+    """
+    space = f"[{SPACE}]+"
+
+    def place(t: Column) -> Column:
+        """Each piece between spaces with its start."""
+        width = F.transform(t.parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(t.seps, i)), F.lit(0)))
+        return let(running_total(width), lambda ends: F.transform(t.parts, lambda p, i: F.struct(
+            p.alias("word"), (F.get(ends, i) - F.length(p) - F.coalesce(F.length(F.get(t.seps, i)), F.lit(0))).alias("at"))))
+
+    def about(words: Column) -> Column:
+        none = F.lit(None).cast("struct<category:string,value:string>")
+
+        def first(w: Column) -> Column:
+            if spans is None:
+                return none
+            over = F.filter(spans, lambda s: (s.start < w["at"] + F.length(w.word)) & (s.end > w["at"]))
+            return F.when(F.size(spans) > 0, F.get(F.transform(over, lambda s: F.struct(s.category.alias("category"), s["value"].alias("value"))), F.lit(0)))
+
+        return let(
+            running_total(F.transform(words, lambda w: F.length(w.word) + 1)),
+            lambda ends: F.transform(words, lambda w, i: let(first(w), lambda hit: F.struct(
+                i.alias("pos"), w.word.alias("word"), (F.get(ends, i) - F.length(w.word) - 1).alias("chars"),
+                hit.category.alias("category"), hit["value"].alias("value")))),
+        )
+
+    both = F.struct(F.split(text, space, -1).alias("parts"), F.regexp_extract_all(text, F.lit(space), F.lit(0)).alias("seps"))
+    return let(both, lambda t: let(F.filter(place(t), lambda w: F.length(w.word) > 0), about))
+
+
+def runs_to_tokens(runs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """(doc_id, token_id, page, text, x, y, w, h) from text runs; with `rules` also category and value.
 
     `runs` has (doc_id, page, run, text, x, y, width, height).  A run's words
     share its y and height; x moves by character share of the run's width.
+    Patterns run once per run of text, and a word that overlaps a hit carries it.
     Ids count from 0 over a document in (page, run, word) order.  They are built
     from sums per run and per page, so that no window ever holds more than the
     runs of one page or the pages of one document.
     """
-    space = f"[{SPACE}]+"
-    words = F.filter(F.split(F.col("text"), space, -1), lambda w: F.length(w) > 0)
+    read = runs.where(F.rlike("text", F.lit(f"[^{SPACE}]")))
+    if rules is not None:
+        read = read.withColumn("_spans", find_spans("text", rules))
     usable = (
-        runs.where(F.rlike("text", F.lit(f"[^{SPACE}]")))
-        .withColumn("_words", words)
+        read.withColumn("_words", _words(F.col("text"), None if rules is None else F.col("_spans")))
         .withColumn("_char", F.col("width") / F.length("text"))
         .withColumn("_n", F.size("_words"))
+        .drop("text", "_spans")
     )
     before_run = (
         Window.partitionBy("doc_id", "page").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,19 +81,10 @@ def runs_to_tokens(runs: DataFrame) -> DataFrame:
         .agg(F.sum("_n").alias("_page_n"))
         .select("doc_id", "page", F.coalesce(F.sum("_page_n").over(before_page), F.lit(0)).alias("_page_at"))
     )
-    offsets = let(
-        running_total(F.transform(F.col("_words"), lambda w: F.length(w) + 1)),
-        lambda ends: F.transform(
-            F.col("_words"),
-            lambda w, i: F.struct(
-                i.alias("pos"), w.alias("word"), (F.get(ends, i) - F.length(w) - 1).alias("chars")
-            ),
-        ),
-    )
     return (
         usable.withColumn("_run_at", F.coalesce(F.sum("_n").over(before_run), F.lit(0)))
         .join(pages, ["doc_id", "page"])
-        .select("*", F.inline(offsets))
+        .select("*", F.inline("_words"))
         .select(
             "doc_id",
             (F.col("_page_at") + F.col("_run_at") + F.col("pos")).cast("long").alias("token_id"),
@@ -67,6 +95,7 @@ def runs_to_tokens(runs: DataFrame) -> DataFrame:
             (F.length("word") * F.col("_char")).alias("w"),
             # a height of 0 counts as missing
             F.coalesce(F.nullif(F.col("height"), F.lit(0.0)), F.lit(DEFAULT_HEIGHT)).alias("h"),
+            *([] if rules is None else ["category", "value"]),
         )
     )
 
@@ -77,27 +106,41 @@ def flag_tokens(
     selected: DataFrame | None = None,
     rules: Sequence[Rule] = DEFAULT_RULES,
 ) -> DataFrame:
-    """The tokens to cover: with a detection in them, equal to a value known as
+    """The tokens to cover: with a detection, equal to a value known as
     sensitive in that document, or picked by a model.
 
-    `known_values` has (doc_id, text), `selected` (doc_id, token_id); either may
-    hold duplicates.  A value found by detection covers the equal tokens by
-    itself, as equal text has equal detections.
+    Tokens that carry a category were looked at as part of their run; others are looked at one by
+    one.  `known_values` has (doc_id, text), `selected` (doc_id, token_id); either may
+    hold duplicates.  Both become one set per document, joined once.
     """
-    flagged = tokens.withColumn("_hit", F.size(find_spans("text", rules)) > 0)
+    hit = F.col("category").isNotNull() if "category" in tokens.columns else F.size(find_spans("text", rules)) > 0
+    flagged = tokens.withColumn("_hit", hit)
+    text, place = F.lit(None).cast("string"), F.lit(None).cast("long")
+    asked = []
     if known_values is not None:
-        known = known_values.select("doc_id", "text").distinct().withColumn("_known", F.lit(True))
-        flagged = flagged.join(known, ["doc_id", "text"], "left").withColumn(
-            "_hit", F.col("_hit") | F.coalesce("_known", F.lit(False))
-        )
+        asked.append(known_values.select("doc_id", F.col("text").alias("_text"), place.alias("_place")))
     if selected is not None:
-        picked = selected.select("doc_id", "token_id").distinct().withColumn("_picked", F.lit(True))
-        flagged = flagged.join(picked, ["doc_id", "token_id"], "left").withColumn(
-            "_hit", F.col("_hit") | F.coalesce("_picked", F.lit(False))
-        )
+        asked.append(selected.select("doc_id", text.alias("_text"), F.col("token_id").alias("_place")))
+    if asked:
+        rows = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
+        sets = rows.groupBy("doc_id").agg(F.collect_set("_text").alias("_texts"), F.collect_set("_place").alias("_places"))
+        flagged = flagged.join(sets, "doc_id", "left")
+        in_sets = F.array_contains("_texts", F.col("text")) | F.array_contains("_places", F.col("token_id"))
+        flagged = flagged.withColumn("_hit", F.col("_hit") | F.coalesce(in_sets, F.lit(False)))
     return flagged.where("_hit").select(*tokens.columns)
 
 
+def layout_vault(flagged: DataFrame) -> DataFrame:
+    """(doc_id, category, original, placeholder): each value behind flagged tokens, numbered per document
+    and category by its first token."""
+    firsts = flagged.where("category is not null").groupBy("doc_id", "category", F.col("value").alias("original")).agg(
+        F.min("token_id").alias("_first"))
+    order = Window.partitionBy("doc_id", "category").orderBy("_first", "original")
+    number = F.row_number().over(order).cast("string")
+    return firsts.select(
+        "doc_id", "category", "original", F.concat(F.lit("__"), "category", F.lit("_"), number, F.lit("__")).alias("placeholder"))
+
+
 def line_key(y: Column) -> Column:
     """y on a grid of two points, halves upwards."""
     return (F.floor(y / LINE_GRID + 0.5) * LINE_GRID).cast("int")

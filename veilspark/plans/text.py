@@ -437,14 +437,18 @@ def patch_lines(spark, sf):
 RUNS = f"runs AS ({I.RUNS_SQL.format(source=I.CORPUS_SQL)})"
 _SPACE = S.quote(f"[{P.SPACE}]+")
 TOKENS = f"""{RUNS},
-run_words AS (
-  SELECT *, list_filter(string_split_regex(text, {_SPACE}), lambda w: length(w) > 0) AS ws FROM runs),
-words AS (
-  SELECT doc_id, page, run, x, y, width / length(text) AS cw, height, unnest(ws) AS word, unnest(range(len(ws))) AS pos
-  FROM run_words WHERE len(ws) > 0),
+numbered_runs AS (SELECT *, row_number() OVER (ORDER BY doc_id, page, run) AS run_id FROM runs),
+run_pieces AS (
+  SELECT *, string_split_regex(text, {_SPACE}) AS parts, regexp_extract_all(text, {_SPACE}) AS seps FROM numbered_runs),
+pieces_at AS (
+  SELECT run_id, doc_id, page, run, x, y, width / length(text) AS cw, height, unnest(parts) AS word, unnest(range(1, len(parts) + 1)) AS i,
+         unnest(list_transform(range(1, len(parts) + 1), lambda k: coalesce(list_sum(list_transform(parts[1:k - 1], lambda p: length(p))), 0)
+                + coalesce(list_sum(list_transform(seps[1:k - 1], lambda p: length(p))), 0)))::BIGINT AS "at"
+  FROM run_pieces WHERE length(text) > 0),
+words AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY i) - 1 AS pos FROM pieces_at WHERE length(word) > 0),
 tokens AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, run, pos) - 1 AS token_id, page, word AS text,
-         x + cw * (coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, page, run ORDER BY pos
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, run, pos) - 1 AS token_id, page, word AS text, run_id, "at",
+         x + cw * (coalesce(sum(length(word) + 1) OVER (PARTITION BY run_id ORDER BY pos
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS x,
          y, length(word) * cw AS w, CASE WHEN coalesce(height, 0.0) = 0 THEN 12.0 ELSE height END::DOUBLE AS h
   FROM words)"""
@@ -466,25 +470,40 @@ def runs_to_tokens(spark, sf):
     )
 
 
-# Known values: each document's longest pattern match per category and its word "the";
-# a model picks every document's first token.
-# Equal texts have equal detections, so the patterns run over the distinct ones.
-_TOKEN_SOURCE = "token_text AS (SELECT row_number() OVER (ORDER BY text) AS doc_id, text FROM (SELECT DISTINCT text FROM tokens WHERE length(text) > 5))"
-FLAGGED = f"""{TOKENS}, {_TOKEN_SOURCE}, {S.detections_cte("token_text")},
-hit AS (SELECT text FROM token_text WHERE doc_id IN (SELECT doc_id FROM detections)),
-flagged AS (SELECT t.* FROM tokens t WHERE t.token_id = 0 OR t.text = 'the' OR t.text IN (SELECT text FROM hit))"""
+# Detections of each run, mapped to the words they overlap; the word "the" is known, and a model
+# picks every document's first token.
+FLAGGED = f"""{TOKENS}, run_text AS (SELECT run_id AS doc_id, text FROM numbered_runs), {S.detections_cte("run_text")},
+seen AS (
+  SELECT t.doc_id, t.token_id, first(d.category ORDER BY d.start, d."end" DESC, d.priority) AS category,
+         first(d.value ORDER BY d.start, d."end" DESC, d.priority) AS value
+  FROM tokens t JOIN detections d ON d.doc_id = t.run_id AND d.start < t."at" + length(t.text) AND d."end" > t."at" GROUP BY ALL),
+flagged AS (
+  SELECT t.*, s.category, s.value FROM tokens t LEFT JOIN seen s ON t.doc_id = s.doc_id AND t.token_id = s.token_id
+  WHERE t.token_id = 0 OR t.text = 'the' OR s.category IS NOT NULL)"""
 
 
 def _flagged(spark, sf):
     docs = I.corpus(spark, sf).select("doc_id")
     known = docs.withColumn("text", F.lit("the"))
     picked = docs.withColumn("token_id", F.lit(0).cast("long"))
-    return L.flag_tokens(_tokens(spark, sf), known, picked)
+    return L.flag_tokens(L.runs_to_tokens(I.runs(I.corpus(spark, sf)), P.DEFAULT_RULES), known, picked)
 
 
-@query("flag_tokens", f"WITH {FLAGGED} SELECT doc_id, token_id, page, text FROM flagged")
+@query(
+    "layout_vault",
+    f"""
+WITH {FLAGGED}, firsts AS (
+  SELECT doc_id, category, value AS original, min(token_id) AS f FROM flagged WHERE category IS NOT NULL GROUP BY doc_id, category, value)
+SELECT doc_id, category, original, '__' || category || '_' || row_number() OVER (PARTITION BY doc_id, category ORDER BY f, original) || '__' AS placeholder
+FROM firsts""",
+)
+def layout_vault(spark, sf):
+    return L.layout_vault(_flagged(spark, sf))
+
+
+@query("flag_tokens", f"WITH {FLAGGED} SELECT doc_id, token_id, page, text, category, value FROM flagged")
 def flag_tokens(spark, sf):
-    return _flagged(spark, sf).select("doc_id", "token_id", "page", "text")
+    return _flagged(spark, sf).select("doc_id", "token_id", "page", "text", "category", "value")
 
 
 @query(
