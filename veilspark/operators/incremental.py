@@ -67,6 +67,33 @@ class ReadRun:
     audit: DataFrame
 
 
+def _judge_and_clean(
+    texts: DataFrame, common: Sequence[str], judge: Callable[[DataFrame], DataFrame] | None, rules: Sequence[Rule]
+) -> DataFrame:
+    """Verdict and sanitized text of files that are not known, from one scan of each."""
+    none = F.lit(None).cast("string")
+    empty = F.array().cast("array<string>")
+    scanned = texts.withColumn("_spans", find_spans("text", rules)).withColumn(
+        "_categories", F.coalesce(F.sort_array(F.array_distinct(F.transform("_spans", lambda s: s.category))), empty))
+    if judge is None:
+        evidence = F.concat(F.lit("evidence: "), F.array_join("_categories", ","))
+        judged = (
+            scanned.withColumn("verdict", evidence_verdict(F.col("_categories"), F.col("text")))
+            .withColumn("reason", F.when(F.col("verdict") != "safe", evidence))
+            .withColumn("confidence", F.lit(1.0))
+        )
+    else:
+        judged = judge(scanned)
+    clean = F.col("verdict") == "flag_pii"
+    marked = judged.withColumn("_marks", F.when(clean, number_spans(merge_spans(F.col("_spans")), F.col("text"))))
+    return marked.select(
+        *common, none.alias("path_reason"), "verdict", F.col("reason").alias("_why"), "confidence",
+        F.when(clean, F.size("_marks")).otherwise(0).alias("redaction_count"), F.lit(METHOD_REGEX).alias("_method"),
+        F.when(clean, replace_spans(F.col("text"), F.col("_marks"))).alias("sanitized_text"),
+        F.when(F.col("verdict") == "safe", F.col("text")).alias("_plain"),
+    )
+
+
 #: What an artifact says besides its text; older stores may lack it, they hold sanitized files only.
 ARTIFACT_DEFAULTS = {"verdict": "flag_pii", "reason": None, "confidence": None}
 
@@ -120,32 +147,18 @@ def run_incremental(
     )
     needs = (F.col("_state") == "miss") | ((F.col("_state") == "hit") & (F.col("_old_verdict") == "safe"))
     wanted = decided.where(needs).drop("doc_id", "path", "mtime", "size_bytes", "path_verdict", "path_reason").dropDuplicates(["cache_key"])
-    wanted = broadcast_if_small(write_through(files.sparkSession, wanted, "wanted"))
-    texts = with_cache_key(files).join(wanted, "cache_key")
+    wanted = write_through(files.sparkSession, wanted, "wanted")
+    all_known = wanted.where("_state = 'miss'").isEmpty()
+    texts = with_cache_key(files).join(broadcast_if_small(wanted), "cache_key")
 
-    empty = F.array().cast("array<string>")
-    scanned = texts.where("_state = 'miss'").withColumn("_spans", find_spans("text", rules)).withColumn(
-        "_categories", F.coalesce(F.sort_array(F.array_distinct(F.transform("_spans", lambda s: s.category))), empty))
+    common = ["doc_id", "path", "mtime", "size_bytes", "cache_key", "_state", "_gate", "_note", "_now"]
     none = F.lit(None).cast("string")
-    if judge is None:
-        evidence = F.concat(F.lit("evidence: "), F.array_join("_categories", ","))
-        judged = (
-            scanned.withColumn("verdict", evidence_verdict(F.col("_categories"), F.col("text")))
-            .withColumn("reason", F.when(F.col("verdict") != "safe", evidence))
-            .withColumn("confidence", F.lit(1.0))
-        )
+    if all_known:
+        misses = decided.limit(0).select(
+            *common, none.alias("path_reason"), none.alias("verdict"), none.alias("_why"), F.lit(None).cast("double").alias("confidence"),
+            F.lit(0).alias("redaction_count"), none.alias("_method"), none.alias("sanitized_text"), none.alias("_plain"))
     else:
-        judged = judge(scanned)
-    clean = F.col("verdict") == "flag_pii"
-    marked = judged.withColumn("_marks", F.when(clean, number_spans(merge_spans(F.col("_spans")), F.col("text"))))
-    common = ["doc_id", "path", "mtime", "size_bytes", "cache_key", "_state", "_gate", "_note", "_now"]
-    misses = marked.select(
-        *common, none.alias("path_reason"), "verdict", F.col("reason").alias("_why"), "confidence",
-        F.when(clean, F.size("_marks")).otherwise(0).alias("redaction_count"), F.lit(METHOD_REGEX).alias("_method"),
-        F.when(clean, replace_spans(F.col("text"), F.col("_marks"))).alias("sanitized_text"),
-        F.when(F.col("verdict") == "safe", F.col("text")).alias("_plain"),
-    )
-    misses = write_through(files.sparkSession, misses, "misses")
+        misses = write_through(files.sparkSession, _judge_and_clean(texts.where("_state = 'miss'"), common, judge, rules), "misses")
 
     def from_artifact(rows: DataFrame, sanitized: Column, plain: Column) -> DataFrame:
         return rows.select(
