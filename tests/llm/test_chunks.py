@@ -99,3 +99,17 @@ def test_nulls_repeated_rows_and_long_texts(spark):
     assert out.columns == docs.columns and out.where("n_chars <> length(coalesce(text, ''))").count() == 0
     assert out.where(F.col("text").isNull()).count() == 1
     assert C.repeat_report(docs.limit(0)).count() == 0
+
+
+def test_finds_fifty_short_words():
+    r = random.Random(11)
+    some = lambda n, low, high: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(low, high))) for _ in range(n))
+    for low, high, share in ((2, 4, 0.95), (2, 5, 0.97), (1, 7, 0.98), (2, 8, 0.99)):
+        found = 0
+        for _ in range(300):
+            p = some(50, low, high)
+            a, b = [f"{some(60, 1, 9)} {p} {some(60, 1, 9)}" for _ in range(2)]
+            x, y = C.chunk_ends([a, b])
+            held = {b[i:j] for i, j in zip([0, *y], y)}
+            found += bool(C.runs([(i, j) for i, j in zip([0, *x], x) if a[i:j] in held], C.MIN_CHARS))
+        assert found / 300 >= share, (low, high, found / 300)

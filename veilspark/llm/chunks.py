@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 32 characters marks a cut where its top bits are zero, so
 chunks follow the content and an insertion moves only the cuts next to it.  Chunks have at least
-`MIN_CHUNK` and at most `MAX_CHUNK` characters, about 48 on average.  A chunk's 128-bit digest is
+`MIN_CHUNK` and at most `MAX_CHUNK` characters, about 24 on average.  A chunk's 128-bit digest is
 its identity: of equal chunks the one in the row of least hash stays.  Digests are grouped with
 their least and greatest row before the shuffle, so a chunk that a third of all rows hold costs one
 partial row per task; only chunks of several rows are joined back, by plain joins that adaptive
@@ -10,7 +10,7 @@ execution may split.  Within a row, adjoining repeated chunks form runs, and run
 more are passages to remove; shorter ones are common phrases and stay.
 
 Since the chunks at both ends of a passage reach into its surroundings, a run is shorter than its
-passage, by about 75 characters in all; the default of 120 finds passages of 50 words.
+passage; the default of 80 is for passages of 50 words (the share that is found stands in the README).
 
 Defined results: a null or empty text has no chunks; texts are chunked whole; rows that are equal
 in id and text count as one row here and stay alike; chunks that come back within one row are
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import broadcast_if_small, free_name, materialize, plain, row_key, small_batches, whole
 from veilspark.llm.decontaminate import with_length
 
-MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 160, 5
-MIN_CHARS = 120
+MIN_CHUNK, MAX_CHUNK, CUT_BITS = 8, 96, 4
+MIN_CHARS = 80
 WINDOW = 32
 BLOCK_CHARS = 1_000_000
 SPANS = "array<struct<start:int,end:int>>"
