@@ -14,12 +14,14 @@ CONTRACTS = {
     "op8_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
                           "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op10_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
+    "op13_cross_tokenizer_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",
+                                       "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
 }
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and {*registry.QUERIES, "pipeline"} <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and {*registry.QUERIES, "pipeline"} <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(CONTRACTS))

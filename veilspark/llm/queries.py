@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import chunks, decontaminate, jaccard, lines, pieces, quality, rules, secrets, sql, templates, tokens
+from veilspark.llm import (
+    alignment, chunks, decontaminate, jaccard, lines, pieces, quality, rules, secrets, sql, templates, tokens, whitening,
+)
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
 
@@ -67,3 +69,15 @@ def quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     return templates.main_text(table(spark, sf, "pages"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.components_table(table(spark, sf, "embeddings"))
+
+
+@query("op13_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignment of two tokenizers over every document."""
+    return alignment.alignment_report(table(spark, sf, "documents"))
