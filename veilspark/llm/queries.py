@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import (
-    alignment, chunks, decontaminate, jaccard, lines, pieces, quality, rules, secrets, sql, templates, tokens, whitening,
+    alignment, chunks, decontaminate, jaccard, lines, pieces, pii, quality, rules, secrets, sql, templates, tokens, whitening,
 )
 from veilspark.llm.common import table
 from veilspark.llm.registry import query
@@ -81,3 +81,9 @@ def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
 def cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Alignment of two tokenizers over every document."""
     return alignment.alignment_report(table(spark, sf, "documents"))
+
+
+@query("op12_pii")
+def personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.pii_report(table(spark, sf, "documents"))
