@@ -8,6 +8,7 @@ from veilspark.plans import inputs as I
 from veilspark.plans import sql_text as S
 from veilspark.plans.catalog import query
 from veilspark.plans.corpus import EGRESS_SQL
+from veilspark.streaming import sessions as Z
 from veilspark.streaming import streams as W
 
 DOCS = "docs AS (SELECT doc_id, text FROM documents)"
@@ -93,7 +94,7 @@ def _vault_rows(events):
 
 @query("stream_session_vault", _SESSION_SQL)
 def stream_session_vault(spark, sf):
-    sessions = W.sessions_available(_vault_rows(_stream(spark, sf, "events")), "sessions")
+    sessions = Z.sessions_available(_vault_rows(_stream(spark, sf, "events")), "sessions")
     return _as_text(sessions, "session_start", "session_end")
 
 
