@@ -20,6 +20,7 @@ from veilspark.plans.catalog import ORACLES, QUERIES, query
 from veilspark.plans.text import CORPUS, SEARCH, _file_type_sql
 from veilspark.session import scratch_path
 from veilspark.sources import corpus as K
+from veilspark.sources.store import ArtifactStore
 
 FILES = f"files AS ({I.FILES_SQL})"
 _EXT = "lower(regexp_extract(path, '[^/.][^/]*(\\.[^/.]*)$', 1))"
@@ -430,7 +431,9 @@ def _upsert(spark, sf, force):
         F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("sanitized_text"),
         F.when(F.col("doc_id") % 4 == 0, 0).otherwise(5000000).cast("long").alias("cached_at"),
     )
-    return N.cache_upsert(_snapshot(files).select(*columns), fresh, force)
+    store = ArtifactStore(spark, scratch_path(spark, "store"))
+    store.create(_snapshot(files).select(*columns))
+    return store.read(store.upsert(fresh, force))
 
 
 @query("cache_upsert", _upsert_sql(False))
