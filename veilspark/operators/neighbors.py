@@ -1,4 +1,4 @@
-"""Exact leave-one-out nearest neighbour by cosine."""
+"""Leave-one-out nearest neighbour by cosine: exact, or by a multi-probe hash index with exact re-ranking."""
 from __future__ import annotations
 
 import math
@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.operators.features import unit
-from veilspark.session import write_through
+from veilspark.session import broadcast_if_small, write_through
 
 MIN_NORM = 1e-12  # fixed value
 DIGITS = 9
@@ -28,51 +28,43 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
 
 
-def _per_cell(table: dict[int, int]) -> Column:
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.create_map(*entries)
-
-
-def _search(queries: DataFrame, cells: DataFrame, sizes: dict[int, int], block_rows: int, query_rows: int) -> DataFrame:
-    """(id, other, sim): per query the best other vector of the cells it is sent to.
-
-    `queries` has (id, u, cell), stored.  A cell is cut into blocks of about `block_rows` vectors, and its
-    queries into batches of about `query_rows`; a block is copied once for each batch of its own cell.
+def _best_in_block(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(id, other, sim): the best vector of a block for each query; equal ones go to the lower id."""
+    if not len(q) or not len(b):
+        return pd.DataFrame({"id": [], "other": [], "sim": []})
+    b = b.sort_values("id")
+    ids, vectors = b["id"].to_numpy(), _stack(b["u"]).T
+    out = []
+    for start in range(0, len(q), 1024):
+        part = q.iloc[start : start + 1024]
+        sims = np.round(_stack(part["u"]) @ vectors, DIGITS)
+        sims[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        best = sims.argmax(axis=1)
+        found = pd.DataFrame(
+            {"id": part["id"].to_numpy(), "other": ids[best], "sim": sims[np.arange(len(part)), best]}
+        )
+        out.append(found[np.isfinite(found["sim"])])
+    return pd.concat(out)
+
+
+def _spread_search(queries: DataFrame, base: DataFrame, block_rows: int, query_rows: int) -> DataFrame:
+    """(id, other, sim): per query and cell it is sent to, the best other vector there.
+
+    Both sides have (id, u, cell).  How many blocks and batches a cell is cut into comes from a join
+    with the counted cells, so no cell, however full, is one group, and nothing passes the driver.
     """
-    asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not asked:
-        return queries.select("id", F.col("id").alias("other"), F.lit(0.0).alias("sim")).limit(0)
-    blocks = _per_cell({c: max(1, math.ceil(sizes[c] / block_rows)) for c in asked})
-    batches = _per_cell({c: max(1, math.ceil(n / query_rows)) for c, n in asked.items()})
-    at = lambda table: F.try_element_at(table, F.col("cell"))
-    sent = queries.select(
-        "id", "u", "cell", F.explode(F.sequence(F.lit(0), at(blocks) - 1)).alias("block"),
-        F.pmod(F.xxhash64("id"), at(batches)).cast("int").alias("batch"),
-    )
-    base = cells.where(at(blocks).isNotNull()).select(
-        "id", "u", "cell", F.pmod(F.xxhash64("id", F.lit("block")), at(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), at(batches) - 1)).alias("batch"),
-    )
-
-    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "sim": []})
-        b = b.sort_values("id")
-        ids, vectors = b["id"].to_numpy(), _stack(b["u"]).T
-        out = []
-        for start in range(0, len(q), 1024):
-            part = q.iloc[start : start + 1024]
-            sims = np.round(_stack(part["u"]) @ vectors, DIGITS)
-            sims[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            best = sims.argmax(axis=1)
-            found = pd.DataFrame(
-                {"id": part["id"].to_numpy(), "other": ids[best], "sim": sims[np.arange(len(part)), best]}
-            )
-            out.append(found[np.isfinite(found["sim"])])
-        return pd.concat(out)
-
+    # both sides may come from one frame: their columns are told apart by new names
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("id", "u", "cell")])
+    queries, base = fresh(queries), fresh(base)
+    parts = lambda df, rows, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    counts = parts(base, block_rows, "blocks").join(parts(queries, query_rows, "batches"), "cell")
+    counts = broadcast_if_small(write_through(queries.sparkSession, counts, "cell_counts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    sent = queries.join(counts, "cell").select("id", "u", "cell", every("blocks").alias("block"), one("batches", "batch").alias("batch"))
+    held = base.join(counts, "cell").select("id", "u", "cell", one("blocks", "block").alias("block"), every("batches").alias("batch"))
     keys = ["cell", "block", "batch"]
-    return sent.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(search, "id long, other long, sim double")
+    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_best_in_block, "id long, other long, sim double")
 
 
 def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows: int) -> DataFrame:
@@ -108,14 +100,13 @@ def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows
     cells = write_through(spark, reps.select("id", "u").mapInPandas(assign, "id long, u array<double>, cell int, d double"), "cells")
     # at most one row per pivot
     stats = cells.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")
+        F.min("d").alias("lo"), F.max("d").alias("hi")
     ).collect()
-    sizes = {r.cell: r.n for r in stats}
     cell_ids = np.array([r.cell for r in stats], dtype="int32")
     lo, hi = np.array([r.lo for r in stats]), np.array([r.hi for r in stats])
     best = F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b")
     near = write_through(
-        spark, _search(cells.select("id", "u", "cell"), cells, sizes, block_rows, query_rows).groupBy("id").agg(best), "near")
+        spark, _spread_search(cells.select("id", "u", "cell"), cells, block_rows, query_rows).groupBy("id").agg(best), "near")
 
     def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -135,11 +126,72 @@ def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows
         known.mapInPandas(reach, "id long, u array<double>, cells array<int>").select("id", "u", F.explode("cells").alias("cell")),
         "queries",
     )
-    far = _search(queries, cells, sizes, block_rows, query_rows).groupBy("id").agg(best)
+    far = _spread_search(queries, cells, block_rows, query_rows).groupBy("id").agg(best)
     both = near.unionByName(far).groupBy("id").agg(F.max("_b").alias("_b"))
     return both.select("id", (-F.col("_b.neg")).alias("other"), F.col("_b.sim").alias("sim"))
 
 
+#: The index: vectors that a cell holds on average, cells at most, and rows whose true neighbours set the probes.
+CELL_ROWS, MAX_CELLS, CALIBRATION_ROWS = 512, 16384, 512
+
+
+def _directions(cells: int, size: int, seed: int) -> np.ndarray:
+    """The hash: a vector's cell is the direction it leans to most.  Made anew from the seed in every task."""
+    r = np.random.default_rng(seed).standard_normal((cells, size))
+    return r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def _lsh_best(reps: DataFrame, recall: float, cell_rows: int, seed: int, block_rows: int, query_rows: int) -> DataFrame:
+    """(id, other, sim): the best vector found in the cells that a vector leans to most.
+
+    Every vector is indexed in one cell.  A query probes its nearest cells in order.  How many is measured:
+    the true neighbours of `CALIBRATION_ROWS` vectors, picked by hash, are found among all vectors, and probes are
+    taken up to the rank by which a share `recall` of them has been met.  Found vectors are compared by their
+    exact similarity.  On clustered vectors a few probes do; on noise in many dimensions most cells are probed.
+    """
+    spark = reps.sparkSession
+    shape = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("u")).alias("d")).first()
+    if shape.n < 2:
+        return reps.select("id", F.col("id").alias("other"), F.lit(0.0).alias("sim")).limit(0)
+    cells, size = min(MAX_CELLS, max(1, math.ceil(shape.n / cell_rows))), shape.d
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = _directions(cells, size, seed).T
+        for pdf in frames:
+            if len(pdf):
+                yield pdf.assign(cell=(_stack(pdf["u"]) @ planes).argmax(axis=1).astype("int32"))
+
+    index = write_through(spark, reps.select("id", "u").mapInPandas(assign, "id long, u array<double>, cell int"), "index")
+    sample = write_through(spark, index.orderBy(F.md5(F.col("id").cast("string")), "id").limit(CALIBRATION_ROWS), "calibration")
+    whole = lambda df: df.select("id", "u", F.lit(0).alias("cell"))
+    true = _spread_search(whole(sample), whole(index), block_rows, query_rows)
+    true = true.groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("b")).select("id", (-F.col("b.neg")).alias("other"))
+    pairs = sample.select("id", "u").join(true, "id").join(index.select(F.col("id").alias("other"), F.col("cell").alias("wanted")), "other")
+
+    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = _directions(cells, size, seed).T
+        for pdf in frames:
+            if len(pdf):
+                lean = _stack(pdf["u"]) @ planes
+                own = lean[np.arange(len(lean)), pdf["wanted"].to_numpy()]
+                yield pd.DataFrame({"rank": 1 + (lean > own[:, None]).sum(axis=1)})
+
+    probes = pairs.select("u", "wanted").mapInPandas(rank, "rank long").agg(F.percentile("rank", recall).alias("p")).first().p
+    probes = min(cells, math.ceil(probes or 1))
+
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = _directions(cells, size, seed).T
+        for pdf in frames:
+            if len(pdf):
+                nearest = np.argpartition(-(_stack(pdf["u"]) @ planes), probes - 1, axis=1)[:, :probes].astype("int32")
+                yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], "cells": list(nearest)})
+
+    queries = index.select("id", "u").mapInPandas(probe, "id long, u array<double>, cells array<int>").select("id", "u", F.explode("cells").alias("cell"))
+    queries = write_through(spark, queries, "probes")
+    best = _spread_search(queries, index, block_rows, query_rows).groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b"))
+    return best.select("id", (-F.col("_b.neg")).alias("other"), F.col("_b.sim").alias("sim"))
+
+
 def knn_loo(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -148,9 +200,15 @@ def knn_loo(
     pivots: int | None = None,
     block_rows: int = 8192,
     query_rows: int = 16384,
+    recall: float | None = None,
+    cell_rows: int = CELL_ROWS,
+    seed: int = 42,
 ) -> DataFrame:
     """(key, expected, neighbor, predicted, similarity): the label of the nearest other vector.
 
+    Exact by default.  With `recall` a hash index looks for the neighbour in as many cells as are needed to
+    meet that share of true neighbours (see `_lsh_best`); a vector for which nothing is found there has no neighbour.
+
     Cosine in double, rounded to nine digits; equal similarity goes to the lower
     key.  Equal vectors are searched once: their members point at each other
     without being compared, so a vector with very many copies costs nothing extra.
@@ -176,7 +234,10 @@ def knn_loo(
         ),
         "reps",
     )
-    others = _best_other(reps, pivots, block_rows, query_rows)
+    if recall is None:
+        others = _best_other(reps, pivots, block_rows, query_rows)
+    else:
+        others = _lsh_best(reps, recall, cell_rows, seed, block_rows, query_rows)
     known = reps.select("u", F.col("id").alias("rep"), "second", "self_sim").join(
         others.withColumnRenamed("id", "rep"), "rep", "left"
     )

@@ -231,6 +231,12 @@ def knn_loo(spark, sf):
     return rounded(nearest(I.table(spark, sf, "embeddings")), "similarity")
 
 
+# Which neighbours an index misses has no SQL form; tests hold its recall against the exact query.
+@query("knn_index")
+def knn_index(spark, sf):
+    return rounded(nearest(I.table(spark, sf, "embeddings"), recall=0.95), "similarity")
+
+
 @query(
     "knn_report",
     f"""
