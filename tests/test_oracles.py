@@ -25,4 +25,6 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.count() == 200 and "content" in df.columns
+    n = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    # the files of a run: documents, customer records, one memo per nation
+    assert df.count() == n("documents") + n("customer") + n("nation") and "content" in df.columns

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import patterns as P
+from veilspark.functions.globs import normal_path
 from veilspark.functions.spans import find_spans
 from veilspark.operators import audit as A
 from veilspark.operators import curate as C
 from veilspark.operators import files as X
 from veilspark.operators import incremental as N
+from veilspark.operators import path_rules
 from veilspark.operators import policy as Y
 from veilspark.operators import redact as R
 from veilspark.operators import verdict as V
@@ -264,17 +266,34 @@ def _policy_sql(path: str) -> str:
 _DENIED = f"(path_reason LIKE 'Path matches deny glob%' OR path_reason = '{Y.REASON_ROOT}')"
 
 
-@query(
-    "path_policy",
-    f"""
+_PATH_POLICY_SQL = f"""
 WITH {FILES}, cleaned AS (SELECT path, {_CLEAN} AS clean FROM files),
 judged AS (SELECT path, {_policy_sql("clean")} AS path_reason FROM cleaned)
-SELECT path, path_reason, CASE WHEN {_DENIED} THEN 'deny' ELSE 'sanitize' END AS path_verdict FROM judged""",
-)
+SELECT path, path_reason, CASE WHEN {_DENIED} THEN 'deny' ELSE 'sanitize' END AS path_verdict FROM judged"""
+
+
+@query("path_policy", _PATH_POLICY_SQL)
 def path_policy(spark, sf):
     return Y.path_policy(I.files(spark, sf).select("path"), [I.ROOT])
 
 
+# The same policy as a table, with a rule for every hundredth file that comes after the others in rank.
+_RULE_TABLE_SQL = f"""
+WITH {FILES}, cleaned AS (SELECT doc_id, path, {_CLEAN} AS clean FROM files),
+judged AS (SELECT doc_id, path, {_policy_sql("clean")} AS reason FROM cleaned),
+ruled AS (SELECT j.path, CASE WHEN reason LIKE 'Path matches deny glob%' OR t.clean IS NULL THEN reason ELSE 'Path matches deny glob: ' || t.clean END AS path_reason
+  FROM judged j LEFT JOIN (SELECT path, clean FROM cleaned WHERE doc_id % 100 = 7) t ON j.path = t.path)
+SELECT path, path_reason, CASE WHEN {_DENIED} THEN 'deny' ELSE 'sanitize' END AS path_verdict FROM ruled"""
+
+
+@query("path_policy_rules", _RULE_TABLE_SQL)
+def path_policy_rules(spark, sf):
+    files = I.files(spark, sf).select("doc_id", "path")
+    own = files.where("doc_id % 100 = 7").select(F.lit(1000).cast("long").alias("rank"), F.lit("deny").alias("kind"), normal_path(F.col("path")).alias("glob"))
+    rules = path_rules.rule_table(spark, [I.ROOT], Y.DENY_GLOBS, Y.SANITIZE_GLOBS).unionByName(own)
+    return path_rules.path_policy_by_rules(files.select("path"), rules)
+
+
 # Messages: some carry a placeholder, a key, a key too short to count, or both.
 MESSAGES = """
 messages AS (
