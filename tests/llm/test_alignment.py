@@ -10,7 +10,7 @@ SPECIAL = "a <|endoftext|> b </s> <s> <unk> <0x41> end"
 ROWS = [
     (1, "The quick brown fox, 12345 jumps!"), (2, ""), (3, None), (None, "größe 😀\n\n\t\n日本語 naïve"), (5, SPECIAL), (5, SPECIAL),
     (6, "ab " * 20_000), (7, "   leading and   inner  spaces   "), (8, "a▁b"), (9, "ﬁne ½ x"), (10, "x" * 3000), (11, " "), (12, "\x00\x01 ﻿"),
-    (13, "The quick brown fox"),
+    (13, "The quick brown fox"), (14, "a" + " " * 100_000 + "b"),
 ]
 
 
@@ -103,6 +103,22 @@ def test_windows_end_before_spaces_in_both(both):
         assert sum(len(both[0].bytes[x]) for x in a[:i]) == sum(len(both[1].bytes[x]) for x in b[:j])
 
 
+def test_encoder_equals_the_tokenizer_of_the_file(both):
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(A.BYTE_BPE)
+    whole.encode_special_tokens = True
+    rng = random.Random(2)
+    points = [*range(0x3100), *(rng.randrange(0x3100, 0x110000) for _ in range(3000))]
+    texts = [f"a{chr(c)}a {chr(c)} {chr(c)}{chr(c)}1{chr(c)} " for c in points if not 0xD800 <= c < 0xE000]
+    texts += ["".join(rng.choice(["ab", " ", "  ", "\n", "'s", "'", "é", "日", "12", ".,", "\u3000", SPECIAL]) for _ in range(30)) for _ in range(500)]
+    texts += [" " * 5000, "x" * 5000, "\n" * 5000]
+    want = [e.ids for e in whole.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert both[0].encode(texts) == want
+
+
 def test_frequent_from(spark):
     counts = spark.createDataFrame([(i, c) for i, c in enumerate([1, 1, 1, 2, 3, 9])], "pair long, count long")
     assert [A.frequent_from(counts, n) for n in (6, 5, 3, 1, 0)] == [1, 2, 2, 4, 16]

@@ -19,10 +19,13 @@ columns are not read.
 """
 from __future__ import annotations
 
+import gc
 import hashlib
-import os
+import json
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,14 @@ from pyspark.sql import types as T
 from veilspark.llm.common import materialize, small_batches, whole
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+#: Fixed: the split pattern that belongs to the vocabulary, and its special token.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_SPACE = re.compile(r"\s{2000}")
+END_OF_TEXT = "<|endoftext|>"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Windows that a worker remembers; then it starts anew.  A window and its alignment take about 1 KB.
-MEMO = 200_000
+MEMO = 400_000
+OF_B = 1 << 24
 #: Pairs that may be broadcast, of 8 + 8 + 1 bytes each.
 FREQUENT = 1_000_000
 BATCH = 256
@@ -50,23 +58,39 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class ByteLevel:
-    """The tokenizer A: ids of a text behind a space, and the bytes of every id."""
+    """The tokenizer A: ids of a text behind a space, and the bytes of every id.
+
+    Its vocabulary is read from the file, where ids are merge ranks; the encoder is the one that
+    takes ranks, which gives the same ids several times as fast and has no special tokens to mistake.
+    Its pattern engine stops at very long white space, so texts with such runs go to the file's own tokenizer.
+    """
 
     def __init__(self, path: str = BYTE_BPE):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         alphabet = _byte_alphabet()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if all(c in alphabet for c in token) and token != END_OF_TEXT}
         self.bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            known = all(c in alphabet for c in token)
-            self.bytes[i] = bytes(alphabet[c] for c in token) if known else token.encode()
+        for token, i in ranks.items():
+            self.bytes[i] = token
+        self.path, self.slow = path, None
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.encode_slowly(t) if LONG_SPACE.search(t) else self.encoding.encode_ordinary(" " + t) for t in texts]
+
+    def join(self, ids: list[int]) -> bytes:
+        return self.encoding.decode_bytes(ids)
+
+    def encode_slowly(self, text: str) -> list[int]:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return self.slow.encode(" " + text, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -85,29 +109,54 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def links_of(a: tuple[int, ...], b: tuple[int, ...], width_a, width_b) -> tuple[list[list[tuple]], list[tuple[int, int]]]:
-    """Groups, as (ids of A, ids of B), and links of two token sequences over the same bytes.
+def links_of(a: list[int], b: list[int], width_a, width_b, name_a, name_b) -> tuple[int, str, list[int]]:
+    """Groups of two token sequences over the same bytes: their number, their written form, and the links
+    as packed pairs.
 
     Both are walked by their ends: the token that ends first gives way to its successor, until both
     end together.  No token is without bytes.
     """
-    groups, links = [], []
-    i = j = end_a = end_b = 0
-    while i < len(a) and j < len(b):
-        first, open_ = (i, j), True
-        end_a, end_b = end_a + width_a[a[i]], end_b + width_b[b[j]]
-        while open_:
-            links.append((a[i], b[j]))
-            open_ = end_a != end_b
+    written, links = [], []
+    i = j = 0
+    while i < len(a):
+        x, y = a[i], b[j]
+        at_a, at_b = name_a[x], name_b[y]
+        end_a, end_b = width_a[x], width_b[y]
+        links.append(x << 32 | y)
+        while end_a != end_b:
             if end_a < end_b:
                 i += 1
-                end_a += width_a[a[i]]
-            elif open_:
+                x = a[i]
+                end_a += width_a[x]
+                at_a = f"{at_a},{name_a[x]}"
+            else:
                 j += 1
-                end_b += width_b[b[j]]
-        i, j = i + 1, j + 1
-        groups.append((a[first[0] : i], b[first[1] : j]))
-    return groups, links
+                y = b[j]
+                end_b += width_b[y]
+                at_b = f"{at_b},{name_b[y]}"
+            links.append(x << 32 | y)
+        i += 1
+        j += 1
+        written.append(f"{at_a}|{at_b}")
+    return len(written), ";".join(written), links
+
+
+class Memo(dict):
+    """Window -> its alignment, worked out when it is first asked for.
+
+    A window is its id tuples in one: the ids of A, then those of B with `OF_B` added, four bytes each.
+    """
+
+    def __init__(self, *tables):
+        super().__init__()
+        self.tables = tables
+
+    def __missing__(self, key: bytes) -> tuple[int, str, list[int]]:
+        ids, n = memoryview(key).cast("I").tolist(), 0
+        while ids[n] < OF_B:
+            n += 1
+        found = self[key] = links_of(ids[:n], [i - OF_B for i in ids[n:]], *self.tables)
+        return found
 
 
 class Aligner:
@@ -115,46 +164,38 @@ class Aligner:
 
     def __init__(self, a: ByteLevel, b: Pieces, memo: int = MEMO):
         self.a, self.b, self.limit = a, b, memo
-        self.width_a, self.width_b = ([len(x) for x in t.bytes] for t in (a, b))
-        self.len_a, self.len_b = np.array(self.width_a), np.array(self.width_b)
+        width_a, width_b = ([len(x) for x in t.bytes] for t in (a, b))
+        self.len_a, self.len_b = np.array(width_a), np.array(width_b)
         self.mark_a, self.mark_b = (np.array([x.startswith(b" ") for x in t.bytes]) for t in (a, b))
-        self.memo: dict[tuple, tuple] = {}
-
-    def remember(self, keys: Iterable[tuple]) -> None:
-        """Work out the windows that are not known yet: the number of their groups, the groups written
-        out, and their links as packed pairs."""
-        for key in keys:
-            groups, links = links_of(*key, self.width_a, self.width_b)
-            written = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            self.memo[key] = (len(groups), written, [x << 32 | y for x, y in links])
+        self.memo = Memo(width_a, width_b, *([str(i) for i in range(len(t.bytes))] for t in (a, b)))
 
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in both sequences before which an anchor lies, with their starts and ends."""
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         # only starts of space-marked tokens are candidates; the byte offsets must be the same
         at_a, at_b = np.flatnonzero(self.mark_a[a[1:]]), np.flatnonzero(self.mark_b[b[1:]])
-        _, x, y = np.intersect1d(ends_a[at_a], ends_b[at_b], assume_unique=True, return_indices=True)
-        return np.concatenate([[0], at_a[x] + 1, [len(a)]]), np.concatenate([[0], at_b[y] + 1, [len(b)]])
+        offset_a, offset_b = ends_a[at_a], ends_b[at_b]
+        place = np.searchsorted(offset_b, offset_a)
+        same = np.flatnonzero(np.append(offset_b, -1)[place] == offset_a)
+        return np.concatenate([[0], at_a[same] + 1, [len(a)]]), np.concatenate([[0], at_b[place[same]] + 1, [len(b)]])
 
     def align(self, text: str, a: list[int], b: list[int]) -> tuple[int, str, dict[int, int]] | None:
         """Groups, their written form, and the links with their numbers; None if the bytes differ."""
         raw = b" " + text.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
+        if self.a.join(a) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
             return None
-        at_a, at_b = (x.tolist() for x in self.anchors(np.array(a), np.array(b)))
-        a, b, memo = tuple(a), tuple(b), self.memo
-        keys = [(a[i:j], b[k:m]) for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
+        a, b, memo = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32), self.memo
+        at_a, at_b = self.anchors(a, b)
+        # window after window, the ids of A before those of B
+        both = np.empty(len(a) + len(b), dtype=np.uint32)
+        both[np.arange(len(a)) + np.repeat(at_b[:-1], np.diff(at_a))] = a
+        both[np.arange(len(b)) + np.repeat(at_a[1:], np.diff(at_b))] = b + np.uint32(OF_B)
+        packed, cuts = both.tobytes(), (4 * (at_a + at_b)).tolist()
+        keys = [packed[i:j] for i, j in zip(cuts, cuts[1:])]
         if len(memo) >= self.limit:
             memo.clear()
-        counted = Counter(keys)
-        self.remember([key for key in counted if key not in memo])
-        n, links = 0, {}
-        for key, times in counted.items():
-            groups, _, pairs = memo[key]
-            n += groups * times
-            for p in pairs:
-                links[p] = links.get(p, 0) + times
-        return n, ";".join([memo[key][1] for key in keys]), links
+        sizes, written, pairs = zip(*[memo[key] for key in keys])
+        return sum(sizes), ";".join(written), Counter(chain.from_iterable(pairs))
 
 
 def alignments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a_path: str = BYTE_BPE,
@@ -171,22 +212,26 @@ def alignments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(ByteLevel(a_path), Pieces(b_path), memo)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids_a, ids_b = aligner.a.encode(texts), aligner.b.encode(texts)
-            n_a, n_b, n_groups, groups, pairs, times = [], [], [], [], [], []
-            for text, a, b in zip(texts, ids_a, ids_b):
-                found = aligner.align(text, a, b) if text else None
-                n_a.append(len(a) if found else 0)
-                n_b.append(len(b) if found else 0)
-                n_groups.append(found[0] if found else 0)
-                form = found[1] if found else ""
-                groups.append(hashlib.sha256(form.encode()).hexdigest() if digest and form else form)
-                pairs.append(list(found[2]) if found else [])
-                times.append(list(found[2].values()) if found else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()),
-                 *(pa.array(x, pa.list_(pa.int64())) for x in (pairs, times))], names=out.names)
+        gc.disable()  # millions of small tuples and no cycles
+        try:
+            for batch in batches:
+                yield aligned(aligner, batch)
+        finally:
+            gc.enable()
+
+    def aligned(aligner: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        rows_ = []
+        for text, a, b in zip(texts, aligner.a.encode(texts), aligner.b.encode(texts)):
+            found = aligner.align(text, a, b) if text else None
+            if found is None:
+                rows_.append((0, 0, 0, "", [], []))
+            else:
+                n, form, links = found
+                rows_.append((len(a), len(b), n, hashlib.sha256(form.encode()).hexdigest() if digest else form, list(links), list(links.values())))
+        columns = list(zip(*rows_)) or [()] * 6
+        types = (*[pa.int64()] * 3, pa.string(), *[pa.list_(pa.int64())] * 2)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=out.names)
 
     return rows.mapInArrow(run, out)
 
