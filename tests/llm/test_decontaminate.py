@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 
@@ -53,6 +54,14 @@ def test_equals_brute_force(spark, slice_chars):
     assert got == {i: brute(t, items) for i, t in docs}
 
 
+def test_clashing_names_in_slices(spark):
+    docs, items = corpus()
+    d = spark.createDataFrame([(i, t, 1, "f") for i, t in docs], "doc_id long, text string, __key int, row_key string").withColumn("found", F.lit(1))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r.doc_id, r.text) for r in D.decontaminate(d, b, slice_chars=n).collect()} for n in (10**6, 40))
+    assert one == many and D.decontaminate(d, b, slice_chars=40).columns == d.columns
+
+
 def test_spans_and_documents_go(spark):
     item = "one two three four five six seven eight nine ten eleven"
     long = " ".join(f"w{k}" for k in range(40))

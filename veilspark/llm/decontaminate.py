@@ -155,12 +155,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         F.flatten(F.collect_set(f"{found}.hits")).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"{found}.items")))).alias("items"),
     )
+    key_name, digest_name = free_name(docs, "row_key"), free_name(docs, "row_digest")
     each = each.select(
-        F.col("key").alias("__key"), F.col("digest").alias("__digest"),
+        F.col("key").alias(key_name), F.col("digest").alias(digest_name),
         F.struct("n_words", merge("hits").alias("hits"), "items").alias(found),
     )
-    same = F.col(id_col).eqNullSafe(F.col("__key")) & (F.xxhash64(whole(text_col)) == F.col("__digest"))
-    return docs.join(each, same).drop("__key", "__digest")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key_name)) & (F.xxhash64(whole(text_col)) == F.col(digest_name))
+    return docs.join(each, same).drop(key_name, digest_name)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

@@ -148,7 +148,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
 
     # the sample has at most `max_rows` rows of two numbers, so it may be broadcast
     joined = docs.select(F.col(f"`{id_col}`").alias("key"), whole(F.col(f"`{text_col}`")).alias("text")).join(F.broadcast(sample), "key")
-    rows = joined.select("key", "label", count.asNondeterministic()("text").alias("x")).toPandas().sort_values(["key", "label"], kind="stable")
+    rows = joined.select("key", "label", F.xxhash64("text").alias("digest"), count.asNondeterministic()("text").alias("x"))
+    # an id may stand for several texts: the bound holds for what is fitted, not only for the labels
+    rows = rows.orderBy(F.xxhash64("key"), "key", "label", "digest").limit(max_rows).drop("digest")
+    rows = rows.toPandas().sort_values(["key", "label"], kind="stable")
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # rows of one id may come in any order
     return x[order], rows["label"].to_numpy(dtype=float)[order]

@@ -136,7 +136,9 @@ def judged(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> t
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per document with its counts and verdicts."""
     frame, name = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", rules)
-    return frame.select("doc_id", f"{name}.*").drop("text")
+    extra = ["lines_kept", "lines_lost", "lost_share"]
+    wide = frame.select("doc_id", f"{name}.*").drop("text")
+    return wide.select(*[c for c in wide.columns if c not in extra], *extra)
 
 
 def clean(docs: DataFrame, *, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
