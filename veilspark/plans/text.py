@@ -7,6 +7,7 @@ from veilspark.functions import patterns as P
 from veilspark.operators import detect as D
 from veilspark.operators import layout as L
 from veilspark.operators import redact as R
+from veilspark.operators.known_values import redact_values
 from veilspark.operators import vault as V
 from veilspark.operators.search import search_sanitized
 from veilspark.plans import inputs as I
@@ -315,6 +316,25 @@ def redact_by_findings(spark, sf):
     )
 
 
+# One list for all documents: the first run of sixteen digits of each.
+_VALUES_SQL = f"""
+WITH files AS ({I.FILES_SQL}),
+known AS (SELECT coalesce(list(DISTINCT regexp_extract(text, '[0-9]{{16}}')), []) AS vals FROM files WHERE regexp_matches(text, '[0-9]{{16}}')),
+cut AS (SELECT doc_id, {_file_type_sql("path")} AS file_type, regexp_extract_all(text, '[0-9]{{16}}') AS m, string_split_regex(text, '[0-9]{{16}}') AS g FROM files),
+marked AS (SELECT *, list_transform(m, lambda x: list_contains(vals, x)) AS hit FROM cut, known)
+SELECT doc_id, file_type, array_to_string(list_transform(g, lambda p, i: p || CASE WHEN i > len(m) THEN '' WHEN hit[i] THEN {_template_sql("file_type", "'CARD'")} ELSE m[i] END), '') AS redacted_text,
+       len(list_filter(hit, lambda h: h))::INT AS redaction_count
+FROM marked"""
+
+
+@query("redact_known_values", _VALUES_SQL)
+def redact_known_values(spark, sf):
+    files = I.files(spark, sf)
+    value = F.nullif(F.regexp_extract("text", "[0-9]{16}", 0), F.lit(""))
+    known = files.select(value.alias("value"), F.lit("CARD").alias("type")).where("value IS NOT NULL")
+    return redact_values(files, known).select("doc_id", "file_type", "redacted_text", "redaction_count")
+
+
 # An edit log per conversation: two edits per turn, the last user turn ends it.
 @query(
     "replay_edits",
