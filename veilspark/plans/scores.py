@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from veilspark.functions import patterns as P
 from veilspark.operators import curate as C
 from veilspark.operators import evaluate as E
+from veilspark.operators import sketches as K
 from veilspark.operators.verdict import LABELS
 from veilspark.plans import inputs as I
 from veilspark.plans import sql_text as S
 from veilspark.plans.catalog import query
+from veilspark.session import write_through
 
 PRED = f"predictions AS ({I.PREDICTIONS_SQL})"
 _LABEL_LIST = I._sql_list(LABELS)
@@ -80,6 +82,29 @@ def latency_percentiles(spark, sf):
     return rounded(E.latency_percentiles(calls, ["run"]), "p50", "p95", "p99")
 
 
+# What sketches give exactly: number, least and greatest value of each day, from its hours.
+@query(
+    "latency_sketches",
+    """
+SELECT event_type AS run, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(value) AS n, min(value) AS min_ms, max(value) AS max_ms
+FROM events WHERE value IS NOT NULL GROUP BY ALL""",
+)
+def latency_sketches(spark, sf):
+    calls = I.table(spark, sf, "events").select(F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    stored = write_through(spark, K.sketch_calls(calls, ["run"]), "sketches")
+    days = stored.withColumn("day", F.date_format("span_start", "yyyy-MM-dd"))
+    found = K.read_sketches(K.merge_sketches(days, ["run", "day"]), ["run", "day"], {})
+    return found.select("run", "day", "n", F.col("min").alias("min_ms"), F.col("max").alias("max_ms"))
+
+
+# Percentiles of all hours; how far they are off has no SQL form, tests hold their ranks against the values.
+@query("latency_approximate")
+def latency_approximate(spark, sf):
+    calls = I.table(spark, sf, "events").select(F.col("event_type").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    merged = K.merge_sketches(K.sketch_calls(calls, ["run"]), ["run"])
+    return K.read_sketches(merged, ["run"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 @query(
     "latency_nearest_rank",
     """
