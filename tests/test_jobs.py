@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +137,41 @@ def test_sweep(spark):
     assert len(scores) == 10 and all(s.f1 == 1.0 and s.acc == 1.0 for s in scores)
 
 
+def test_heads_trained_together_equal_single_fits(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from veilspark.operators import sweep as W
+
+    rng = np.random.default_rng(9)
+    rows = [(i, "abc"[i % 3], (np.eye(6)[i % 3] + rng.normal(size=6)).tolist()) for i in range(150)]
+    rows += [(500, None, [0.0] * 6), (501, "a", None)]
+    df = spark.createDataFrame(rows, "id long, label string, v array<double>").select(
+        "id", "label", F.when(F.col("v").isNotNull(), array_to_vector(F.coalesce("v", F.array(F.lit(0.0))))).alias("features"))
+    wide = df.withColumn("features", F.when(F.col("features").isNotNull(), array_to_vector(F.concat(vector_to_array(F.coalesce("features", array_to_vector(F.array(F.lit(0.0))))), F.array(F.lit(0.5))))))
+    folded = W.folded_rows({"one": df, "two": wide}, "id", 3, 42, "features")
+    assert folded.count() == 300
+    labels, heads = W.train_all(folded, (0.1, 10.0))
+    assert labels == ["a", "b", "c"] and len(heads) == 2 * 2 * 3
+    back = folded.select("prompt", "fold", F.instr(F.lit("abc"), F.col("label")).cast("double").alias("y"), array_to_vector(F.transform(
+        F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(F.filter("cells", lambda c: c["i"] == i), F.lit(0))["v"], F.lit(0.0)))).alias("x"))
+    for prompt, c, fold in (("one", 0.1, 0), ("one", 10.0, 2), ("two", 10.0, 1)):
+        part = back.where((F.col("prompt") == prompt) & (F.col("fold") != fold)).withColumn("y", F.col("y") - 1).cache()
+        fit = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1 / (c * part.count()), standardization=False, tol=1e-10, maxIter=500).fit(part)
+        got = heads[prompt, c, fold]
+        assert np.abs(got[:, :-1] - fit.coefficientMatrix.toArray()).max() < 1e-3
+        # a constant column shares its work with the intercept: their sum is what counts
+        assert np.abs(got[:, -1] - fit.interceptVector.toArray()).max() < 1e-3
+
+
+def test_sweep_counts_every_held_out_row(spark):
+    from veilspark.operators import sweep as W
+
+    folded = W.folded_rows({"none": blobs(spark)}, "id", 5, 42, "features")
+    labels, heads = W.train_all(folded, (1.0,))
+    counts = W.held_out_counts(folded, labels, heads).collect()
+    assert sum(r.n for r in counts) == 200 and all(r.expected == r.predicted for r in counts)
+
+
 def files_frame(spark):
     rows = [
         (1, "/c/a.txt", 10, 5, "mail a@b.com"), (2, "/c/b.txt", 10, 5, "mail b@b.com"), (3, "/c/c.txt", 10, 5, "plain"),

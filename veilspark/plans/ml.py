@@ -89,14 +89,6 @@ def normalize_stats(spark, sf):
     return rounded(stats, "min_norm", "mean_norm", "max_norm", "min_unit", "max_unit")
 
 
-def _vectors(spark, sf):
-    """Unit vectors with a label, stored, as the optimiser reads them many times."""
-    rows = I.table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").cast("string").alias("label"), X.unit(F.col("embedding")).alias("u")
-    )
-    return write_through(spark, rows, "vectors").select("vec_id", "label", array_to_vector("u").alias("features"))
-
-
 HELD_OUT = 0
 
 
@@ -186,8 +178,12 @@ def classify_documents(spark, sf):
 
 @query("cv_sweep")
 def cv_sweep(spark, sf):
-    folds = M.cv_sweep({"none": _vectors(spark, sf)}, "vec_id", grid=M.C_GRID)
-    return E.select_winner(E.sweep_summary(folds))
+    """Every labelled text under the four prompts of the grid."""
+    rows = I.labeled(spark, sf).select("doc_id", "text", "label")
+    texts = {task: X.featurize(rows, task)[0].select("doc_id", "label", "features") for task in X.PROMPT_GRID}
+    summary = E.sweep_summary(M.cv_sweep(texts, "doc_id", grid=M.C_GRID))
+    # settings that are equal but for the order of sums tie
+    return E.select_winner(rounded(summary, "mean_f1", "std_f1", "mean_acc", "std_acc"))
 
 
 @query(
@@ -200,7 +196,8 @@ def model_registry(spark, sf):
     rows, new = folded.where(F.col("fold") != HELD_OUT), folded.where(F.col("fold") == HELD_OUT)
     n = rows.count()
     path = scratch_path(spark, "model")
-    scores = spark.createDataFrame([("classification", 1.0, 0, 0.0, 0.0)], "prompt string, C double, fold int, f1 double, acc double")
+    features = X.featurize(rows.select("doc_id", "text", "label"), "classification")[0].select("doc_id", "label", "features")
+    scores = M.cv_sweep({"classification": features}, "doc_id", grid=(1.0,))
     results = E.cv_results_by_c(E.sweep_summary(scores), "classification", 1.0)
     model = K.train_classifier(rows, "classification")
     M.save_model(model, path, "md5-buckets-3", "classification", 1.0, n, results)
