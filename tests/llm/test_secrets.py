@@ -42,7 +42,7 @@ def p_value(codes, k):
     d = [c - m for c in codes]
     sq = sum(x * x for x in d)
     ps.append(normal((sum(a * b for a, b in zip(d, d[1:])) / sq + 1 / n) * math.sqrt(n)) if sq else 0)
-    return min(1, 3 * min(ps))
+    return 1 - (1 - min(1, *ps)) ** 3
 
 
 def tokens_of(text, base):
@@ -63,8 +63,9 @@ def limits_of(tokens, max_fdr):
     out = {}
     for key in {t[2:4] for t in tokens}:
         bins = [min(int(t[4] * S.BINS), S.BINS - 1) for t in tokens if t[2:4] == key]
-        w = sum(b >= S.BINS // 2 for b in bins)
-        ok = [b for b in set(bins) if b > 0 and w and 1 - 2.0 * w * (1 - b / S.BINS) / sum(x >= b for x in bins) <= max_fdr]
+        w = sum(b >= S.UPPER for b in bins)
+        share = S.UPPER_SHARE[len(S.ALPHABETS[key[0]][2])][key[1]]
+        ok = [b for b in set(bins) if b > 0 and w and 1 - w / share * (1 - b / S.BINS) / sum(x >= b for x in bins) <= max_fdr]
         if ok:
             out[key] = min(ok) / S.BINS
     return out
@@ -123,3 +124,28 @@ def test_no_python_in_the_plan(spark, capsys):
     S.secret_report(docs).explain("formatted")
     plan = capsys.readouterr().out
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
+
+
+def random_p(spark, encoding, lengths, count):
+    """p-values of random tokens of an encoding, by the battery itself."""
+    k = len(S.ALPHABETS[encoding][2])
+    codes = F.transform(F.sequence(F.lit(1), "n"), lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.lit(k)).cast("int"))
+    drawn = spark.range(count).withColumn("n", (F.lit(lengths[0]) + F.pmod(F.xxhash64("id", F.lit("n")), F.lit(lengths[1] - lengths[0]))).cast("int"))
+    return [x.p for x in drawn.select(S.battery(codes, k).alias("p")).collect()]
+
+
+def test_realised_share_of_false_discoveries(spark):
+    r = random.Random(12)
+    tokens, truth = [], {}
+    for encoding, band, structured in ((0, 0, 1500), (0, 2, 6000), (3, 2, 3000), (4, 1, 0), (2, 4, 6000)):
+        ps = random_p(spark, encoding, (S.BANDS[band], S.BANDS[band + 1]), 12_000)
+        assert abs(sum(p >= S.UPPER / S.BINS for p in ps) / len(ps) - S.UPPER_SHARE[len(S.ALPHABETS[encoding][2])][band]) < 0.03
+        planted = [r.uniform(0, 0.03) for _ in range(structured)]
+        truth[encoding, band] = (ps, planted)
+        tokens += [(encoding, band, p) for p in ps + planted]
+    found = spark.createDataFrame([([x],) for x in tokens], "tokens array<struct<encoding:int,band:int,p:double>>")
+    limits = {(x.encoding, x.band): x.bin / S.BINS for x in S.thresholds(found, 0.05).collect()}
+    assert set(limits) == set(truth)
+    for key, (ps, planted) in truth.items():
+        false, right = sum(p >= limits[key] for p in planted), sum(p >= limits[key] for p in ps)
+        assert false <= 0.055 * (false + right) and right >= 0.9 * len(ps), (key, limits[key], false, right)
