@@ -86,3 +86,21 @@ def test_line_key_rounds_halves_up(spark):
 
     df = spark.createDataFrame([(0.9,), (1.0,), (2.9,), (3.0,), (-1.0,)], "y double")
     assert [r[0] for r in df.select(L.line_key(F.col("y"))).collect()] == [0, 2, 2, 4, 0]
+
+
+def test_words_of_any_white_space_are_made_behind_one_shuffle(spark):
+    """Words, values and ids are those of a plain split, and the patterns run once and behind the only shuffle."""
+    texts = ["\u3000mail\u2003x@y.com \u00a0 end", "  a  10.0.0.1\tb ", "é x@y.com", "\u3000"]
+    rows = [(1, k // 2, k, t, 0.0, 0.0, float(len(t)), None) for k, t in enumerate(texts)] + [(None, 0, 0, "lost", 0.0, 0.0, 4.0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, run int, text string, x double, y double, width double, height double")
+    tokens = L.runs_to_tokens(df.repartition(2), DEFAULT_RULES)
+    got = sorted(tuple(r) for r in tokens.select("token_id", "page", "text", "category", "value", "x").collect())
+    mail = ("EMAIL", "x@y.com")
+    assert got == [
+        (0, 0, "mail", None, None, 0.0), (1, 0, "x@y.com", *mail, 5.0), (2, 0, "end", None, None, 13.0),
+        (3, 0, "a", None, None, 0.0), (4, 0, "10.0.0.1", "IP_ADDRESS", "10.0.0.1", 2.0), (5, 0, "b", None, None, 11.0),
+        (6, 1, "é", None, None, 0.0), (7, 1, "x@y.com", *mail, 2.0)]
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and plan.count("Join") == 0
+    once = df.select(L.find_spans("text", DEFAULT_RULES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AKIA[A-Z0-9]{16}") == once.count("AKIA[A-Z0-9]{16}")

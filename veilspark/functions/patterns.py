@@ -114,10 +114,11 @@ SIGNAL_SECRET = r"(?i)(secret|api[_-]?key|token|password|private[_-]?key)\s*[:=]
 # ---------------------------------------------------------------------------
 
 
-# The white space beyond Latin-1, and the token characters without it.
+# The white space beyond Latin-1 and up to it, and the token characters without the former.
 WIDE_SPACE = "[" + SPACE[SPACE.index(r"\x{1680}") :] + "]"
+NARROW_SPACE = SPACE[: SPACE.index(r"\x{1680}")]
 BEYOND_LATIN = r"[^\x00-\xff]"
-_PLAIN_CHAR = ENTROPY_CHAR.replace(r"\s", SPACE[: SPACE.index(r"\x{1680}")])
+_PLAIN_CHAR = ENTROPY_CHAR.replace(r"\s", NARROW_SPACE)
 
 # Cheap patterns that match wherever the category's pattern does.  They hold no
 # boundary and no wide character class, and start with a rare character.

@@ -1,12 +1,12 @@
 """From positioned text runs to redaction rectangles."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.patterns import DEFAULT_RULES, SPACE, Rule
+from veilspark.functions.patterns import BEYOND_LATIN, DEFAULT_RULES, NARROW_SPACE, SPACE, WIDE_SPACE, Rule
 from veilspark.functions.spans import find_spans, let, running_total
 
 # --- fixed values ---------------------------------------------------------
@@ -18,39 +18,62 @@ RECT_REASON = "PII redacted"
 # ----------------------------------------------------------------------------
 
 
+def _by_space(text: Column, use: Callable[[str], Column]) -> Column:
+    """`use` with the class of white space, without its wide characters where the text has none of them.
+
+    A class of narrow characters is a bit set; one with wide ranges is tested range by range.
+    """
+    wide = F.rlike(text, F.lit(BEYOND_LATIN)) & F.rlike(text, F.lit(WIDE_SPACE))
+    return F.when(wide, use(SPACE)).otherwise(use(NARROW_SPACE))
+
+
+def _word_list(text: Column) -> Column:
+    """The pieces of a text between white space."""
+    return _by_space(text, lambda space: F.filter(F.split(text, f"[{space}]+", -1), lambda w: w != F.lit("")))
+
+
+def _gap_list(text: Column) -> Column:
+    """The white space before each word, and maybe after the last."""
+    def gaps(space: str) -> Column:
+        seps = F.regexp_extract_all(text, F.lit(f"[{space}]+"), F.lit(0))
+        return F.when(F.rlike(text, F.lit(f"^[{space}]")), seps).otherwise(F.concat(F.array(F.lit("")), seps))
+
+    return _by_space(text, gaps)
+
+
 def _words(text: Column, spans: Column | None) -> Column:
     """The words of a run: struct(pos, word, chars, category, value).
 
     `chars` counts the characters before a word if words were one space apart, which is how x
     moves; category and value are those of the first span that the word overlaps in the text
-    itself, so that a value written over several words flags them all.
+    itself, so that a value written over several words flags them all.  Where a word stands in the
+    text is worked out only for runs with a span.
     """
-    space = f"[{SPACE}]+"
+    none = F.lit(None).cast("struct<category:string,value:string>")
 
-    def place(t: Column) -> Column:
-        """Each piece between spaces with its start."""
-        width = F.transform(t.parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(t.seps, i)), F.lit(0)))
-        return let(running_total(width), lambda ends: F.transform(t.parts, lambda p, i: F.struct(
-            p.alias("word"), (F.get(ends, i) - F.length(p) - F.coalesce(F.length(F.get(t.seps, i)), F.lit(0))).alias("at"))))
+    def listed(words: Column, hit: Callable[[Column, Column], Column]) -> Column:
+        return let(
+            running_total(F.transform(words, lambda w: F.length(w) + 1)),
+            lambda ends: F.transform(words, lambda w, i: let(hit(w, i), lambda h: F.struct(
+                i.alias("pos"), w.alias("word"), (F.get(ends, i) - F.length(w) - 1).alias("chars"),
+                h.category.alias("category"), h["value"].alias("value")))),
+        )
 
-    def about(words: Column) -> Column:
-        none = F.lit(None).cast("struct<category:string,value:string>")
+    def over(spans: Column, start: Column, end: Column) -> Column:
+        first = F.get(F.filter(spans, lambda s: (s.start < end) & (s.end > start)), F.lit(0))
+        return let(first, lambda s: F.when(s.isNotNull(), F.struct(s.category.alias("category"), s["value"].alias("value"))))
 
-        def first(w: Column) -> Column:
-            if spans is None:
-                return none
-            over = F.filter(spans, lambda s: (s.start < w["at"] + F.length(w.word)) & (s.end > w["at"]))
-            return F.when(F.size(spans) > 0, F.get(F.transform(over, lambda s: F.struct(s.category.alias("category"), s["value"].alias("value"))), F.lit(0)))
+    def among(words: Column, spans: Column) -> Column:
+        """The words of a run with spans, each with the first one over it."""
+        widths = let(_gap_list(text), lambda g: F.transform(words, lambda w, i: F.length(F.get(g, i)) + F.length(w)))
+        return let(running_total(widths), lambda ends: listed(
+            words, lambda w, i: over(spans, F.get(ends, i) - F.length(w), F.get(ends, i))))
 
-        return let(
-            running_total(F.transform(words, lambda w: F.length(w.word) + 1)),
-            lambda ends: F.transform(words, lambda w, i: let(first(w), lambda hit: F.struct(
-                i.alias("pos"), w.word.alias("word"), (F.get(ends, i) - F.length(w.word) - 1).alias("chars"),
-                hit.category.alias("category"), hit["value"].alias("value")))),
-        )
+    def found(words: Column) -> Column:
+        plain = listed(words, lambda w, i: none)
+        return plain if spans is None else F.when(F.size(spans) > 0, among(words, spans)).otherwise(plain)
 
-    both = F.struct(F.split(text, space, -1).alias("parts"), F.regexp_extract_all(text, F.lit(space), F.lit(0)).alias("seps"))
-    return let(both, lambda t: let(F.filter(place(t), lambda w: F.length(w.word) > 0), about))
+    return let(_word_list(text), found)
 
 
 def runs_to_tokens(runs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -59,35 +82,26 @@ def runs_to_tokens(runs: DataFrame, rules: Sequence[Rule] | None = None) -> Data
     `runs` has (doc_id, page, run, text, x, y, width, height).  A run's words
     share its y and height; x moves by character share of the run's width.
     Patterns run once per run of text, and a word that overlaps a hit carries it.
-    Ids count from 0 over a document in (page, run, word) order.  They are built
-    from sums per run and per page, so that no window ever holds more than the
-    runs of one page or the pages of one document.
+    Ids count from 0 over a document in (page, run, word) order.  Only the runs are shuffled, once
+    and by document: a running sum of their numbers of words gives the ids, and words and spans are made
+    behind it, so that what follows by document needs no further shuffle.
     """
-    read = runs.where(F.rlike("text", F.lit(f"[^{SPACE}]")))
-    if rules is not None:
-        read = read.withColumn("_spans", find_spans("text", rules))
-    usable = (
-        read.withColumn("_words", _words(F.col("text"), None if rules is None else F.col("_spans")))
+    before = Window.partitionBy("doc_id").orderBy("page", "run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        runs.where(F.rlike("text", F.lit(f"[^{SPACE}]")) & F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+        .withColumn("_n", F.size(_word_list(F.col("text"))))
+        .withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_char", F.col("width") / F.length("text"))
-        .withColumn("_n", F.size("_words"))
-        .drop("text", "_spans")
-    )
-    before_run = (
-        Window.partitionBy("doc_id", "page").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before_page = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = (
-        usable.groupBy("doc_id", "page")
-        .agg(F.sum("_n").alias("_page_n"))
-        .select("doc_id", "page", F.coalesce(F.sum("_page_n").over(before_page), F.lit(0)).alias("_page_at"))
     )
+    spans = None
+    if rules is not None:
+        placed, spans = placed.withColumn("_spans", find_spans("text", rules)), F.col("_spans")
+    # the array is no column of its own: a filter on its size would make it a second time
     return (
-        usable.withColumn("_run_at", F.coalesce(F.sum("_n").over(before_run), F.lit(0)))
-        .join(pages, ["doc_id", "page"])
-        .select("*", F.inline("_words"))
+        placed.select("doc_id", "page", "x", "y", "height", "_at", "_char", F.inline(_words(F.col("text"), spans)))
         .select(
             "doc_id",
-            (F.col("_page_at") + F.col("_run_at") + F.col("pos")).cast("long").alias("token_id"),
+            (F.col("_at") + F.col("pos")).cast("long").alias("token_id"),
             "page",
             F.col("word").alias("text"),
             (F.col("x") + F.col("chars") * F.col("_char")).alias("x"),
@@ -111,7 +125,8 @@ def flag_tokens(
 
     Tokens that carry a category were looked at as part of their run; others are looked at one by
     one.  `known_values` has (doc_id, text), `selected` (doc_id, token_id); either may
-    hold duplicates.  Both become one set per document, joined once.
+    hold duplicates.  Both become one set per document, joined once by hash, so that the tokens are
+    not sorted for it.
     """
     hit = F.col("category").isNotNull() if "category" in tokens.columns else F.size(find_spans("text", rules)) > 0
     flagged = tokens.withColumn("_hit", hit)
@@ -124,7 +139,7 @@ def flag_tokens(
     if asked:
         rows = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
         sets = rows.groupBy("doc_id").agg(F.collect_set("_text").alias("_texts"), F.collect_set("_place").alias("_places"))
-        flagged = flagged.join(sets, "doc_id", "left")
+        flagged = flagged.join(sets.hint("shuffle_hash"), "doc_id", "left")
         in_sets = F.array_contains("_texts", F.col("text")) | F.array_contains("_places", F.col("token_id"))
         flagged = flagged.withColumn("_hit", F.col("_hit") | F.coalesce(in_sets, F.lit(False)))
     return flagged.where("_hit").select(*tokens.columns)
