@@ -174,3 +174,29 @@ def test_secret_rules_follow_lines(spark):
     for r in D.scan_rules(frame(spark, texts), P.SECRET_RULES).collect():
         got.setdefault(r.doc_id, set()).add(r.rule)
     assert got == {0: {"hex_line"}, 2: {"pem_private_key"}, 3: {"api_key"}, 4: {"uri_credentials"}}
+
+
+def test_one_pass_of_gates_opens_where_any_single_gate_does(spark):
+    from veilspark.functions.spans import may_match
+
+    long = "a1B2c3D4e5F6g7H8i9J0k1"
+    texts = [
+        "", "plain words only", "ssn 123-45-6789", "4111111111111111", "DE44500105175407", "(212) 555-0101", "a@b.com", "x 10.0.0.1",
+        "https://x.y", "sk-abc", "pk_x", "ghp_", "xoxb-1", "AKIA", long, f"say {long}", f"{{{long}}}", f" {long}", f"é{long}", "12-34", "s p g A x",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one = [F.rlike("text", F.lit(P.spark_pattern(r.gate))) for r in P.DEFAULT_RULES]
+    gates = df.select("text", may_match(F.col("text")).alias("any"), F.array(*one).alias("each"))
+    rows = gates.collect()
+    assert [r["any"] for r in rows] == [any(r.each) for r in rows] and {r["any"] for r in rows} == {True, False}
+    # the gates of known first characters are tried in one reading of the text
+    plan = df.select(may_match(F.col("text")).alias("any"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == 2
+
+
+def test_rules_lower_a_text_once(spark):
+    df = spark.createDataFrame([(1, "token s.abcdefghijklmnopqrst1 PASSWORD: hunter22"), (2, "ends. abcdefghijklmnopqrstuvw"), (3, "ends.abcdefghijklmnopqrst1")], "doc_id long, text string")
+    found = D.scan_rules(df, P.SECRET_RULES)
+    assert sorted((r.doc_id, r.rule) for r in found.collect()) == [(1, "password"), (1, "vault_token")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1

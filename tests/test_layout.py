@@ -102,5 +102,5 @@ def test_words_of_any_white_space_are_made_behind_one_shuffle(spark):
         (6, 1, "é", None, None, 0.0), (7, 1, "x@y.com", *mail, 2.0)]
     plan = tokens._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window ") == 1 and plan.count("Join") == 0
-    once = df.select(L.find_spans("text", DEFAULT_RULES))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("AKIA[A-Z0-9]{16}") == once.count("AKIA[A-Z0-9]{16}")
+    # the three uses of one run of a pattern: marked, and twice for a text that holds a mark itself
+    assert plan.count("AKIA[A-Z0-9]{16}") == 3
