@@ -61,3 +61,27 @@ def test_index_does_not_depend_on_partitions(spark):
     a = knn_loo(vectors.coalesce(1), recall=0.8, cell_rows=30)
     b = knn_loo(vectors.repartition(7).withColumn("cell", F.lit(1)), recall=0.8, cell_rows=30)
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+
+
+def test_a_vector_is_stored_and_sent_once_per_bin_not_per_cell(spark, monkeypatch):
+    """Noise goes to every cell: still one stored row per query, and the exact neighbours."""
+    from veilspark.operators import neighbors
+
+    x = np.random.default_rng(7).standard_normal((400, 16))
+    stored = {}
+    real = neighbors.write_through
+
+    def noted(session, df, name):
+        out = real(session, df, name)
+        stored[name] = out
+        return out
+
+    monkeypatch.setattr(neighbors, "write_through", noted)
+    got = {r.vec_id: (r.neighbor, r.similarity) for r in knn_loo(frame(spark, x), pivots=40, block_rows=100).collect()}
+    queries = stored["queries"]
+    assert queries.count() == 400 and queries.agg(F.max(F.size("cells"))).first()[0] > 10
+    assert queries.agg(F.max(F.size("bins"))).first()[0] <= 5
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 9)
+    np.fill_diagonal(sims, -np.inf)
+    assert got == {i: (int(row.argmax()), pytest.approx(float(row.max()))) for i, row in enumerate(sims)}

@@ -67,6 +67,55 @@ def _spread_search(queries: DataFrame, base: DataFrame, block_rows: int, query_r
     return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_best_in_block, "id long, other long, sim double")
 
 
+QUERY = "id long, u array<double>, cells array<int>, bins array<int>, firsts array<int>"
+
+
+def _bins(sizes: np.ndarray, block_rows: int) -> np.ndarray:
+    """The bin of each cell, in order: neighbouring cells share one of about `block_rows` vectors."""
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return (before // block_rows).astype("int32")
+
+
+def _by_bin(cells: list[np.ndarray], bins: np.ndarray) -> dict[str, list]:
+    """A query's cells in order (as numbers in the list of cells), its bins, and where in its cells each bin starts."""
+    found = [np.unique(bins[row], return_index=True) for row in cells]
+    return {"cells": cells, "bins": [x for x, _ in found], "firsts": [x.astype("int32") for _, x in found]}
+
+
+def _best_in_bin(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """(id, other, sim): the best vector for each query among those of its cells in a bin's block."""
+    out = [pd.DataFrame({"id": [], "other": [], "sim": []})]
+    if len(q) and len(b):
+        rows = np.repeat(np.arange(len(q)), q["cells"].map(len).to_numpy())
+        wanted = np.concatenate(q["cells"].to_list())
+        for cell, part in b.groupby("cell"):
+            out.append(_best_in_block(q.iloc[rows[wanted == cell]], part))
+    best = pd.concat(out[1:] or out)
+    return best.sort_values(["sim", "other"], ascending=[False, True]).drop_duplicates("id")
+
+
+def _bin_search(queries: DataFrame, base: DataFrame, bins: np.ndarray, cell_ids: np.ndarray, block_rows: int, query_rows: int) -> DataFrame:
+    """(id, other, sim): per stored query (`QUERY`) and bin it has a cell in, the best other vector of its cells there.
+
+    A vector is sent once per bin and not once per cell, and bins hold about `block_rows` vectors
+    however many cells there are.  A bin with a very full cell is cut into blocks and batches.
+    """
+    spark = queries.sparkSession
+    at = spark.createDataFrame(pd.DataFrame({"cell": cell_ids, "place": np.arange(len(cell_ids), dtype="int32"), "bin": bins}), "cell int, place int, bin int")
+    base = base.join(F.broadcast(at), "cell").select(F.col("id").alias("id"), F.col("u").alias("u"), F.col("place").alias("cell"), "bin")
+    parts = lambda df, rows, name: df.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = parts(base, block_rows, "blocks").join(parts(queries.select(F.explode("bins").alias("bin")), query_rows, "batches"), "bin")
+    sizes = F.broadcast(write_through(spark, sizes, "bin_sizes"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    start, after = F.get("firsts", F.col("pos")), F.coalesce(F.get("firsts", F.col("pos") + 1), F.size("cells"))
+    sent = queries.select("*", F.posexplode("bins").alias("pos", "bin")).select("id", "u", "bin", F.slice("cells", start + 1, after - start).alias("cells"))
+    sent = sent.join(sizes, "bin").select("id", "u", "cells", "bin", every("blocks").alias("block"), one("batches", "batch").alias("batch"))
+    held = base.join(sizes, "bin").select("id", "u", "cell", "bin", one("blocks", "block").alias("block"), every("batches").alias("batch"))
+    keys = ["bin", "block", "batch"]
+    return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_best_in_bin, "id long, other long, sim double")
+
+
 def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows: int) -> DataFrame:
     """(id, other, sim): the best other vector of each distinct vector.
 
@@ -100,9 +149,10 @@ def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows
     cells = write_through(spark, reps.select("id", "u").mapInPandas(assign, "id long, u array<double>, cell int, d double"), "cells")
     # at most one row per pivot
     stats = cells.groupBy("cell").agg(
-        F.min("d").alias("lo"), F.max("d").alias("hi")
-    ).collect()
+        F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")
+    ).orderBy("cell").collect()
     cell_ids = np.array([r.cell for r in stats], dtype="int32")
+    bins = _bins(np.array([r.n for r in stats]), block_rows)
     lo, hi = np.array([r.lo for r in stats]), np.array([r.hi for r in stats])
     best = F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b")
     near = write_through(
@@ -118,15 +168,12 @@ def _best_other(reps: DataFrame, pivots: int | None, block_rows: int, query_rows
             bound = np.minimum(to_others, so_far)[:, None] + SLACK
             away = d[:, cell_ids]
             open_cells = (away >= lo - bound) & (away <= hi + bound) & (cell_ids[None, :] != pdf["cell"].to_numpy()[:, None])
-            yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], "cells": [cell_ids[row] for row in open_cells]})
+            yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], **_by_bin([np.flatnonzero(row).astype("int32") for row in open_cells], bins)})
 
     known = cells.select("id", "u", "cell").join(near.select("id", "_b.sim"), "id", "left")
-    queries = write_through(
-        spark,
-        known.mapInPandas(reach, "id long, u array<double>, cells array<int>").select("id", "u", F.explode("cells").alias("cell")),
-        "queries",
-    )
-    far = _spread_search(queries, cells, block_rows, query_rows).groupBy("id").agg(best)
+    # stored with one vector per query, however many cells it goes to
+    queries = write_through(spark, known.mapInPandas(reach, QUERY), "queries")
+    far = _bin_search(queries, cells, bins, cell_ids, block_rows, query_rows).groupBy("id").agg(best)
     both = near.unionByName(far).groupBy("id").agg(F.max("_b").alias("_b"))
     return both.select("id", (-F.col("_b.neg")).alias("other"), F.col("_b.sim").alias("sim"))
 
@@ -179,16 +226,22 @@ def _lsh_best(reps: DataFrame, recall: float, cell_rows: int, seed: int, block_r
     probes = pairs.select("u", "wanted").mapInPandas(rank, "rank long").agg(F.percentile("rank", recall).alias("p")).first().p
     probes = min(cells, math.ceil(probes or 1))
 
+    # at most `MAX_CELLS` rows; a cell without vectors has no place
+    sizes = index.groupBy("cell").count().orderBy("cell").collect()
+    cell_ids = np.array([r.cell for r in sizes], dtype="int32")
+    bins, place = _bins(np.array([r["count"] for r in sizes]), block_rows), np.full(cells, -1)
+    place[cell_ids] = np.arange(len(cell_ids))
+
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = _directions(cells, size, seed).T
         for pdf in frames:
             if len(pdf):
-                nearest = np.argpartition(-(_stack(pdf["u"]) @ planes), probes - 1, axis=1)[:, :probes].astype("int32")
-                yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], "cells": list(nearest)})
+                nearest = np.argpartition(-(_stack(pdf["u"]) @ planes), probes - 1, axis=1)[:, :probes]
+                held = [np.sort(row[row >= 0]).astype("int32") for row in place[nearest]]
+                yield pd.DataFrame({"id": pdf["id"], "u": pdf["u"], **_by_bin(held, bins)})
 
-    queries = index.select("id", "u").mapInPandas(probe, "id long, u array<double>, cells array<int>").select("id", "u", F.explode("cells").alias("cell"))
-    queries = write_through(spark, queries, "probes")
-    best = _spread_search(queries, index, block_rows, query_rows).groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b"))
+    queries = write_through(spark, index.select("id", "u").mapInPandas(probe, QUERY), "probes")
+    best = _bin_search(queries, index, bins, cell_ids, block_rows, query_rows).groupBy("id").agg(F.max(F.struct("sim", (-F.col("other")).alias("neg"))).alias("_b"))
     return best.select("id", (-F.col("_b.neg")).alias("other"), F.col("_b.sim").alias("sim"))
 
 
