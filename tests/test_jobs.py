@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +133,30 @@ def test_training_prediction_registry(spark):
             M.load_model(spark, path, *wrong)
 
 
+def test_cells_of_sparse_and_dense_vectors(spark):
+    rows = [(1, Vectors.sparse(5, [1, 4], [2.0, -1.0])), (2, Vectors.dense([0.0, 3.0, 0.0])), (3, Vectors.sparse(4, [2], [0.0])), (4, Vectors.sparse(7, [], [])), (5, None)]
+    df = spark.createDataFrame(rows, T.StructType().add("id", "long").add("features", VectorUDT()))
+    got = {r.id: (r.width, r.cells and [tuple(c) for c in r.cells]) for r in df.select(
+        "id", X.width(F.col("features")).alias("width"), X.cells(F.col("features")).alias("cells")).collect()}
+    assert got[1] == (5, [(1, 2.0), (4, -1.0)]) and got[2] == (3, [(1, 3.0)]) and got[3] == (4, []) and got[4] == (7, [])
+    assert got[5][1] is None
+
+
+def test_texts_are_cut_once_for_features(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of the {i % 3} kind", "x") for i in range(20)] + [(20, None, None)], "id long, text string, more string")
+    cut = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: (cut.add(1), t)[1])
+    counted = docs.withColumn("text", seen.asNondeterministic()("text"))
+    rows, model = X.featurize(counted, "classify_short", keep=["id"])
+    assert rows.columns == ["id", "features"]
+    got = {r.id: r.features for r in rows.collect()}
+    assert rows.count() == 21 and cut.value == 21
+    whole = X.featurize(docs, "classify_short")[0]
+    assert whole.columns == ["id", "text", "more", "features"]
+    assert {r.id: r.features for r in whole.collect()} == got == {r.id: r.features for r in model.transform(docs).collect()}
+    assert got == {r.id: r.features for r in X.text_pipeline("classify_short").fit(docs).transform(docs).collect()}
+
+
 def test_sweep(spark):
     scores = M.cv_sweep({"none": blobs(spark)}, "id", grid=(0.1, 10.0)).collect()
     assert len(scores) == 10 and all(s.f1 == 1.0 and s.acc == 1.0 for s in scores)
