@@ -109,3 +109,34 @@ LONG = "the text of the page, which is longer than what stands around it"
 ])
 def test_wrappers_and_teasers(page, want):
     assert text_of(page) == want
+
+
+def test_roles_order_and_nesting_of_classes(spark):
+    rows = []
+    for i in range(8):
+        own = [f"own words {i} {k} of this page alone, a line of them" for k in range(2 + i % 3)]
+        # on each page once, but before the second heading on some pages and after it on others
+        own[1:1] = ["Read this first", "<h2>"] if i % 4 else ["<h2>", "Read this first"]
+        # on the pages with <div>, which begins before that heading, while the words stand after it
+        body = "".join(x if x == "<h2>" else f"<p>{x}" for x in own)
+        body = body.replace("<h2>", f"<div>u{i}</div><h2>h{i}</h2><p>So they say</p>") if i < 4 else body.replace("<h2>", f"<h2>h{i}</h2>")
+        rows.append((i, f"http://a.org/{i}", f"<article><p>Share it<h1>Title {i}</h1>{body}<hr><p>Share it</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in H.main_text(pages).collect()}
+    for i, x in got.items():
+        assert "Share it" not in x, x
+        assert "Read this first" in x and ("So they say" in x) == (i < 4) and f"Title {i}" in x
+    twice = {r.page_id: r.text.split("\n") for r in H.main_text(pages.union(pages)).collect()}
+    assert twice == got
+
+
+def test_order_and_crossing_of_one_page():
+    tags = {1: (7, 0, 3, 9, False), 2: (7, 1, 3, 9, False), 3: (7, 2, 3, 9, True), 4: (8, 0, 2, 5, False), 5: (8, 1, 2, 5, True)}
+    assert list(H.words([1, 0, 2, 3, 1, 3, 2, 4, 5], tags)) == [(7, (1, 2, 3)), (7, (1, 3, 2)), (8, (4, 5))]
+    assert list(H.words([1, 1, 2, 2, 3, 3], tags)) == [(7, None), (7, None)]
+    assert H.crossing([1, 4, 2, 5, 3], tags) == {8} and H.crossing([4, 1, 2, 5, 3], tags) == {8}
+    assert H.crossing([1, 2, 4, 5, 3, 4, 5, 1, 2, 3], tags) == set() and H.crossing([4, 1, 2, 3, 5], tags) == set()
+    roles = H.refined([0, 1, 0, 2, 0, 4, 0, 5, 0, 3, 0], tags)
+    assert roles[0] == roles[10] == 0 and len({roles[k] for k in (0, 2, 4, 6, 8)}) == 4 and roles[4] == roles[8]
+    assert H.misplaced([1, 3, 2], [1, 2, 3], {3}) == [3] and H.misplaced([2, 1, 9], [1, 2, 9], {9}) != []
+    assert H.misplaced([5, 1, 2, 3, 4], [1, 2, 3, 4, 5], set()) == [5]
