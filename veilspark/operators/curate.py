@@ -164,10 +164,13 @@ def collect_quota(candidates: DataFrame, quota: int) -> DataFrame:
     through in order.  The quota is the feature: it is set by the caller and bounds the rows
     that are collected for training.
     """
-    good = candidates.where(F.length("text") >= SIGNAL_MIN_CHARS).where(
-        (F.size(live_secret_rules(F.col("text"))) == 0)
-        & (signal_reason(F.col("label"), F.col("text")) == "")
-    )
+
+    def passes(text: Column) -> Column:
+        long_enough = F.length(text) >= SIGNAL_MIN_CHARS
+        return long_enough & (F.size(live_secret_rules(text)) == 0) & (signal_reason(F.col("label"), text) == "")
+
+    # a filter would be moved below the shuffle that spreads the rows and make the text anew for every test
+    good = candidates.withColumn("text", F.explode(F.filter(F.array("text"), passes)))
     return first_per_label(good, ["query_rank", "hit_rank"], quota)
 
 

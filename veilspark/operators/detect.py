@@ -157,7 +157,9 @@ def live_secret_rules(text: Column) -> Column:
             return ~fake & (variety > P.LIVE_SECRET_MAX_FAKE_CHARS)
 
         prefix = pattern.replace(r"\b", "").split("[")[0]
-        found = F.regexp_extract_all(text, F.lit(P.spark_pattern(pattern, unicode_words=True)), F.lit(0))
+        # one character fails faster than a boundary
+        ahead = f"(?={prefix[0]}){pattern}"
+        found = F.regexp_extract_all(text, F.lit(P.spark_pattern(ahead, unicode_words=True)), F.lit(0))
         return F.when(F.contains(text, F.lit(prefix)) & F.exists(found, real), F.lit(name)).otherwise(empty)
 
     names = F.array(*[named(*rule) for rule in P.LIVE_SECRET_RULES])
