@@ -106,3 +106,14 @@ def test_many_batches_cost_the_same(spark, tmp_path):
     middle = lambda x: sorted(x)[len(x) // 2]
     assert middle(took[-15:]) <= 1.5 * middle(took[5:20])
     assert sum(x[3] for x in result(spark, folder, out)) == 500
+
+
+def test_many_open_sessions_of_a_user_are_one_state(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    add(spark, folder, [(60 * k, "a") for k in range(40)])
+    query = Z.start_sessions(updates_of(spark, folder), out, state)
+    query.awaitTermination()
+    first = next(p for p in query.recentProgress if p["numInputRows"])
+    # all are open until the watermark moves: one value, and one timer in two tables
+    assert first["stateOperators"][0]["numRowsTotal"] <= 4
+    assert result(spark, folder, out) == {("a", 60 * k, 60 * k + 30, 1, k < 39) for k in range(40)}
